@@ -89,9 +89,12 @@ def _unmatched(refs: DataFrame, targets: DataFrame, keys: list[str], timed: bool
         return refs.join(bad, keys, "left_semi").select("row_id", "at", F.lit("missing").alias("reason"))
     covered = same(uses) & (t["since"] <= uses["first"]) & (t["until"] > uses["last"]) & (uses["undated"] == 0)
     known = t.groupBy(*keys).agg(F.min("since").alias("since"))
-    doubtful = cut(uses.join(t, covered, "left_anti").select(*keys).join(known.withColumn("known", F.lit(True)), keys, "left"))
-    some = refs.join(small_or_shuffled(doubtful), keys)
-    valid_then = same(some) & (t["since"] <= some["at"]) & (t["until"] > some["at"])
+    doubtful = cut(uses.join(t, covered, "left_anti").select(*keys).join(known.withColumn("known", F.lit(True)), keys, "left").withColumn("doubt", F.lit(True)))
+    doubtful = small_or_shuffled(doubtful)
+    some = refs.join(doubtful, keys)
+    # `doubt` keeps the optimizer from moving this join before the one that leaves only rows of doubtful keys
+    t = small_or_shuffled(cut(t.join(doubtful.select(*keys), keys, "left_semi")))
+    valid_then = same(some) & (t["since"] <= some["at"]) & (t["until"] > some["at"]) & some["doubt"]
     reason = F.when(some["known"].isNull(), "missing").when(some["at"] < some["since"], "early").otherwise("gone")
     return some.join(t, valid_then, "left_anti").select("row_id", "at", reason.alias("reason"))
 
