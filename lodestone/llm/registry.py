@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from lodestone.llm import neighbours, variants
+from lodestone.llm import neighbours, terms, variants
 
-_ALL = (variants, neighbours)
+_ALL = (variants, neighbours, terms)
 QUERIES = {name: f for m in _ALL for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _ALL for name, sql in m.SQL.items()}
