@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from lodestone.llm import leaks, neighbours, terms, variants
+from lodestone.llm import leaks, mixing, neighbours, terms, variants
 
-_ALL = (variants, neighbours, terms, leaks)
+_ALL = (variants, neighbours, terms, leaks, mixing)
 QUERIES = {name: f for m in _ALL for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in _ALL for name, sql in m.SQL.items()}
