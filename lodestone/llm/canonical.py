@@ -206,7 +206,8 @@ def all_matches(values: DataFrame, entries: DataFrame, most: int = ENTRIES) -> D
     spark = values.sparkSession
     entries = entries.select("id", "rank", F.array_compact("names").alias("names"))
     shards = max(1, -(-entries.count() // most))
-    values = values.select("value").distinct()
+    # a stated number of partitions, since sizes in bytes say little of what a search costs
+    values = values.select("value").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "value")
     vocabulary: set[str] = set()
     parts = []
     for shard in range(shards):
