@@ -127,19 +127,28 @@ class Trie:
         most, size = limit(len(stem)), len(stem)
         if not most:
             return
-        stack = [(child, c, "", list(range(size + 1)), None) for c, child in start.items() if c not in (END, " ")]
+        far = most + 1  # stands for anything beyond; only the band of the table within `most` of its diagonal is kept up
+        first = [min(i, far) for i in range(size + 1)]
+        stack = [(child, c, "", first, None, 1) for c, child in start.items() if c not in (END, " ")]
         while stack:
-            node, c, last, row, above = stack.pop()
-            new = [row[0] + 1]
-            for i in range(1, size + 1):
-                v = min(new[-1] + 1, row[i] + 1, row[i - 1] + (stem[i - 1] != c))
-                if above and i > 1 and stem[i - 1] == last and stem[i - 2] == c:
-                    v = min(v, above[i - 2] + 1)
-                new.append(v)
-            if min(new) <= most:
-                if " " in node and new[-1] <= most:
-                    put(node[" "], new[-1] + cost)
-                stack += [(child, d, c, new, row) for d, child in node.items() if d != " "]
+            node, c, last, row, above, depth = stack.pop()
+            new = [far] * (size + 1)
+            if depth <= most:
+                new[0] = depth
+            least = new[0]
+            for i in range(max(1, depth - most), min(size, depth + most) + 1):
+                v = row[i - 1] if stem[i - 1] == c else min(new[i - 1], row[i], row[i - 1]) + 1
+                if above and i > 1 and stem[i - 1] == last and stem[i - 2] == c and above[i - 2] + 1 < v:
+                    v = above[i - 2] + 1
+                if v < far:
+                    new[i] = v
+                    if v < least:
+                        least = v
+            if least <= most:
+                if new[size] <= most and " " in node:
+                    put(node[" "], new[size] + cost)
+                if depth < size + most:
+                    stack += [(child, d, c, new, row, depth + 1) for d, child in node.items() if d != " "]
 
     def _cut_short(self, start: dict, stem: str, put) -> None:
         node = self._follow(start, stem)
@@ -207,7 +216,7 @@ def all_matches(values: DataFrame, entries: DataFrame, most: int = ENTRIES) -> D
     entries = entries.select("id", "rank", F.array_compact("names").alias("names"))
     shards = max(1, -(-entries.count() // most))
     # a stated number of partitions, since sizes in bytes say little of what a search costs
-    values = values.select("value").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "value")
+    values = values.select("value").distinct().repartition(spark.sparkContext.defaultParallelism, "value")
     vocabulary: set[str] = set()
     parts = []
     for shard in range(shards):
