@@ -1 +1 @@
-
+"""Interviews whose answers arrive as a stream."""
