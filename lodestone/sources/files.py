@@ -12,8 +12,8 @@ RF2 = "id string, effectiveTime string, active string, moduleId string, sourceId
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A tab-separated file with a header; quotes are ordinary characters, an empty field is an empty string, as it was written."""
-    return spark.read.csv(path, schema=schema, sep="\t", header=True, quote="", nullValue="\x00", emptyValue="")
+    """A tab-separated file with a header; quotes are ordinary characters, an empty field is null, as null and empty are written alike."""
+    return spark.read.csv(path, schema=schema, sep="\t", header=True, quote="")
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
