@@ -9,15 +9,15 @@
 3. A second pass extracts every occurrence: instances whose format is trusted, names in trusted patterns or made of trusted
    words, addresses built of the street kinds and towns that the first pass learned, and e-mail addresses.
 
-Whole texts are read in both passes. What is broadcast for the second pass is what was learned: only entries seen often
-enough, where "often" rises with the corpus so that at most LEXICON of each kind are kept; a name whose words are rarer is
-still found where a pattern or a title announces it.
+Whole texts are read in both passes. What was learned is broadcast for the second pass as far as a list has at most LEXICON
+entries; of a longer list the commonest are, and the texts' own words, patterns and formats are joined to the rest of it, so
+that every text meets the whole of what was learned, whatever the corpus' size.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -160,8 +160,8 @@ def learn(texts: DataFrame) -> dict[str, DataFrame]:
     return {"usual": usual, "patterns": patterns, "instances": trusted.join(totals.withColumnRenamed("total", "n"), ["family", "instance"]), "places": places}
 
 
-def _most(df: DataFrame, by: str, most: int = LEXICON) -> list:
-    """The rows of df whose count is above the least one that leaves at most so many rows; collected."""
+def _most(df: DataFrame, by: str, most: int = LEXICON) -> tuple[list, DataFrame | None]:
+    """The rows of df whose count is above the least one that leaves at most so many rows, collected; and the other rows, None if there are none."""
     sizes = df.groupBy(F.floor(F.log2(by)).alias("b")).count().orderBy(F.desc("b")).collect()
     kept, least = 0, 0
     for r in sizes:
@@ -169,39 +169,103 @@ def _most(df: DataFrame, by: str, most: int = LEXICON) -> list:
         if kept > most:
             least = 2 ** (r["b"] + 1)
             break
-    return df.filter(F.col(by) >= least).collect()
+    return df.filter(F.col(by) >= least).collect(), df.filter(F.col(by) < least) if least else None
+
+
+#: What the second pass looks up: a list's name, its rows among what was learned, and the columns of key and count.
+LISTS = {
+    "pattern": ("patterns", "family = 'name' AND pattern <> ''", "pattern", "support"),
+    "word": ("instances", "family = 'name'", "instance", "n"),
+    "code": ("instances", "family = 'code'", "instance", "n"),
+    "usual": ("usual", "true", "instance", "n"),
+    "street": ("places", "family = 'street'", "instance", "n"),
+    "town": ("places", "family = 'town'", "instance", "n"),
+}
 
 
 class Learned:
-    """What the second pass needs."""
+    """What the second pass needs: key to kind of every list, and which lists are longer (their rest is `more`: list, key, kind; None if all are whole)."""
 
     def __init__(self, tables: dict[str, DataFrame]):
-        patterns = _most(tables["patterns"].filter("family = 'name'"), "support")
-        self.patterns = frozenset(r["pattern"] for r in patterns if r["pattern"])
-        instances = _most(tables["instances"], "n")
-        self.words = frozenset(r["instance"] for r in instances if r["family"] == "name" and len(r["instance"]) > 2)
-        self.usual = frozenset(r["instance"] for r in _most(tables["usual"], "n"))
-        self.codes = {r["instance"]: r["kind"] for r in instances if r["family"] == "code"}
-        places = _most(tables["places"], "n")
-        self.streets = sorted(r["instance"] for r in places if r["family"] == "street")
-        self.towns = sorted((r["instance"] for r in places if r["family"] == "town"), key=len, reverse=True)
+        self.lists, self.long, self.more = {}, frozenset(), None
+        for name, (at, rows, key, by) in LISTS.items():
+            kind = F.col("kind") if at in ("patterns", "instances") else F.lit("")
+            df = tables[at].filter(rows).select(F.lit(name).alias("list"), F.col(key).alias("key"), kind.alias("kind"), F.col(by).alias("n"))
+            kept, rest = _most(df, "n")
+            self.lists[name] = {r["key"]: r["kind"] for r in kept}
+            if rest is not None:
+                self.long |= {name}
+                self.more = rest.drop("n") if self.more is None else self.more.unionByName(rest.drop("n"))
+
+    def __getstate__(self):
+        return self.__dict__ | {"more": None}
+
+
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
+
+
+def _places(text: str, of: str) -> set[str]:
+    """The words of a text that may be a street kind or a town, pairs of them too for towns."""
+    text = text.lower()
+    words = list(re.finditer(r"[^\W_][\w-]*", text))
+    heads = lambda w: [w[:i] for i in range(1, len(w) + 1) if w[i : i + 1] in ("", "-")]
+    pairs = {f"{a.group()} {b}" for a, b in zip(words, words[1:]) if text[a.end() : b.start()].isspace() for b in heads(b.group())} if of == "town" else set()
+    return {x for w in words for x in heads(w.group())} | pairs
+
+
+def _looked_up(text: str, learned: Learned, codes: re.Pattern) -> set[tuple[str, str]]:
+    """(list, key) that the second pass may ask of this text, of lists that are longer than what was broadcast."""
+    asked: set[tuple[str, str]] = set()
+    if learned.long & {"word", "usual"}:
+        for w in {w.rstrip(".").lower() for w in _WORD.findall(text)}:
+            cuts = [m.start() for m in re.finditer("['’-]", w)]  # a finding beside it may cut a word there
+            asked |= {(x, w[a:b]) for x in ("word", "usual") for a in (0, *(c + 1 for c in cuts)) for b in (*cuts, len(w)) if a < b}
+    if "pattern" in learned.long:
+        left = {before(text, m.start()) for m in _WORD.finditer(text)}
+        last = {x.rpartition(" ")[2] for x in left} | {""}  # all that is left beside a finding
+        asked |= {("pattern", x) for x in left | last | {"* " + x for x in last}}
+    if "code" in learned.long:
+        asked |= {("code", x) for _, _, code in codes_in(text, codes) for x in formats(code)}
+    if learned.long & {"street", "town"}:
+        asked |= {(x, key) for x in ("street", "town") for key in _places(text, x)}
+    return {(x, key) for x, key in asked if x in learned.long and key not in learned.lists[x]}
+
+
+def _asked(shared):
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = re.compile(CODES)
+        for batch in batches:
+            rows = {(id, *x) for id, text in zip(batch["id"], batch["text"]) for x in _looked_up(text, shared.value, codes)}
+            yield pd.DataFrame(sorted(rows), columns=["id", "list", "key"]).astype({"id": "int64"})
+
+    return run
 
 
 class Finder:
     """Spans (start, end, kind) of personal information in a text; they don't overlap."""
 
-    def __init__(self, learned: Learned):
-        self.at = learned
+    def __init__(self, learned: Learned, more: Iterable[str] = (), text: str = ""):
+        """more: entries beside those broadcast, each "list, key, kind" with tabs between, as they were joined to this one text."""
+        own: dict[str, dict[str, str]] = {x: {} for x in LISTS}
+        for entry in more:
+            x, key, kind = entry.split("\t")
+            own[x][key] = kind
+        if learned.long & {"street", "town"}:  # then only this text's places are in the expression
+            lists = learned.lists | {x: {k: "" for k in _places(text, x) if k in learned.lists[x]} for x in ("street", "town")}
+        else:
+            lists = learned.lists
+        lists = {x: ChainMap(own[x], lists[x]) if own[x] else lists[x] for x in LISTS}
+        self.patterns, self.words, self.usual, self.codes, self.towns = (lists[x] for x in ("pattern", "word", "usual", "code", "town"))
         self.email, self.code = re.compile(EMAIL), re.compile(CODES)
         units = "|".join(UNITS)
-        kinds = "|".join(map(re.escape, learned.streets)) or r"(?!)"
-        towns = "|".join(re.escape(t).replace(r"\ ", r"\s+") for t in learned.towns) or r"(?!)"
+        kinds = "|".join(map(re.escape, sorted(lists["street"]))) or r"(?!)"
+        towns = "|".join(re.escape(t).replace(r"\ ", r"\s+") for t in sorted(self.towns, key=len, reverse=True)) or r"(?!)"
         gap = r"(?:,?[^\S\n]+|,?[^\S\n]*\n[^\S\n]*)"
         street = rf"(?:(?:{units})\.?\s+\d+[a-z]?{gap})?\d{{1,4}}[a-z]?[^\S\n]+(?:(?:st\.|[\w'’-]+)[^\S\n]+){{1,3}}?(?:{kinds})(?!\w)(?:{gap}(?:{units})\.?\s+\d+[a-z]?(?!\w))?"
         german = rf"[^\W\d_]+(?:{'|'.join(GERMAN_STREETS)})\.?[^\S\n]+\d{{1,4}}[a-z]?(?!\w)(?:{gap}\d{{5}}[^\S\n]+[^\W\d_]+)"
         self.address = re.compile(rf"(?<![\w-])(?:{street}(?:{gap}(?:{towns})(?!\w))?(?:{gap}{POSTCODE}(?!\w))?|{german})", re.I)
         self.title = re.compile(rf"(?<![\w'’-])(?:{'|'.join(TITLES)})\.?[^\S\n]+(?=\S)", re.I)
-        self.word = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*\.?")
+        self.word = _WORD
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         taken: list[tuple[int, int, str]] = [(m.start(), m.end(), "email") for m in self.email.finditer(text)]
@@ -212,7 +276,7 @@ class Finder:
         for start, end, code in codes_in(text, self.code):
             if free(start, end):
                 exact, broad = formats(code)
-                kind = self.at.codes.get(exact) or self.at.codes.get(broad)
+                kind = self.codes.get(exact) or self.codes.get(broad)
                 if kind:
                     taken.append((start, end, kind))
         taken += [(m.start(), m.end(), "address") for m in self.address.finditer(text) if free(m.start(), m.end())]
@@ -226,7 +290,7 @@ class Finder:
         return sorted(taken)
 
     def _known(self, word: str) -> bool:
-        return word.lower() in self.at.words
+        return len(word) > 2 and word.lower() in self.words
 
     def _name_at(self, text: str, at: int, announced: bool) -> tuple[int, int] | None:
         """A name that begins at that place: initials and words that are known, or capitalised where a name is announced."""
@@ -239,7 +303,7 @@ class Finder:
             initial = len(w.rstrip(".")) == 1 and w[0].isupper() and w.endswith(".")
             bare = w.rstrip(".")
             known = not initial and self._known(bare)
-            rare = bare.lower() not in self.at.usual or bare.lower() in self.at.towns
+            rare = bare.lower() not in self.usual or bare.lower() in self.towns
             likely = announced and not initial and len(bare) > 2 and bare[0].isupper() and rare and all(p[0] for p in parts)
             if announced and not initial and not known and len(bare) > 4 and [p[1] for p in parts if not p[0]] == [True]:
                 # an unknown word after a known one, written alike: not one that other sentences use, unless also a place
@@ -282,7 +346,7 @@ class Finder:
             if not (first or initial or w[0].isupper()):
                 continue
             left = before(text, at)
-            announced = left in self.at.patterns or "* " + left.rpartition(" ")[2] in self.at.patterns
+            announced = left in self.patterns or "* " + left.rpartition(" ")[2] in self.patterns
             if not announced and not first and not initial:
                 continue
             got = self._name_at(text, at, announced)
@@ -301,8 +365,8 @@ def _finder(shared, redact: bool):
         finder = Finder(shared.value)
         for batch in batches:
             rows = []
-            for id, text in zip(batch["id"], batch["text"]):
-                spans = finder.spans(text)
+            for id, text, more in zip(batch["id"], batch["text"], batch["more"] if "more" in batch else [None] * len(batch)):
+                spans = (Finder(shared.value, () if more is None else more, text) if "more" in batch else finder).spans(text)
                 if redact:
                     out, last = [], 0
                     for a, b, kind in spans:
@@ -329,17 +393,24 @@ class Identifiers:
         self.docs = self.all.filter(F.col("text").isNotNull() & (F.col("text") != ""))
         self.tables = learn(self.docs)
 
-    def _shared(self):
-        return self.docs.sparkSession.sparkContext.broadcast(Learned(self.tables))
+    def _read(self, redact: bool, schema: str) -> DataFrame:
+        """The second pass; where a list is longer than what is broadcast, each text comes with the entries of the rest that it may ask for."""
+        learned, docs = Learned(self.tables), self.docs
+        shared = docs.sparkSession.sparkContext.broadcast(learned)
+        if learned.more is not None:
+            asked = docs.mapInPandas(_asked(shared), "id bigint, list string, key string")
+            more = asked.join(learned.more, ["list", "key"]).groupBy("id").agg(F.collect_set(F.concat_ws("\t", "list", "key", "kind")).alias("more"))
+            docs = docs.join(more, "id", "left")
+        return docs.mapInPandas(_finder(shared, redact), schema)
 
     def found(self) -> DataFrame:
         """(id, kind, value), each once."""
-        return self.docs.mapInPandas(_finder(self._shared(), False), "id bigint, kind string, value string").distinct()
+        return self._read(False, "id bigint, kind string, value string").distinct()
 
     def redacted(self) -> DataFrame:
         """(id, text, n_found): the text with [KIND] in place of each finding and otherwise unchanged."""
         none = self.all.filter(F.col("text").isNull() | (F.col("text") == "")).withColumn("n_found", F.lit(0).cast("bigint"))
-        return self.docs.mapInPandas(_finder(self._shared(), True), "id bigint, text string, n_found bigint").unionByName(none)
+        return self._read(True, "id bigint, text string, n_found bigint").unionByName(none)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

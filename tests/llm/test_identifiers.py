@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import identifiers as I
 
@@ -42,3 +43,18 @@ def test_redaction_leaves_the_rest(spark, found):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert I.Identifiers(df).found().count() == 0 and I.Identifiers(df).redacted().count() == 0
+
+
+def test_lists_beyond_the_broadcast_are_whole(spark, found):
+    texts, x = found
+    want = {tuple(r) for r in x.found().collect()}
+    many = spark.range(I.LEXICON + 1).select(F.concat(F.lit("zz"), F.col("id").cast("string")).alias("key"), F.lit(10**6).cast("bigint").alias("n"))
+    more = {
+        "patterns": many.select(F.lit("name").alias("family"), F.col("key").alias("pattern"), F.lit("name").alias("kind"), F.lit(1.0).alias("precision"), F.col("n").alias("support")),
+        "instances": many.select(F.explode(F.array(F.lit("name"), F.lit("code"))).alias("family"), F.col("key").alias("instance"), F.lit("name").alias("kind"), "n"),
+        "usual": many.select(F.col("key").alias("instance"), "n"),
+        "places": many.select(F.explode(F.array(F.lit("street"), F.lit("town"))).alias("family"), F.col("key").alias("instance"), "n"),
+    }
+    y = I.Identifiers(x.all, "id")
+    y.tables = {k: v.select(*more[k].columns).unionByName(more[k]) for k, v in x.tables.items()}
+    assert {tuple(r) for r in y.found().collect()} == want
