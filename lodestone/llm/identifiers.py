@@ -7,7 +7,8 @@
    stand in trusted, as far as most of what a pattern holds is trusted; trusted patterns make the instances trusted that
    stand mostly in such patterns, and so on for ROUNDS rounds, in Spark, over the sums.
 3. A second pass extracts every occurrence: instances whose format is trusted, names in trusted patterns or made of trusted
-   words, addresses built of the street kinds and towns that the first pass learned, and e-mail addresses.
+   words, addresses built of the street kinds and towns that the first pass learned, those that their shape tells from house
+   number to postcode, and e-mail addresses.
 
 Whole texts are read in both passes. What was learned is broadcast for the second pass as far as a list has at most LEXICON
 entries; of a longer list the commonest are, and the texts' own words, patterns and formats are joined to the rest of it, so
@@ -263,7 +264,9 @@ class Finder:
         gap = r"(?:,?[^\S\n]+|,?[^\S\n]*\n[^\S\n]*)"
         street = rf"(?:(?:{units})\.?\s+\d+[a-z]?{gap})?\d{{1,4}}[a-z]?[^\S\n]+(?:(?:st\.|[\w'’-]+)[^\S\n]+){{1,3}}?(?:{kinds})(?!\w)(?:{gap}(?:{units})\.?\s+\d+[a-z]?(?!\w))?"
         german = rf"[^\W\d_]+(?:{'|'.join(GERMAN_STREETS)})\.?[^\S\n]+\d{{1,4}}[a-z]?(?!\w)(?:{gap}\d{{5}}[^\S\n]+[^\W\d_]+)"
-        self.address = re.compile(rf"(?<![\w-])(?:{street}(?:{gap}(?:{towns})(?!\w))?(?:{gap}{POSTCODE}(?!\w))?|{german})", re.I)
+        town = r"[^\W\d_][\w'’-]*(?:[^\S\n]+[^\W\d_][\w'’-]*){0,2}"  # not learned: a postcode closes the address
+        self.address = re.compile(rf"(?<![\w-])(?:{street}(?:{gap}{town}{gap}{POSTCODE}(?!\w)|(?:{gap}(?:{towns})(?!\w))?(?:{gap}{POSTCODE}(?!\w))?)|{german})", re.I)
+        self.strict = re.compile(rf"(?:(?<![\w-])(?i:{units})\.?\s+\d+[A-Za-z]?{gap})?{STRICT_ADDRESS}")
         self.title = re.compile(rf"(?<![\w'’-])(?:{'|'.join(TITLES)})\.?[^\S\n]+(?=\S)", re.I)
         self.word = _WORD
 
@@ -279,7 +282,7 @@ class Finder:
                 kind = self.codes.get(exact) or self.codes.get(broad)
                 if kind:
                     taken.append((start, end, kind))
-        taken += [(m.start(), m.end(), "address") for m in self.address.finditer(text) if free(m.start(), m.end())]
+        taken += [(a, b, "address") for a, b in self._addresses(text, free)]
         rest, last = [], 0
         for start, end, _ in sorted(taken):
             rest += [text[last:start], "\n" * (end - start)]
@@ -289,6 +292,16 @@ class Finder:
                 taken.append((start, end, "name"))
         return sorted(taken)
 
+    def _addresses(self, text: str, free) -> list[tuple[int, int]]:
+        """Addresses of learned kinds, and those that their shape alone tells, whatever was learned; where two overlap, all that they hold."""
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(m.span() for r in (self.address, self.strict) for m in r.finditer(text) if free(*m.span())):
+            if out and a < out[-1][1] and free(out[-1][0], max(b, out[-1][1])):
+                out[-1] = out[-1][0], max(b, out[-1][1])
+            elif not out or a >= out[-1][1]:
+                out.append((a, b))
+        return out
+
     def _known(self, word: str) -> bool:
         return len(word) > 2 and word.lower() in self.words
 

@@ -58,3 +58,11 @@ def test_lists_beyond_the_broadcast_are_whole(spark, found):
     y = I.Identifiers(x.all, "id")
     y.tables = {k: v.select(*more[k].columns).unionByName(more[k]) for k, v in x.tables.items()}
     assert {tuple(r) for r in y.found().collect()} == want
+
+
+def test_addresses_of_rare_kinds_and_towns(spark, found):
+    _, x = found
+    texts = ["Write to 14 Ashen Wynd, Farhollow, QX7 2ZB today.", "Flat 2, 9 Long Ashen Wynd\nFar Hollow QX7 2ZB", "Home: 8 Marl Street, Farhollow QX7 2ZB.", "we moved to 8 marl street, far hollow, qx7 2zb in may", "We met at 8 Marl Street, Tolmoor in May.", "from 8 marl street to 20 beds"]
+    finder = I.Finder(I.Learned(x.tables))
+    got = [[t[a:b] for a, b, kind in finder.spans(t) if kind == "address"] for t in texts]
+    assert got == [["14 Ashen Wynd, Farhollow, QX7 2ZB"], ["Flat 2, 9 Long Ashen Wynd\nFar Hollow QX7 2ZB"], ["8 Marl Street, Farhollow QX7 2ZB"], ["8 marl street, far hollow, qx7 2zb"], ["8 Marl Street, Tolmoor"], ["8 marl street"]]
