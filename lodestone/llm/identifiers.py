@@ -31,6 +31,9 @@ from lodestone.sources.tables import table
 ROUNDS, LEXICON = 3, 200_000
 #: Fixed values.
 TITLES = "mr mrs ms miss mx dr prof professor sister nurse sr sir dame herr frau".split()
+#: Titles that are no words of other meaning; words between the parts of a name.
+ABBREVIATIONS = frozenset("mr mrs ms mx dr prof".split())
+PARTICLES = frozenset("de da di do dos das du del della der den van von zu zum zur ter ten la le bin ibn bint al el".split())
 UNITS = "flat apt apartment unit suite room".split()
 GERMAN_STREETS = "weg straße strasse str platz allee gasse ring damm ufer".split()
 EMAIL = r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*(?:@|\s?[\(\[]at[\)\]]\s?)[A-Za-z0-9-]+(?:(?:\.|\s?[\(\[]dot[\)\]]\s?)[A-Za-z0-9-]+)+"
@@ -305,24 +308,32 @@ class Finder:
     def _known(self, word: str) -> bool:
         return len(word) > 2 and word.lower() in self.words
 
-    def _name_at(self, text: str, at: int, announced: bool) -> tuple[int, int] | None:
-        """A name that begins at that place: initials and words that are known, or capitalised where a name is announced."""
+    def _name_at(self, text: str, at: int, announced: bool, title: str | None = None) -> tuple[int, int] | None:
+        """A name that begins at that place: initials and words that are known, or capitalised where a name is announced; after a title any capitalised ones."""
         parts, end = [], at
-        while len(parts) < 4:
+        # a title in words (sister, nurse) tells no name where it is written small or all in capitals, or where its full stop may end the sentence
+        sure = title is not None and (title.rstrip(".").lower() in ABBREVIATIONS or title.istitle() and not title.endswith("."))
+        while True:
             m = self.word.match(text, end)
             if not m:
                 break
             w = m.group()
             initial = len(w.rstrip(".")) == 1 and w[0].isupper() and w.endswith(".")
             bare = w.rstrip(".")
-            known = not initial and self._known(bare)
+            known = not initial and (self._known(bare) or title is not None and bare.lower() in self.words)
             rare = bare.lower() not in self.usual or bare.lower() in self.towns
             likely = announced and not initial and len(bare) > 2 and bare[0].isupper() and rare and all(p[0] for p in parts)
             if announced and not initial and not known and len(bare) > 4 and [p[1] for p in parts if not p[0]] == [True]:
                 # an unknown word after a known one, written alike: not one that other sentences use, unless also a place
                 likely = bare[0].isupper() == text[parts[0][2]].isupper() and rare
-            if not (initial or known or likely):
+            if sure and not initial and bare[0].isupper():
+                long = [text[p[2] : p[3]] for p in parts if not p[0] and p[3] - p[2] > 1]
+                # words all in capitals go on as long as other sentences don't use them
+                likely = bare.lower() not in TITLES and (not long or len(bare) == 1 or not bare.isupper() and not long[0].isupper() or bare.isupper() and rare)
+            particle = not (initial or known or likely) and bare == w and bare.lower() in PARTICLES and (bool(parts) or sure)
+            if not (initial or known or likely or particle):
                 break
+            initial |= particle  # no word by itself: dropped at the end of a name
             stop = m.end() if initial else m.start() + len(bare)
             parts.append((initial, known, m.start(), stop))
             after = re.compile(r",[^\S\n]+|[^\S\n]+").match(text, stop) if initial or not w.endswith(".") else None
@@ -346,7 +357,7 @@ class Finder:
     def _names(self, text: str) -> Iterator[tuple[int, int]]:
         seen = 0
         for m in self.title.finditer(text):
-            got = self._name_at(text, m.end(), True)
+            got = self._name_at(text, m.end(), True, m.group().strip())
             if got:
                 yield got
         places = [m.start() for m in self.word.finditer(text)]

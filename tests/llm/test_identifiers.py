@@ -66,3 +66,16 @@ def test_addresses_of_rare_kinds_and_towns(spark, found):
     finder = I.Finder(I.Learned(x.tables))
     got = [[t[a:b] for a, b, kind in finder.spans(t) if kind == "address"] for t in texts]
     assert got == [["14 Ashen Wynd, Farhollow, QX7 2ZB"], ["Flat 2, 9 Long Ashen Wynd\nFar Hollow QX7 2ZB"], ["8 Marl Street, Farhollow QX7 2ZB"], ["8 marl street, far hollow, qx7 2zb"], ["8 Marl Street, Tolmoor"], ["8 marl street"]]
+
+
+def test_names_after_a_title_are_whole(spark, found):
+    _, x = found
+    learned = I.Learned(x.tables)
+    learned.lists["usual"] |= {w: "" for w in ("brown", "she", "called", "came")}
+    finder = I.Finder(learned)
+    want = {
+        "Seen by Dr Ng today.": ["Ng"], "Seen by Dr Mei Li, who left.": ["Mei Li"], "Dear Mrs Brown,": ["Brown"], "Dear Mrs de Souza and Mr J. van der Brown.": ["de Souza", "J. van der Brown"],
+        "Ask Prof. Dr. Ana Maria Lopes Vidal Brown Quist today": ["Ana Maria Lopes Vidal Brown Quist"], "MR BROWN CALLED": ["BROWN"], "THE NURSE CAME": [], "Ask my sister. She called.": [],
+        "Next of kin is Osmund de Fenwold.": ["Osmund de Fenwold"], "brown phlegm": [], "Dr Brown and Dr Ng": ["Brown", "Ng"],
+    }
+    assert {t: [t[a:b] for a, b, kind in finder.spans(t) if kind == "name"] for t in want} == want
