@@ -1,9 +1,11 @@
 """Problem 6: passages of held-out items inside a corpus, found by their template.
 
-Every word gets a template form: numbers (in digits or spelt), units and known names become a typed placeholder, other
-words stay. Windows of consecutive template words are hash-joined: the items' distinct windows (a few per word of held-out
-text) against all windows of all documents. A joined pair of windows is verbatim if every slot holds the same word, and
-re-parameterised if slots differ but one renaming, one to one, explains all of them.
+Every word gets a template form: numbers (in digits or spelt), units and names become a typed placeholder, other words
+stay. A name is what stands like one in its own text, item or document: capitalised inside a sentence or after a title, and
+elsewhere in that text if it is capitalised there and never small; and, as a second form beside this one, what the items
+write so anywhere. Windows of consecutive words are hash-joined by the words themselves and by either form: the items'
+distinct windows (a few per word of held-out text) against all windows of all documents. A joined pair of windows is
+verbatim if every word is the same, and re-parameterised if slots differ but one renaming, one to one, explains all of them.
 
 The documents are read once and nothing of them is shuffled but what was found: the items' windows are broadcast as long
 as they are at most WINDOWS rows (24 bytes each), beyond that the join is an ordinary one.
@@ -14,40 +16,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import words
+from lodestone.functions.text import APOSTROPHES, WORD, words
+from lodestone.llm.identifiers import TITLES
 from lodestone.operators.joins import small_or_shuffled
 from lodestone.session import cut
 from lodestone.sources.tables import table
 
 WINDOWS = 500_000
-MOST_NAMES = 10_000
+LITERAL_NAMES = 10_000  # learned names up to which they stand in the expression; more are joined to the texts
+#: A sign for private use, put before words that stand like names.
+MARK = "\ue000"
+NAME_LIKE = rf"(?<=[\p{{L}}\p{{N}},;] )(?=\p{{Lu}}\p{{Ll}})|(?<=(?<![\p{{L}}\p{{N}}])(?i:{'|'.join(TITLES)})\.?\s)(?=\p{{Lu}}\p{{Ll}})"
 #: Spelt numbers and units that a template leaves open.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand once twice".split()
 UNITS = "second seconds minute minutes hour hours day days week weeks month months year years mg g kg mcg ml l litre litres cm mm m km degree degrees bpm mmhg mmol unit units percent".split()
 
 
-def template(word: Column, names: list[str]) -> Column:
-    """The template form of one word as words() gives it."""
+def template(word: Column, name: Column) -> Column:
+    """The template form of one word as words() gives it; name: whether it is a name."""
     number = word.rlike(r"\p{N}") | word.isin(NUMBERS)
-    form = F.when(number, "<number>").when(word.isin(UNITS), "<unit>")
-    return (form.when(word.isin(names), "<name>") if names else form).otherwise(word)
-
-
-def _windows(texts: DataFrame, size: int, names: list[str]) -> DataFrame:
-    """(id, at, th, vh): the position, template hash and word hash of each window of texts (id, text)."""
-    w = texts.select("id", words(F.col("text")).alias("w"))
-    # both arrays are used twice, so that the optimizer computes them once a row and not once a window
-    t = w.select("id", "w", F.transform("w", lambda x: template(x, names)).alias("t"), F.size("w").alias("n"))
-    one = lambda i: F.struct(F.xxhash64(F.slice("t", i, size)).alias("th"), F.xxhash64(F.slice("w", i, size)).alias("vh"))
-    every = F.transform(F.sequence(F.lit(1), F.least(F.size("t"), F.col("n")) - size + 1), one)
-    return t.select("id", F.posexplode(F.when(F.col("n") >= size, every)).alias("at", "x")).select("id", (F.col("at") + 1).alias("at"), "x.th", "x.vh")
-
-
-def item_names(items: DataFrame, text: str = "text") -> list[str]:
-    """Words capitalised inside sentences of the items; at most MOST_NAMES of them, the commonest."""
-    found = items.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"), 0)).alias("n"))
-    rows = found.groupBy(F.lower("n").alias("n")).count().orderBy(F.desc("count"), "n").limit(MOST_NAMES).collect()
-    return [r["n"] for r in rows]
+    return F.when(number, "<number>").when(word.isin(UNITS), "<unit>").when(name, "<name>").otherwise(word)
+
+
+def _windows(texts: DataFrame, size: int) -> DataFrame:
+    """(id, vh, check): two hashes of the words of each window of texts (id, text)."""
+    w = texts.select("id", words(F.col("text")).alias("w")).select("id", "w", F.size("w").alias("n"))
+    one = lambda i: F.struct(F.xxhash64(F.slice("w", i, size)).alias("vh"), F.hash(F.slice("w", i, size)).alias("check"))
+    every = F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), one)
+    return w.select("id", F.explode(F.when(F.col("n") >= size, every)).alias("x")).select("id", "x.vh", "x.check")
+
+
+def marked_words(text: Column) -> Column:
+    """words(), each with a mark before it if it is capitalised inside a sentence or after a title, with "^" if it is capitalised elsewhere."""
+    bare = F.regexp_replace(F.translate(text, MARK + "^", "  "), APOSTROPHES, "")
+    named = F.regexp_replace(bare, NAME_LIKE, MARK)
+    named = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{MARK}])(?=\p{{Lu}}\p{{Ll}})", "^")
+    return F.regexp_extract_all(F.lower(named), F.lit(rf"[{MARK}^]?{WORD}"), 0)
+
+
+def _templates(texts: DataFrame, size: int, names: DataFrame) -> DataFrame:
+    """(id, at, h): of each window of texts (id, text) the hashes of its words and of its template, names being those of the text or those learned (n)."""
+    w = texts.select("id", marked_words(F.col("text")).alias("m")).select("id", "m", F.transform("m", lambda x: F.translate(x, MARK + "^", "")).alias("w"))
+    plain = F.array_distinct(F.filter("m", lambda x: ~x.rlike(f"^[{MARK}^]")))
+    own = F.array_except(F.array_distinct(F.transform(F.filter("m", lambda x: x.startswith(MARK)), lambda x: F.substring(x, 2, 1_000_000))), plain)
+    w = w.select("id", "m", "w", own.alias("own"), F.size("w").alias("n"))
+    few = [r["n"] for r in names.limit(LITERAL_NAMES + 1).collect()]
+    if len(few) <= LITERAL_NAMES:
+        listed = lambda x: x.isin(few) if few else F.lit(False)
+    else:
+        held = w.select("id", F.explode(F.array_distinct("w")).alias("n")).join(names, "n").groupBy("id").agg(F.collect_set("n").alias("listed"))
+        w = w.join(held, "id", "left").withColumn("listed", F.coalesce("listed", F.array().cast("array<string>")))
+        listed = lambda x: F.array_contains("listed", x)
+    stands = F.transform("m", lambda x: template(F.translate(x, MARK + "^", ""), x.startswith(MARK) | (x.startswith("^") & F.array_contains("own", F.substring(x, 2, 1_000_000)))))
+    known = F.transform("w", lambda x: template(x, listed(x)))
+    # the arrays are used more than once, so that the optimizer computes them once a row and not once a window
+    t = w.select("id", "w", "n", stands.alias("s"), known.alias("k"))
+    one = lambda i: F.array_distinct(F.array(*(F.xxhash64(F.slice(c, i, size)) for c in ("w", "s", "k"))))
+    every = F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), one)
+    at = t.select("id", F.posexplode(F.when(F.col("n") >= size, every)).alias("at", "x"))
+    return at.select("id", (F.col("at") + 1).alias("at"), F.explode("x").alias("h"))
+
+
+def item_names(items: DataFrame, text: str = "text") -> DataFrame:
+    """(n): words capitalised inside sentences of the items, or after a title."""
+    m = items.select(F.explode(marked_words(F.col(text))).alias("m")).filter(F.col("m").startswith(MARK))
+    return m.select(F.substring("m", 2, 1_000_000).alias("n")).distinct()
 
 
 def _ready(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -63,32 +96,30 @@ class Leaks:
 
     def __init__(self, items: DataFrame, docs: DataFrame, item_id: str = "item_id", doc_id: str = "doc_id", text: str = "text", size: int = 10):
         self.size, self.items, self.docs = size, _ready(items, item_id, text), _ready(docs, doc_id, text)
-        self.names = item_names(self.items)
-        self.of_items = cut(_windows(self.items, size, self.names).distinct())
-        known = small_or_shuffled(cut(self.of_items.select("th").distinct()), WINDOWS)
-        self.of_docs = _windows(self.docs, size, self.names).join(known, "th", "left_semi")  # windows of documents whose template some item has
 
     def verbatim(self) -> DataFrame:
         """(item, doc) with a window of the same words."""
-        mine = small_or_shuffled(self.of_items.select(F.col("id").alias("item"), "th", "vh").distinct(), WINDOWS)
-        return self.of_docs.select(F.col("id").alias("doc"), "th", "vh").join(mine, ["th", "vh"]).select("item", "doc").distinct()
+        mine = cut(_windows(self.items, self.size).select(F.col("id").alias("item"), "vh", "check").distinct())
+        docs = _windows(self.docs, self.size).withColumnRenamed("id", "doc")
+        return docs.join(small_or_shuffled(mine, WINDOWS), ["vh", "check"]).select("item", "doc").distinct()
 
     def by_slots(self) -> DataFrame:
         """(item, doc, verbatim, renamed): numbers of the document's windows that an item's window explains, word by word or after one renaming of slots."""
-        docs = cut(self.of_docs)
-        mine = self.of_items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "th", F.col("vh").alias("item_vh"))
-        pairs = docs.select(F.col("id").alias("doc"), "at", "th", "vh").join(small_or_shuffled(mine, WINDOWS), "th")
-        same = pairs.filter(F.col("vh") == F.col("item_vh")).select("item", "doc", "at").distinct().withColumn("kind", F.lit("verbatim"))
-        other = pairs.filter(F.col("vh") != F.col("item_vh"))
+        names = cut(item_names(self.items))
+        of_items = cut(_templates(self.items, self.size, names).distinct())
+        known = small_or_shuffled(cut(of_items.select("h").distinct()), WINDOWS)
+        docs = cut(_templates(self.docs, self.size, names).join(known, "h", "left_semi"))  # windows of documents whose words or template some item has
+        mine = of_items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "h")
+        other = docs.select(F.col("id").alias("doc"), "at", "h").join(small_or_shuffled(mine, WINDOWS), "h").select("item", "doc", "item_at", "at").distinct()
         texts = lambda df, name: df.select(F.col("id").alias(name), words(F.col("text")).alias(f"{name}_w")).dropDuplicates([name])
         read = docs.select(F.col("id").alias("doc")).distinct()
         other = other.join(texts(self.docs, "doc").join(read, "doc", "left_semi"), "doc").join(small_or_shuffled(cut(texts(self.items, "item")), 20_000), "item")
         a, b = F.slice("item_w", F.col("item_at"), self.size), F.slice("doc_w", F.col("at"), self.size)
-        slots = other.select("item", "doc", "at", F.array_distinct(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("s"))
+        slots = other.select("item", "doc", "at", F.array_distinct(F.arrays_zip(a.alias("a"), b.alias("b"))).alias("s"), (a == b).alias("same"))
         one_to_one = (F.size(F.array_distinct(F.col("s.a"))) == F.size("s")) & (F.size(F.array_distinct(F.col("s.b"))) == F.size("s"))
-        renamed = slots.filter(one_to_one).select("item", "doc", "at").distinct().withColumn("kind", F.lit("renamed"))
+        kinds = slots.filter(F.col("same") | one_to_one).select("item", "doc", "at", F.when(F.col("same"), "verbatim").otherwise("renamed").alias("kind")).distinct()
         n = lambda k: F.count_if(F.col("kind") == k).alias(k)
-        return same.unionByName(renamed).groupBy("item", "doc").agg(n("verbatim"), n("renamed"))
+        return kinds.groupBy("item", "doc").agg(n("verbatim"), n("renamed"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

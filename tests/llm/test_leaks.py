@@ -40,3 +40,18 @@ def test_renamed_slots_must_be_consistent(spark):
 def test_empty(spark):
     assert run(spark, [], [(1, "x")]).verbatim().count() == 0
     assert run(spark, [(1, "a b c d e f g h i j k")], []).verbatim().count() == 0
+
+
+def test_names_no_item_holds_are_slots(spark):
+    items = [(1, "Mr Osmund said that the pain of the left arm began last spring."), (2, "Fenwold walks slowly now and the sister of Fenwold sees that it hurts.")]
+    docs = [(1, "Mrs Tavra said that the pain of the left arm began last spring."), (2, "then Quillhay walks slowly now and the sister of Quillhay sees that it hurts."), (3, "Quillhay walks slowly now and the sister of Quillhay sees that it hurts."), (4, "Quillhay walks slowly now and the sister of Thornby sees that it hurts."), (5, items[0][1].upper())]
+    got = {(r["item"], r["doc"]): (r["verbatim"], r["renamed"]) for r in run(spark, items, docs).by_slots().collect()}
+    assert got == {(1, 1): (2, 1), (1, 5): (4, 0), (2, 2): (0, 4), (2, 3): (0, 4), (2, 4): (0, 3)}
+
+
+def test_all_names_of_the_items_are_slots(spark):
+    name = lambda i: "Q" + "".join(chr(97 + int(c)) for c in str(i)) + "z"
+    items = [(i, "with " + " ".join(name(j) for j in range(i * 105, i * 105 + 105))) for i in range(100)] + [(900, f"the pain that made {name(10499)} of the ward stay at home")]
+    docs = [(1, f"the pain that made {name(10498).lower()} of the ward stay at home")]
+    got = {(r["item"], r["doc"]): r["renamed"] for r in run(spark, items, docs).by_slots().collect()}
+    assert got == {(900, 1): 2}
