@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from lodestone.functions.text import words
 from lodestone.operators.joins import small_or_shuffled
 from lodestone.session import cut
 
-ANCHOR = 8  # words of a quote that are looked up before it is compared whole
+ANCHOR = 8  # most words of a quote that are looked up before it is compared whole
 
 
 def term_index(labels: DataFrame) -> DataFrame:
@@ -51,16 +53,27 @@ def crosswalk(ours: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def quotes_found(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(quote_id, text_id) for each quote that stands verbatim, white space squeezed, in a text; quotes have at least ANCHOR words.
+    """(quote_id, text_id) for each quote that stands verbatim, white space squeezed, in a text; of any length, but empty ones.
 
-    A quote's first words are hash-joined with all runs of so many words of the texts; only texts that hold them are
-    compared whole. Quotes are few and hand-made: they are broadcast if their number allows.
+    The words inside a quote, at most ANCHOR of them (its first and last may be parts of a text's words), are hash-joined
+    with all runs of so many words of the texts; only texts that hold them are compared whole. Quotes without a word
+    inside are compared with every text. Quotes are few and hand-made: they are broadcast if their number allows.
     """
-    q = cut(quotes.select("quote_id", squeeze(F.col("quote")).alias("quote")).withColumn("w", words(F.col("quote"))).filter(F.size("w") >= ANCHOR).select("quote_id", "quote", F.xxhash64(F.slice("w", 1, ANCHOR)).alias("h")))
-    t = texts.select("text_id", squeeze(F.col("text")).alias("text")).withColumn("w", words(F.col("text"))).withColumn("n", F.size("w"))
-    runs = F.when(F.col("n") >= ANCHOR, F.transform(F.sequence(F.lit(1), F.size("w") - ANCHOR + 1), lambda i: F.xxhash64(F.slice("w", i, ANCHOR))))
-    held = t.select("text_id", F.explode(F.array_distinct(runs)).alias("h")).join(small_or_shuffled(q), "h").select("quote_id", "quote", "text_id")
-    return held.join(t.select("text_id", "text"), "text_id").filter(F.contains("text", F.col("quote"))).select("quote_id", "text_id").distinct()
+    q = quotes.select("quote_id", squeeze(F.col("quote")).alias("quote"), words(F.col("quote")).alias("w")).filter("quote <> ''")
+    q = cut(q.select("quote_id", "quote", F.slice("w", 2, F.greatest(F.least(F.size("w") - 2, F.lit(ANCHOR)), F.lit(0))).alias("a")))
+    sizes = sorted(r["n"] for r in q.select(F.size("a").alias("n")).distinct().collect())  # at most ANCHOR + 1
+    t = texts.select("text_id", squeeze(F.col("text")).alias("text"))
+    found = []
+    if sizes and sizes[-1]:
+        w = t.withColumn("w", words(F.col("text"))).withColumn("n", F.size("w"))
+        runs = lambda k: F.when(F.col("n") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.slice("w", i, k)))).otherwise(F.array().cast("array<bigint>"))
+        anchored = cut(q.filter(F.size("a") > 0).select("quote_id", "quote", F.xxhash64("a").alias("h")))
+        held = w.select("text_id", F.explode(F.array_distinct(F.concat(*(runs(k) for k in sizes if k)))).alias("h")).join(small_or_shuffled(anchored), "h").select("quote_id", "quote", "text_id")
+        found.append(held.join(t, "text_id").filter(F.contains("text", F.col("quote"))).select("quote_id", "text_id"))
+    if not sizes or not sizes[0]:
+        short = cut(q.filter(F.size("a") == 0).select("quote_id", "quote"))
+        found.append(t.join(small_or_shuffled(short), F.contains("text", F.col("quote"))).select("quote_id", "text_id"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def content_digest(df: DataFrame, column: str) -> DataFrame:
