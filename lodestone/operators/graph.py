@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.session import cut
 
-MOST_DEPTH = 200
-
 
 def edges_of(relationships: DataFrame, is_a: str) -> DataFrame:
     """Distinct (child, parent) of active is-a rows of a release table (active, sourceId, destinationId, typeId)."""
     return relationships.filter((F.col("active") == "1") & (F.col("typeId") == is_a)).select(F.col("sourceId").alias("child"), F.col("destinationId").alias("parent")).distinct()
 
 
-def ancestors(edges: DataFrame, starts: DataFrame | None = None, depth: int = MOST_DEPTH) -> DataFrame:
+def ancestors(edges: DataFrame, starts: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """(node, ancestor, depth): all ancestors of each start (column node; default: every child), by the shortest path.
 
     A node is its own ancestor only on a cycle. Each round joins only the pairs that are new, and drops those known, so a
-    diamond isn't walked twice; it ends when a round finds nothing. Null ends are no edges; repeated edges count once.
+    diamond isn't walked twice; it ends when a round finds nothing, or at `depth` where one is given. Null ends are no edges; repeated edges count once.
     """
     e = cut(edges.select("child", "parent").dropna().distinct())
     first = e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
@@ -27,7 +27,7 @@ def ancestors(edges: DataFrame, starts: DataFrame | None = None, depth: int = MO
         first = first.join(starts.select("node").distinct(), "node", "left_semi")
     known = cut(first.withColumn("depth", F.lit(1)))
     new = known
-    for step in range(2, depth + 1):
+    for step in count(2) if depth is None else range(2, depth + 1):
         found = new.join(e.withColumnRenamed("child", "ancestor"), "ancestor").select("node", F.col("parent").alias("ancestor")).distinct()
         new = cut(found.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(step)))
         if not new.limit(1).count():
