@@ -1,9 +1,16 @@
-"""Bloom filters of what a column holds at least twice, built per partition and merged.
-
-A filter is a pair of bit sets, once and twice. Adding a hash sets its bits in once; if once held them all already, also
-in twice. Two filters merge as (o1 | o2, t1 | t2 | o1 & o2): a hash that is in both has all its bits in o1 & o2, so twice
-never lacks a hash that was added twice anywhere, in whatever order and grouping filters are merged. What twice holds
-beyond that costs a needless look, never a result.
+"""Which hashes occur at least twice in a table too large for one filter: Bloom filters split by range of hash.
+
+Every source part of the table (a partition as it was written) sends each range its share as a partial filter in sparse
+form: the distinct hashes it holds there, with how often, since a part holds few of a range's hashes and their list is
+smaller than the bits they set. The task of a range merges the partial filters into a pair of bit sets, once and twice: a
+hash sets its bits in once; if the part holds it several times or once holds all its bits already, also in twice. What
+twice never lacks is a hash that occurs twice anywhere, in whatever order parts come. The hashes that twice holds are the
+possible repeats; of these, and of no others, the task adds up the occurrences, and sends what is left back to the
+parts that hold it. A hash in a third of all rows is one entry per part by then.
+
+A range holds about PER_RANGE rows, whatever the table's size; nothing goes to the driver, nothing is broadcast, and rows
+stay where they are: the answer to each part lies in the shared folder under the part's number, and whoever reads rows of
+that part looks it up there.
 """
 
 from __future__ import annotations
@@ -17,94 +24,139 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HASHES = 4
-#: Bits a distinct hash at that many bits a row costs 1 part in 1,000 of needless looks at most.
-BITS_PER_ROW = 8
-#: Most bits of one filter: 8 MB to build in a task, 8 MB to broadcast. More rows go in several passes by range of hash.
-MOST_BITS = 1 << 26
-PAGE = 1 << 13  # bytes
+from lodestone.session import new_folder
+
+HASHES, BITS_PER_HASH = 4, 16  # with 16 bits a hash about 2 singletons in 1,000 pass as possible repeats
+PER_RANGE = 1 << 21
+CHUNK = 1 << 20  # rows of a part that are gathered before they are sent
+PARTIAL = "range long, src int, h binary, n binary"
+ANSWER = "src int, h binary, n binary"
 
 
 def positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """HASHES bit positions for each 64-bit hash, one row each; bits is a power of two."""
-    h = h.astype(np.uint64, copy=False)
+    """HASHES bit positions for each 64-bit hash, a row for each of them; bits is a power of two."""
     with np.errstate(over="ignore"):
         a = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         b = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
         return np.stack([((a + np.uint64(i) * b) >> np.uint64(20)) & np.uint64(bits - 1) for i in range(HASHES)])
 
 
-def has_all(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.logical_and.reduce([(words[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 for p in at]).astype(bool)
+class Filter:
+    """The bit sets once and twice of one range; a bit is a byte in memory."""
 
+    def __init__(self, hashes: int):
+        self.bits = 1 << max(10, (max(1, hashes) * BITS_PER_HASH - 1).bit_length())
+        self.once, self.twice = np.zeros(self.bits, bool), np.zeros(self.bits, bool)
 
-def put(words: np.ndarray, at: np.ndarray) -> None:
-    p = np.unique(at.ravel())
-    np.bitwise_or.at(words, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+    def merge(self, h: np.ndarray, n: np.ndarray) -> None:
+        """Adds a partial filter: distinct hashes and how often each occurs."""
+        at = positions(h, self.bits)
+        self.twice[at[:, (n > 1) | self.once[at].all(axis=0)]] = True
+        self.once[at] = True
 
+    def repeated(self, h: np.ndarray) -> np.ndarray:
+        return self.twice[positions(h, self.bits)].all(axis=0)
 
-def _build(bits: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        seen = False
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            seen = True
-            h, n = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-            at = positions(h.view(np.uint64), bits)
-            put(twice, at[:, (n > 1) | has_all(once, at)])
-            put(once, at)
-        if not seen:
-            return
-        size = min(PAGE, bits // 8)
-        for page in np.flatnonzero(once.reshape(-1, size).any(axis=1)):
-            o, t = (x[page * size : (page + 1) * size].tobytes() for x in (once, twice))
-            yield pa.RecordBatch.from_pydict({"page": pa.array([int(page)], pa.int32()), "once": pa.array([zlib.compress(o, 1)], pa.binary()), "twice": pa.array([zlib.compress(t, 1)], pa.binary())})
 
-    return run
+def _pack(x: np.ndarray) -> bytes:
+    return zlib.compress(x.tobytes(), 1)
 
 
-def _merge(pages: pd.DataFrame) -> pd.DataFrame:
-    once = twice = None
-    for o, t in zip(pages["once"], pages["twice"]):
-        o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
-        once, twice = (o, t) if once is None else (once | o, twice | t | (once & o))
-    return pd.DataFrame({"page": pages["page"].iloc[:1], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
+def _unpack(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), kind)
 
 
-def seen_twice(hashes: DataFrame, bits: int) -> bytes:
-    """The twice bits over all partitions of the one bigint column of hashes (no nulls), of bits / 8 bytes."""
-    schema = "page int, once binary, twice binary"
-    pages = hashes.mapInArrow(_build(bits), schema)
-    # in two steps, so that no task merges more than the square root of all partial filters
-    some = pages.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("page", "part").applyInPandas(_merge, schema)
-    size = min(PAGE, bits // 8)
-    out = bytearray(bits // 8)
-    for row in some.groupBy("page").applyInPandas(_merge, schema).select("page", "twice").toLocalIterator():  # bits / 8 bytes in all
-        out[row["page"] * size : (row["page"] + 1) * size] = zlib.decompress(row["twice"])
-    return bytes(out)
+def _partials(range_bits: int):
+    def send(srcs: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for src in np.unique(srcs):
+            h, n = np.unique(hashes[srcs == src], return_counts=True)
+            of = h >> np.uint64(64 - range_bits) if range_bits else np.zeros(len(h), np.uint64)
+            ranges, first = np.unique(of, return_index=True)
+            ends = [*first[1:], len(h)]
+            columns = {
+                "range": pa.array(ranges.astype(np.int64)),
+                "src": pa.array(np.full(len(ranges), src, np.int32)),
+                "h": pa.array([_pack(h[a:b]) for a, b in zip(first, ends)], pa.binary()),
+                "n": pa.array([_pack(n[a:b].astype(np.int64)) for a, b in zip(first, ends)], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+            size += batch.num_rows
+            if size >= CHUNK:
+                yield from send(np.concatenate([s for s, _ in held]), np.concatenate([h for _, h in held]).view(np.uint64))
+                held, size = [], 0
+        if size:
+            yield from send(np.concatenate([s for s, _ in held]), np.concatenate([h for _, h in held]).view(np.uint64))
 
-def bits_for(rows: int, most: int = MOST_BITS) -> tuple[int, int]:
-    """Bits of a filter, and passes by range of hash, for so many rows."""
-    bits = 1 << max(10, (max(1, rows) * BITS_PER_ROW - 1).bit_length())
-    return min(bits, most), max(1, bits // most)
+    return run
 
 
-def _looker(filled, bits: int):
-    def look(hashes: pd.Series) -> pd.Series:
-        return pd.Series(has_all(np.frombuffer(filled.value, np.uint8), positions(hashes.to_numpy(np.int64).view(np.uint64), bits)))
+def _answers(partials: pd.DataFrame) -> pd.DataFrame:
+    """What one range sends back: for each part its hashes that occur more than once in the range, with how often."""
+    parts = [(src, _unpack(h, np.uint64), _unpack(n, np.int64)) for src, h, n in zip(partials["src"], partials["h"], partials["n"])]
+    both = Filter(sum(len(h) for _, h, _ in parts))
+    for _, h, n in parts:
+        both.merge(h, n)
+    sieved = [(src, h[keep], n[keep]) for src, h, n in parts if (keep := both.repeated(h)).any()]
+    if not sieved:
+        return pd.DataFrame({"src": np.zeros(0, np.int32), "h": [], "n": []})
+    known, inverse = np.unique(np.concatenate([h for _, h, _ in sieved]), return_inverse=True)
+    total = np.zeros(len(known), np.int64)
+    np.add.at(total, inverse, np.concatenate([n for _, _, n in sieved]))
+    out = []
+    for src, h, _ in sieved:
+        n = total[np.searchsorted(known, h)]
+        if (n > 1).any():
+            out.append((src, _pack(h[n > 1]), _pack(n[n > 1])))
+    return pd.DataFrame(out, columns=["src", "h", "n"]).astype({"src": "int32"})
+
+
+def _read(folder: str, src: int) -> tuple[np.ndarray, np.ndarray]:
+    """A part's repeated hashes in order, and how often each occurs."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, at = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    mine = [f.path for f in files.get_file_info(fs.FileSelector(f"{at}/src={src}", allow_not_found=True)) if f.path.endswith(".parquet")]
+    rows = [r for f in mine for r in pq.read_table(files.open_input_file(f)).select(["h", "n"]).to_pylist()]
+    h = np.concatenate([np.zeros(0, np.uint64), *(_unpack(r["h"], np.uint64) for r in rows)])
+    n = np.concatenate([np.zeros(0, np.int64), *(_unpack(r["n"], np.int64) for r in rows)])
+    h, first = np.unique(h, return_index=True)  # a part of several chunks was answered several times
+    return h, n[first]
+
+
+def _looker(folder: str):
+    def look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        have, known, n = None, None, None
+        for srcs, hashes in batches:
+            s, h = srcs.to_numpy(), hashes.to_numpy(np.int64).view(np.uint64)
+            out = np.ones(len(h), np.int64)
+            for src in np.unique(s):
+                if src != have:
+                    have, (known, n) = src, _read(folder, int(src))
+                mine = np.flatnonzero(s == src)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h[mine]), len(known) - 1)
+                    out[mine] = np.where(known[at] == h[mine], n[at], 1)
+            yield pd.Series(out)
 
     return look
 
 
-def maybe_twice(df: DataFrame, h: str, bits: int, passes: int = 1) -> list[tuple[Column, Column]]:
-    """For each pass, its condition on a row's hash, and the condition that holds for all its rows whose hash df has twice and few others."""
-    sc = df.sparkSession.sparkContext
-    out = []
-    for k in range(passes):
-        mine = F.pmod(F.shiftrightunsigned(F.col(h), 8), F.lit(passes)) == k if passes > 1 else F.lit(True)
-        filled = sc.broadcast(seen_twice(df.filter(mine).select(h), bits))
-        out.append((mine, F.pandas_udf(_looker(filled, bits), "boolean")(F.col(h))))
-    return out
+def occurrences(rows: DataFrame, src: str, h: str, per_range: int = PER_RANGE) -> Column:
+    """A column for the rows of this table: how often its hash occurs in it, counted for possible repeats only (all others are 1).
+
+    rows must be stored: src is the number of the part in which a row was written, h its hash, never null. The table is
+    read once, in these two columns.
+    """
+    ranges = -(-rows.count() // per_range)
+    bits = (max(1, ranges) - 1).bit_length()
+    partials = rows.select(src, h).mapInArrow(_partials(bits), PARTIAL)
+    answers = partials.groupBy("range").applyInPandas(_answers, ANSWER)
+    folder = new_folder(rows.sparkSession)
+    answers.repartition("src").write.partitionBy("src").parquet(folder)
+    return F.pandas_udf(_looker(folder), "bigint")(F.col(src), F.col(h))

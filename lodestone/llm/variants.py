@@ -1,8 +1,9 @@
 """Problem 1: records that differ only in formatting, collapsed with their number of copies.
 
-Each row has a canonical key, made in the JVM. Of its 64-bit hash, Bloom filters of what occurs once and repeatedly are
-built per partition, merged, and broadcast (at most bloom.MOST_BITS bits; more rows take several passes by range of
-hash). Only rows that may be repeats are shuffled, grouped exactly by the whole key; all others are singletons.
+Each row has a canonical key, made once in the JVM and stored with its 64-bit hash. Bloom filters of what occurs once and
+repeatedly, split by range of hash and merged over the partitions (bloom.occurrences), tell possible repeats. Only those
+are shuffled, grouped exactly by the whole key; all others are singletons and stay where they are. The input is read once
+and the stored rows twice, whatever their number.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import bag_of_words, key_rule
 from lodestone.llm import bloom
-from lodestone.operators.joins import join_groups
+from lodestone.session import stored
 from lodestone.sources.tables import table
 
+HOT = 50_000  # rows of a group for each of its salts
+
 #: The fields of a record, in the order of its contract.
 FIELDS = ("concept", "character", "site", "onset", "duration", "duration_text", "severity", "progression", "polarity")
 RECORD = ", ".join(f"`{f}` string" for f in FIELDS) + ", _bad string"
@@ -38,27 +41,30 @@ class Variants:
     a row that is there twice with one id counts as two copies.
     """
 
-    def __init__(self, df: DataFrame, by: list[str], id: str = "id", key: str = "key", most_bits: int = bloom.MOST_BITS):
+    def __init__(self, df: DataFrame, by: list[str], id: str = "id", key: str = "key", per_range: int = bloom.PER_RANGE):
         self.by, self.keys = by, [*by, "_key"]
         rows = df.select(*by, F.col(id).alias("_id"), F.col(key).alias("_key"))
         usable = reduce(Column.__and__, (F.col(c).isNotNull() for c in self.keys))
-        self.null = rows.filter(~usable)
-        self.rows = rows.filter(usable).withColumn("_h", F.xxhash64(*self.keys))
-        looks = bloom.maybe_twice(self.rows, "_h", *bloom.bits_for(df.count(), most_bits))
-        self.repeats = reduce(DataFrame.unionByName, (self.rows.filter(mine).filter(may) for mine, may in looks))
-        self.single = reduce(DataFrame.unionByName, (self.rows.filter(mine).filter(~may) for mine, may in looks))
-        self.groups = self.repeats.groupBy(*self.keys).agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        rows = stored(rows.withColumn("_h", F.when(usable, F.xxhash64(*self.keys))).withColumn("_src", F.spark_partition_id()))
+        self.null = rows.filter(F.col("_h").isNull())
+        self.rows = rows.filter(F.col("_h").isNotNull())
+        self.rows = self.rows.withColumn("_n", bloom.occurrences(self.rows, "_src", "_h", per_range))
+        self.repeats = stored(self.rows.filter(F.col("_n") > 1).select(*self.keys, "_id", "_n"))
+        self.groups = self.repeats.groupBy(*self.keys).agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("_n").alias("_n"))
 
     def collapsed(self) -> DataFrame:
         """One row per group and one per row without copies: by, rep (its smallest id), copies, key (null only where it was null)."""
-        alone = self.single.select(*self.by, F.col("_id").alias("rep"), F.lit(1).cast("bigint").alias("copies"), F.col("_key").alias("key"))
+        single = self.rows.filter(F.col("_n") == 1)
+        alone = single.select(*self.by, F.col("_id").alias("rep"), F.lit(1).cast("bigint").alias("copies"), F.col("_key").alias("key"))
         never = self.null.select(*self.by, F.col("_id").alias("rep"), F.lit(1).cast("bigint").alias("copies"), F.lit(None).cast("string").alias("key"))
         return self.groups.select(*self.by, "rep", "copies", F.col("_key").alias("key")).unionByName(alone).unionByName(never)
 
     def surplus(self) -> DataFrame:
-        """One row for each copy but the representative: by, rep, id."""
-        many = self.groups.filter(F.col("copies") > 1)
-        return join_groups(self.repeats.select(*self.keys, "_id"), many, self.keys, "copies").filter(F.col("_id") != F.col("rep")).select(*self.by, "rep", F.col("_id").alias("id"))
+        """One row for each copy but the representative: by, rep, id. A group is spread over as many salts as it has times HOT rows, which a row's own count tells."""
+        salts = F.ceil(F.col("_n") / HOT)
+        many = self.groups.filter(F.col("copies") > 1).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+        rows = self.repeats.withColumn("_salt", F.pmod(F.xxhash64("_id"), salts)).drop("_n")
+        return rows.join(many.drop("_n", "copies"), [*self.keys, "_salt"]).filter(F.col("_id") != F.col("rep")).select(*self.by, "rep", F.col("_id").alias("id"))
 
 
 def project_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import bag_of_words
@@ -30,8 +32,8 @@ def test_against_brute_force_with_a_hot_group_and_passes(spark):
         if t and key:
             groups.setdefault((t, key), []).append(i)
     want = {(t, min(g), i) for (t, _), g in groups.items() for i in g if i != min(g)}
-    for most in (bloom.MOST_BITS, 1 << 11):  # one pass, several passes by range of hash
-        v = variants(spark, rows, most_bits=most)
+    for per_range in (bloom.PER_RANGE, 20):  # one range of hash, many
+        v = variants(spark, rows, per_range=per_range)
         assert {tuple(r) for r in v.surplus().collect()} == want
         got = v.collapsed().select("tbl", "rep", "copies").collect()
         assert sum(r["copies"] for r in got) == len(rows)
@@ -49,8 +51,35 @@ def test_records(spark):
     assert got[1] == got[2] != got[8] and all(got[i] is None for i in (3, 4, 5, 6, 7))
 
 
-def test_merged_filters_never_miss_a_repeat(spark):
-    h = spark.range(3000).select(F.xxhash64(F.pmod("id", F.lit(2500))).alias("h")).repartition(7)
-    (mine, may), = bloom.maybe_twice(h, "h", *bloom.bits_for(3000))
-    true = h.groupBy("h").count().filter("count > 1").select("h")
-    assert true.join(h.filter(mine).filter(may).select("h").distinct(), "h", "left_anti").count() == 0
+def test_filters_never_miss_a_repeat():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
+    parts = [np.unique(rng.choice(h, 900), return_counts=True) for _ in range(7)]
+    both = bloom.Filter(sum(len(p) for p, _ in parts))
+    for p in parts:
+        both.merge(*p)
+    all_h = np.concatenate([np.repeat(*p) for p in parts])
+    known, n = np.unique(all_h, return_counts=True)
+    assert both.repeated(known[n > 1]).all() and both.repeated(known[n == 1]).mean() < 0.02
+
+
+def test_the_input_is_read_once_whatever_the_number_of_ranges(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x: pd.Series) -> pd.Series:
+        seen.add(len(x))
+        return x
+
+    looked = F.pandas_udf(look, "string")
+    df = spark.range(4000).repartition(5).select(F.lit("t").alias("tbl"), "id", looked(F.pmod("id", F.lit(3900)).cast("string")).alias("key"))
+    v = Variants(df, ["tbl"], per_range=10)
+    assert v.surplus().count() == 100 and v.collapsed().count() == 3900
+    assert seen.value == 4000
+
+
+def test_a_hot_group_is_spread(spark, monkeypatch):
+    monkeypatch.setattr("lodestone.llm.variants.HOT", 10)
+    v = variants(spark, [("a", i, "hot one" if i % 3 else f"cold {i}") for i in range(300)])
+    got = v.surplus()
+    assert got.count() == 199 and {r["rep"] for r in got.collect()} == {1}
+    assert v.groups.first()["_n"] == 200
