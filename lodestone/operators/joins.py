@@ -7,13 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow table may be broadcast; the caller vouches for a row of at most about 200 bytes.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes (of their text form) up to which a table may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32_000_000
 
 
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows, else as it is. It counts df, so hand it one that has been cut."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows and bytes, else as it is. It is measured, so hand it one that has been cut."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    measured = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()[0]
+    return F.broadcast(df) if measured <= size else df
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int = 50_000) -> DataFrame:
