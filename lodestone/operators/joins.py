@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +17,21 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
     return F.broadcast(df) if measured <= size else df
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int = 50_000) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int = 50_000, most: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
     """Every row with the one row of groups that has its keys (none null).
 
-    groups holds in `size` how many rows its key has. Keys with at least `hot` rows, of which there are no more than
-    1/hot of the rows, go by broadcast, so that no task gets a whole hot group; all others by an ordinary join.
+    groups holds in `size` how many rows its key has. Keys with at least `hot` rows are joined first, so that no task gets a
+    whole hot group: by broadcast where they are few, else with `salts` copies of each, over which rows are spread. All
+    other rows go by an ordinary join. Hand it groups that have been cut if there may be hot ones: they are counted.
     """
     is_hot = F.col(size) >= hot
-    few = groups.filter(is_hot)
-    cold = groups.filter(~is_hot)
-    return reduce(DataFrame.unionByName, (rows.join(F.broadcast(few), keys), rows.join(cold, keys)))
+    few, cold = groups.filter(is_hot), groups.filter(~is_hot)
+    if few.limit(most + 1).count() <= most:
+        few = small_or_shuffled(few, most)
+        rest = rows.join(few.select(*keys), keys, "left_anti")
+        return rows.join(few, keys).unionByName(rest.join(cold, keys))
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(salts)).cast("int")
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_hot", F.lit(True))
+    marked = rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], "left")
+    done = marked.filter("_hot").drop("_salt", "_hot")
+    return done.unionByName(marked.filter("_hot IS NULL").select(*rows.columns).join(cold, keys), allowMissingColumns=False)
