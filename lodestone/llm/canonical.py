@@ -1,28 +1,32 @@
 """Problem 4: freely typed values mapped to a reference list.
 
-Reference entries lie in a trie, letter by letter and word by word, with alias paths: synonyms, every rotation of the word
-order ("effusion, chronic renal"), and other spellings of a word. A value is cleaned of remarks, split into words and
-searched with a Levenshtein automaton that starts anew at each word: it allows as many edits (a swap of neighbours is one)
-as a word of that length may have, a plural s, and a word cut short. A word that stands in the reference list as it is
-can't be a slip of another. All entries found are returned with their distance; the nearest one decides.
-
-The trie is made of at most ENTRIES entries and broadcast; longer lists are searched shard by shard. Values are searched
-once for each distinct writing, which Spark finds with partial aggregation, so a value in a third of the rows costs one
-search; the join back splits hot values.
+The words of the reference list lie in a trie, letter by letter, with alias paths for other spellings; the entries lie in a
+second one, word by word, with alias paths for synonyms and every rotation of the word order ("effusion, chronic renal"). A
+value is split into words; each is run through the first trie by a Levenshtein automaton that allows as many edits (a swap
+of neighbours is one) as a word of that length may have, and a plural s; what it finds are the branches of the second trie
+that are followed. All entries within distance come out with their distance, exact ones or not.
+
+Two rules stand beside the distance. A word cut short ("chron.") stands for all words that begin with it, at 0.5, where
+`abbreviations` is set. And what counts as naming an entry: a path on which a word that stands in the list itself is taken
+for another, or a remark of the list is left out, gives the entry its distance, but no naming distance.
+
+The list is searched in shards of at most ENTRIES entries, whose tries are made in the tasks that search them; nothing of it
+goes to the driver. Which words the list knows is put together over all shards. Values are searched once for each distinct
+writing, which Spark finds with partial aggregation, so a value in a third of the rows costs one search; the join back
+splits hot values.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.joins import join_groups
+from lodestone.operators.joins import join_groups, small_or_shuffled
 from lodestone.session import cut
 from lodestone.sources.tables import table
 
@@ -61,194 +65,212 @@ def limit(length: int) -> int:
 class Trie:
     """Entries (id, rank, names); rank 0 is preferred to 1 at equal distance."""
 
-    def __init__(self, entries: Iterable[tuple[str, int, list[str]]], vocabulary: frozenset[str]):
-        self.vocabulary, self.root, self.memo = vocabulary, {}, {}
+    def __init__(self, entries: Iterable[tuple[str, int, list[str]]], abbreviations: bool = True):
+        self.letters, self.root, self.memo, self.abbreviations = {}, {}, {}, abbreviations
         for id, rank, names in entries:
             for name in names:
                 words = entry_words(name)
                 for turn in range(len(words)):
-                    self._add(words[turn:] + words[:turn], (id, rank))
-
-    def _add(self, words: list[str], entry: tuple[str, int]) -> None:
-        nodes = [self.root]
-        for word in words:
-            spelt = {word, *(word.replace(a, b) for a, b in SPELLINGS)}
-            nodes = [self._path(node, w) for node in nodes for w in sorted(spelt)]
-        for node in nodes:
-            node.setdefault(END, {})[entry[0]] = entry[1]
-
-    @staticmethod
-    def _path(node: dict, word: str) -> dict:
-        for c in word + " ":
-            node = node.setdefault(c, {})
-        return node
-
-    def _word(self, node: dict, word: str) -> list[tuple[dict, float]]:
-        """Nodes at the end of a word of this subtrie that `word` may stand for, with the edits."""
-        key = (id(node), word)
-        if key not in self.memo:
-            self.memo[key] = self._automaton(node, word)
-        return self.memo[key]
-
-    def _automaton(self, start: dict, word: str) -> list[tuple[dict, float]]:
-        word, dotted = word.rstrip("."), word.endswith(".")
-        found: dict[int, tuple[dict, float]] = {}
-
-        def put(node: dict | None, edits: float) -> None:
-            if node is not None and edits < found.get(id(node), (None, 99))[1]:
-                found[id(node)] = (node, edits)
-
-        put(self._follow(start, word + " "), 0.0)
-        put(self._follow(start, word + "s "), 0.1)
+                    node = self.root
+                    for word in words[turn:] + words[:turn]:
+                        node = node.setdefault(word, {})
+                    node.setdefault(END, {})[id] = rank
+        self.vocabulary = frozenset(w for w in self.root if w != END)  # every word begins a rotation
+        for word in self.vocabulary:
+            for spelt in {word, *(word.replace(a, b) for a, b in SPELLINGS)}:
+                node = self.letters
+                for c in spelt:
+                    node = node.setdefault(c, {})
+                node.setdefault(END, set()).add(word)
+
+    def matches(self, word: str) -> list[tuple[str, float, bool]]:
+        """(word of the list, distance, whether it is taken for another): all that a word may stand for."""
+        if word not in self.memo:
+            self.memo[word] = self._automaton(word)
+        return self.memo[word]
+
+    def _automaton(self, given: str) -> list[tuple[str, float, bool]]:
+        word, dotted = given.rstrip("."), given.endswith(".")
+        found: dict[str, tuple[float, bool]] = {}
+
+        def put(words: Iterable[str], cost: float, slip: bool) -> None:
+            for w in words:
+                if (cost, slip) < found.get(w, (99, True)):
+                    found[w] = (cost, slip)
+
+        put(self._follow(word).get(END, ()), 0.0, False)
+        put(self._follow(word + "s").get(END, ()), 0.1, False)
         if len(word) > 3 and word.endswith("s"):
-            put(self._follow(start, word[:-1] + " "), 0.1)
-        known = word in self.vocabulary
-        if not found and not known:
-            self._edited(start, word, 0.0, put)
+            put(self._follow(word[:-1]).get(END, ()), 0.1, False)
+        if not is_remark(word):
+            self._edited(word, 0.0, put)
             if word.endswith("s") and len(word) > 4:
-                self._edited(start, word[:-1], 0.1, put)
-        if dotted or not (found and min(e for _, e in found.values()) < 0.5) and not known:
-            for stem in {word, word.removesuffix("s")}:
+                self._edited(word[:-1], 0.1, put)
+            for stem in {word, word.removesuffix("s")} if self.abbreviations else ():
                 if len(stem) >= (3 if dotted else 4):
-                    self._cut_short(start, stem, put)
-        return list(found.values())
-
-    @staticmethod
-    def _follow(node: dict, text: str) -> dict | None:
+                    stack = [self._follow(stem)]
+                    while stack:
+                        for c, child in stack.pop().items():
+                            put(child, 0.5, not dotted) if c == END else stack.append(child)
+        return [(w, cost, slip) for w, (cost, slip) in found.items()]
+
+    def _follow(self, text: str) -> dict:
+        node = self.letters
         for c in text:
             node = node.get(c)
             if node is None:
-                return None
+                return {}
         return node
 
-    @staticmethod
-    def _edited(start: dict, stem: str, cost: float, put) -> None:
-        """Ends of words within limit(len(stem)) edits: the automaton's states are the rows of the edit table, kept along the path."""
+    def _edited(self, stem: str, cost: float, put) -> None:
+        """Words within limit(len(stem)) edits.
+
+        The automaton is kept as one number for each count of edits e = 0, 1, 2: its bit j is set if the letters of the path
+        so far can be the first j of the stem with e edits. All its states move at once, by shifts, along the path.
+        """
         most, size = limit(len(stem)), len(stem)
         if not most:
             return
-        far = most + 1  # stands for anything beyond; only the band of the table within `most` of its diagonal is kept up
-        first = [min(i, far) for i in range(size + 1)]
-        stack = [(child, c, "", first, None, 1) for c, child in start.items() if c not in (END, " ")]
-        while stack:
-            node, c, last, row, above, depth = stack.pop()
-            new = [far] * (size + 1)
-            if depth <= most:
-                new[0] = depth
-            least = new[0]
-            for i in range(max(1, depth - most), min(size, depth + most) + 1):
-                v = row[i - 1] if stem[i - 1] == c else min(new[i - 1], row[i], row[i - 1]) + 1
-                if above and i > 1 and stem[i - 1] == last and stem[i - 2] == c and above[i - 2] + 1 < v:
-                    v = above[i - 2] + 1
-                if v < far:
-                    new[i] = v
-                    if v < least:
-                        least = v
-            if least <= most:
-                if new[size] <= most and " " in node:
-                    put(node[" "], new[size] + cost)
-                if depth < size + most:
-                    stack += [(child, d, c, new, row, depth + 1) for d, child in node.items() if d != " "]
-
-    def _cut_short(self, start: dict, stem: str, put) -> None:
-        node = self._follow(start, stem)
-        stack = [node] if node else []
+        at: dict[str, int] = {}  # bit j + 1 for each place j of a letter
+        for j, c in enumerate(stem):
+            at[c] = at.get(c, 0) | 2 << j
+        whole, end = (2 << size) - 1, 1 << size
+        two = most > 1
+        stack = [(self.letters, 1, 3, 7 & whole, 0, 0, 0)]
         while stack:
-            for c, child in stack.pop().items():
-                put(child, 0.5) if c == " " else stack.append(child)
-
-    def search(self, words: list[str]) -> dict[str, tuple[float, int]]:
-        """All entries whose path the words may be, else with two neighbours read as one: id -> (distance, rank)."""
-        found = self._search(words)
-        for i in range(len(words) - 1 if not found else 0):
-            for entry, at in self._search([*words[:i], words[i].rstrip(".") + words[i + 1], *words[i + 2 :]]).items():
-                found[entry] = min(found.get(entry, (99, 0)), at)
-        return found
-
-    def _search(self, words: list[str]) -> dict[str, tuple[float, int]]:
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        nodes = [(self.root, 0.0)]
-        for word in words:
-            best: dict[int, tuple[dict, float]] = {}
-            for node, cost in nodes:
-                for end, edits in self._word(node, word):
-                    if cost + edits < best.get(id(end), (None, 99))[1]:
-                        best[id(end)] = (end, cost + edits)
-            nodes = list(best.values())
-        out: dict[str, tuple[float, int]] = {}
-        for node, cost in nodes:
+            node, r0, r1, r2, p0, p1, last = stack.pop()
+            for c, child in node.items():
+                if c == END:
+                    if (r0 | r1 | r2 if two else r0 | r1) & end:
+                        put(child, (0 if r0 & end else 1 if r1 & end else 2) + cost, True)
+                    continue
+                b = at.get(c, 0)
+                swapped = b << 1 & last
+                n0 = r0 << 1 & b
+                n1 = (r1 << 1 & b | r0 | (r0 | n0) << 1 | p0 << 2 & swapped) & whole
+                if two:
+                    n2 = (r2 << 1 & b | r1 | (r1 | n1) << 1 | p1 << 2 & swapped) & whole
+                    if n2 or n1:
+                        stack.append((child, n0, n1, n2, r0, r1, b))
+                elif n1:
+                    stack.append((child, n0, n1, 0, r0, r1, b))
+
+    def search(self, words: list[str]) -> dict[tuple[str, frozenset[int]], tuple[float, int]]:
+        """All entries whose path the words may be: (id, places of words taken for another or left out) -> (distance, rank)."""
+        states: dict[int, tuple[dict, dict[frozenset[int], float]]] = {id(self.root): (self.root, {frozenset(): 0.0})}
+        for i, word in enumerate(words):
+            after: dict[int, tuple[dict, dict[frozenset[int], float]]] = {}
+            for node, costs in states.values():
+                steps = [(child, more, slip) for w, more, slip in self.matches(word) if (child := node.get(w)) is not None]
+                if is_remark(word.rstrip(".")):
+                    steps.append((node, 0.0, True))
+                for child, more, slip in steps:
+                    kept = after.setdefault(id(child), (child, {}))[1]
+                    for slips, cost in costs.items():
+                        at = slips | {i} if slip else slips
+                        if cost + more < kept.get(at, 99):
+                            kept[at] = cost + more
+            states = after
+        out: dict[tuple[str, frozenset[int]], tuple[float, int]] = {}
+        for node, costs in states.values():
+            if node is self.root:
+                continue
             for entry, rank in node.get(END, {}).items():
-                out[entry] = min(out.get(entry, (99, 0)), (cost, rank))
+                for slips, cost in costs.items():
+                    out[entry, slips] = min(out.get((entry, slips), (99, 0)), (cost, rank))
         return out
 
-    def clean(self, value: str) -> list[str] | None:
-        """The words of a value that may name something; None if it says nothing."""
-        words = [w for w in split_words(value) if (b := w.rstrip(".")) in self.vocabulary or not (b in REMARKS or len(b) == 1 or any(c.isdigit() for c in b))]
-        return None if all(w.rstrip(".") in PLACEHOLDERS for w in words) else words
-
-
-def _searcher(shared):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(*shared.value)
-        for batch in batches:
-            rows = []
-            for value in batch["value"]:
-                words = trie.clean(value)
-                if words is None:
-                    rows.append((value, True, None, None, None))
-                else:
-                    rows += [(value, False, id, cost, rank) for id, (cost, rank) in trie.search(words).items()] or [(value, False, None, None, None)]
-            yield pd.DataFrame(rows, columns=["value", "empty", "entry", "distance", "rank"])
+    def rows(self, value: str) -> list[tuple]:
+        """(empty, known, entry, joined, distance, rank, slips) of a value: known are the places of words of the list, joined whether two neighbours were read as one, where else nothing is named."""
+        words = split_words(value)
+        bare = [w.rstrip(".") for w in words]
+        known = [i for i, w in enumerate(bare) if w in self.vocabulary]
+        if all(w in PLACEHOLDERS or is_remark(w) and w not in self.vocabulary for w in bare):
+            return [(True, known, None, None, None, None, None)]
+        found = [(False, known, entry, False, cost, rank, sorted(slips)) for (entry, slips), (cost, rank) in self.search(words).items()]
+        if not any(known_not_taken(f[6], known) for f in found):
+            kept = [i for i, w in enumerate(bare) if not is_remark(w) or w in self.vocabulary]
+            for a, b in zip(kept, kept[1:]):
+                one = [*words[:a], bare[a] + words[b], *words[b + 1 :]]
+                place = lambda i: i if i <= a else i + b - a  # noqa: B023, E731
+                found += [(False, known, entry, True, cost, rank, sorted(map(place, slips))) for (entry, slips), (cost, rank) in self.search(one).items()]
+        return found or [(False, known, None, None, None, None, None)]
 
-    return run
+
+def is_remark(word: str) -> bool:
+    """Whether a word may be left out of a value, unless the list knows it."""
+    return word in REMARKS or len(word) == 1 or any(c.isdigit() for c in word)
+
+
+def known_not_taken(slips: Iterable[int], known: list[int]) -> bool:
+    return not set(slips) & set(known)
 
 
-FOUND = "value string, empty boolean, entry string, distance double, rank int"
+PATHS = "value string, empty boolean, known array<int>, entry string, joined boolean, distance double, rank int, slips array<int>"
+
+
+def _search(abbreviations: bool):
+    def run(values: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        trie = Trie(zip(entries["id"], entries["rank"], entries["names"]), abbreviations)
+        rows = [(value, *row) for value in values["value"] for row in trie.rows(value)]
+        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in PATHS.split(", ")]).astype({"rank": "Int32"})
+
+    return run
 
 
-def all_matches(values: DataFrame, entries: DataFrame, most: int = ENTRIES) -> DataFrame:
-    """(value, empty, entry, distance, rank): for each distinct value (column `value`, not null) all entries within distance, one row with a null entry if none.
+def all_matches(values: DataFrame, entries: DataFrame, abbreviations: bool = True, most: int = ENTRIES) -> DataFrame:
+    """(value, empty, entry, distance, naming, rank): for each distinct value (column `value`, not null) all entries within distance, one row with a null entry if none.
 
-    entries: (id, rank, names array<string>). empty: the value says nothing. Null names are ignored; an empty list matches nothing.
+    entries: (id, rank, names array<string>). empty: the value says nothing. naming: the distance over paths that name the
+    entry, null if there is none; of a value that names something otherwise, paths with two neighbours read as one don't
+    count. Null ids and names are ignored; an empty list matches nothing.
     """
-    spark = values.sparkSession
-    entries = entries.select("id", "rank", F.array_compact("names").alias("names"))
+    sc = values.sparkSession.sparkContext
+    entries = cut(entries.filter("id IS NOT NULL").select("id", "rank", F.array_compact("names").alias("names")))
     shards = max(1, -(-entries.count() // most))
-    # a stated number of partitions, since sizes in bytes say little of what a search costs
-    values = values.select("value").distinct().repartition(spark.sparkContext.defaultParallelism, "value")
-    vocabulary: set[str] = set()
-    parts = []
-    for shard in range(shards):
-        rows = entries.filter(F.pmod(F.xxhash64("id"), F.lit(shards)) == shard).collect() if shards > 1 else entries.collect()
-        parts.append([(r["id"], r["rank"], list(r["names"])) for r in rows])
-        vocabulary.update(w for r in rows for n in r["names"] for w in entry_words(n))
-    out = [values.mapInPandas(_searcher(spark.sparkContext.broadcast((part, frozenset(vocabulary)))), FOUND) for part in parts]
-    return reduce(DataFrame.unionByName, out)
+    # a stated number of slices, since sizes in bytes say little of what a search costs
+    slices = max(1, -(-2 * sc.defaultParallelism // shards))
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    v = values.select("value").distinct().withColumn("shard", span(shards)).withColumn("slice", part("value", slices))
+    e = entries.withColumn("shard", part("id", shards)).withColumn("slice", span(slices))
+    v, e = (x.repartition(2 * sc.defaultParallelism, "shard", "slice") for x in (v, e))
+    paths = v.groupBy("shard", "slice").cogroup(e.groupBy("shard", "slice")).applyInPandas(_search(abbreviations), PATHS)
+    one = F.struct("entry", "joined", "distance", "rank", "slips")
+    per_value = paths.groupBy("value").agg(F.bool_and("empty").alias("empty"), F.array_distinct(F.flatten(F.collect_set("known"))).alias("known"), F.collect_list(F.when(F.col("entry").isNotNull(), one)).alias("paths"))
+    names = F.filter("paths", lambda p: F.size(F.array_intersect(p["slips"], F.col("known"))) == 0)
+    # two words are read as one only if nothing is named otherwise
+    direct = F.exists(names, lambda p: ~p["joined"])
+    named = F.transform(F.filter(names, lambda p: ~p["joined"] | ~direct), lambda p: F.struct(p["entry"], p["distance"]))
+    rows = per_value.select("value", "empty", F.explode_outer("paths").alias("p"), named.alias("named"))
+    mine = F.array_min(F.transform(F.filter("named", lambda x: x["entry"] == F.col("p.entry")), lambda x: x["distance"]))
+    rows = rows.select("value", "empty", "p.entry", "p.distance", mine.alias("naming"), "p.rank")
+    return rows.groupBy("value", "entry").agg(F.first("empty").alias("empty"), F.min("distance").alias("distance"), F.min("naming").alias("naming"), F.min("rank").alias("rank")).select("value", "empty", "entry", "distance", "naming", "rank")
 
 
 def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     """values (tbl, row_id, name, code) with the code of the term each name stands for: (tbl, row_id, mapped).
 
     terms: (snomed, term, synonyms, active). Inactive terms are known, so that their names aren't taken for slips of others,
-    but never the result. Entries at equal distance: the one that the row's own code names, else the smallest code. A name
-    that says nothing takes its own code, cleaned of blanks, labels and a decimal part, if that is active. All else is
-    'none'. Null or blank names, and names that are an active term letter by letter, give no row.
+    but never the result. Of the entries that a name names the nearest decides; at equal distance the one that the row's own
+    code names, else the smallest code. A name that says nothing takes its own code, cleaned of blanks, labels and a decimal
+    part, if that is active: the contract asks for it, no search is done. All else is 'none'. Null or blank names, and names
+    that are an active term letter by letter, give no row.
     """
-    entries = terms.select(F.col("snomed").alias("id"), F.when(F.col("active") == "1", 0).otherwise(1).alias("rank"), F.concat(F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>"))).alias("names")).filter(F.col("id").isNotNull())
-    active = terms.filter(F.col("active") == "1")
+    entries = terms.select(F.col("snomed").alias("id"), F.when(F.col("active") == "1", 0).otherwise(1).alias("rank"), F.concat(F.array("term"), F.coalesce("synonyms", F.array().cast("array<string>"))).alias("names"))
+    active = cut(terms.filter(F.col("active") == "1").select("snomed", "term"))
     own = F.regexp_replace(F.regexp_replace("code", r"\.0*\s*$", ""), r"\D", "")
     rows = values.select("tbl", "row_id", F.col("name").alias("value"), own.alias("code"))
     rows = rows.filter(F.col("value").isNotNull() & F.regexp_like("value", F.lit(r"[^\s\p{Z}]")))
-    literal = F.broadcast(active.select(F.col("term").alias("value")).distinct())  # no longer than the list, which is collected anyway
+    literal = small_or_shuffled(cut(active.select(F.col("term").alias("value")).dropna().distinct()))
     rows = cut(rows.join(literal, "value", "left_anti"))
-    found = all_matches(rows, entries)
-    per_value = found.groupBy("value").agg(F.max("empty").alias("empty"), F.min(F.when(F.col("entry").isNotNull(), F.struct("distance", "rank"))).alias("least"), F.collect_list(F.struct("distance", "rank", "entry")).alias("all"))
+    found = all_matches(rows, entries).withColumn("names", F.col("naming").isNotNull())
+    per_value = found.groupBy("value").agg(F.first("empty").alias("empty"), F.min(F.when(F.col("names"), F.struct("naming", "rank"))).alias("least"), F.collect_list(F.struct("naming", "rank", "entry")).alias("all"))
     counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("size"))
-    nearest = F.array_sort(F.transform(F.filter("all", lambda x: x["entry"].isNotNull() & (x["distance"] == F.col("least.distance")) & (x["rank"] == F.col("least.rank"))), lambda x: x["entry"]))
+    nearest = F.array_sort(F.transform(F.filter("all", lambda x: (x["naming"] == F.col("least.naming")) & (x["rank"] == F.col("least.rank"))), lambda x: x["entry"]))
     best = F.when(F.col("least.rank") == 0, nearest).alias("best")
-    decided = per_value.select("value", "empty", best).join(counts, "value")
-    codes = F.broadcast(active.select(F.col("snomed").alias("code"), F.lit(True).alias("valid")).dropDuplicates(["code"]))
+    decided = cut(per_value.select("value", "empty", best).join(counts, "value"))
+    codes = small_or_shuffled(cut(active.select(F.col("snomed").alias("code"), F.lit(True).alias("valid")).dropna().dropDuplicates(["code"])))
     joined = join_groups(rows, decided, ["value"], "size").join(codes, "code", "left")
     named = F.when(F.array_contains("best", F.col("code")), F.col("code")).otherwise(F.try_element_at("best", F.lit(1)))
     mapped = F.when(F.col("empty"), F.when(F.col("valid"), F.col("code"))).otherwise(named)
