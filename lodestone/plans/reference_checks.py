@@ -40,6 +40,32 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return orphan_report(_all(spark, folder), ["tbl", "field"])
 
 
+MODES = ("simple", "partial", "full")
+
+
+def p3_composite(spark: SparkSession, folder: str) -> DataFrame:
+    """A reference of two columns that may be null in part, symptom_matches (symptom_id, record.character) to symptoms_v2, by each MATCH."""
+    m, v2 = table(spark, folder, "symptom_matches"), table(spark, folder, "symptoms_v2")
+    refs = m.select(F.concat_ws(":", "query_id", "record_id", "symptom_id").alias("row_id"), "symptom_id", F.col("record.character").alias("character"))
+    parts = [orphans(refs, v2, [("symptom_id", "symptom_id"), ("character", "character")], "row_id", match=mode).select(F.lit(mode).alias("mode"), "row_id", "mask", "reason") for mode in MODES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _composite_sql() -> str:
+    agree = "t.k0 = r.k0 AND t.k1 = r.k1"
+    some = "(r.k0 IS NULL OR t.k0 = r.k0) AND (r.k1 IS NULL OR t.k1 = r.k1)"
+    none = lambda on: f"NOT EXISTS (SELECT 1 FROM t WHERE {on})"
+    both, either = "r.k0 IS NOT NULL AND r.k1 IS NOT NULL", "(r.k0 IS NOT NULL OR r.k1 IS NOT NULL)"
+    row = "row_id, (k0 IS NOT NULL)::INT || '' || (k1 IS NOT NULL)::INT AS mask"
+    trim = "lower(trim({0}, chr(9)||chr(10)||chr(13)||' '||chr(160)))"
+    return f"""WITH r AS (SELECT DISTINCT concat_ws(':', query_id, record_id, symptom_id) AS row_id, symptom_id::VARCHAR AS k0, {trim.format('record.character')} AS k1 FROM symptom_matches),
+t AS (SELECT symptom_id::VARCHAR AS k0, {trim.format('character')} AS k1 FROM symptoms_v2),
+f AS (SELECT 'simple' AS mode, {row}, 'missing' AS reason FROM r WHERE {both} AND {none(agree)}
+UNION ALL SELECT 'partial', {row}, 'missing' FROM r WHERE {either} AND {none(some)}
+UNION ALL SELECT 'full', {row}, CASE WHEN {both} THEN 'missing' ELSE 'partial_null' END FROM r WHERE {either} AND (NOT ({both}) OR {none(agree)}))
+SELECT mode, row_id, min(mask) AS mask, arg_min(reason, mask) AS reason FROM f GROUP BY 1, 2"""
+
+
 def _rows_sql() -> str:
     parts = []
     for tbl, row, field, target, key in REFERENCES:
@@ -58,8 +84,9 @@ GROUP BY r.{row}""")
     return " UNION ALL ".join(parts)
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report}
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_composite": p3_composite}
 SQL = {
     "p3_found": f"SELECT tbl, field, row_id FROM ({_rows_sql()})",
     "p3_report": f"SELECT tbl, field, strftime(seen_at, '%Y-%m') AS month, reason, count(*) AS n_rows FROM ({_rows_sql()}) GROUP BY ALL",
+    "p3_composite": _composite_sql(),
 }

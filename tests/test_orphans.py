@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from lodestone.operators.joins import join_groups
 from lodestone.operators.orphans import orphan_report, orphans
 
 T = lambda d: None if d is None else dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
@@ -36,6 +37,28 @@ def test_match_semantics(spark):
         run(spark, refs, targets, match="other")
 
 
+def test_masks_against_brute_force_and_hot_keys(spark, monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr("lodestone.operators.orphans.join_groups", lambda *x: join_groups(*x, hot=5, most=0, salts=3))
+    pick = lambda: rng.choice(["a", "b", "c", None])
+    targets = [(pick(), pick(), rng.randrange(5), rng.choice([None, rng.randrange(5, 9)])) for _ in range(5)]
+    refs = [(i, pick() if i % 3 else "c", pick() if i % 3 else "b", rng.randrange(10)) for i in range(240)]
+
+    def holds(r, t, columns):
+        return all(r[1 + c] == t[c] for c in columns) and t[2] <= r[3] and (t[3] is None or t[3] > r[3])
+
+    for match in ("simple", "partial", "full"):
+        want = set()
+        for r in refs:
+            some = [c for c in (0, 1) if r[1 + c] is not None]
+            checked = some if match == "partial" else [0, 1]
+            if not some or match == "simple" and len(some) < 2:
+                continue
+            if match == "full" and len(some) < 2 or not any(holds(r, t, checked) for t in targets):
+                want.add(r[0])
+        assert {i for i, _ in run(spark, refs, targets, on=[("a", "x"), ("b", "y")], match=match)} == want
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [("p", "q", 0, None)]) == set()
     assert run(spark, [(1, "p", None, 1), (2, None, None, 1)], []) == {(1, "missing")}
