@@ -36,7 +36,7 @@ SIEVE = 1 << 27  # bits: 16 MB to broadcast
 NAMES = 200_000  # learned names up to which they are broadcast; more are joined to the texts
 #: A sign for private use, put before words that stand like names.
 MARK = ""
-NAME_LIKE = rf"(?<=[\p{{L}}\p{{N}},;] )(?=\p{{Lu}}\p{{Ll}})|(?<=(?<![\p{{L}}\p{{N}}])(?i:{'|'.join(TITLES)})\.?\s)(?=\p{{Lu}}\p{{Ll}})"
+NAME_LIKE = rf"(?=\p{{Lu}}\p{{Ll}})(?:(?<=[\p{{L}}\p{{N}},;] )|(?<=(?<![\p{{L}}\p{{N}}])(?i:{'|'.join(TITLES)})\.?\s))"
 #: Spelt numbers and units that a template leaves open.
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand once twice".split())
 UNITS = frozenset("second seconds minute minutes hour hours day days week weeks month months year years mg g kg mcg ml l litre litres cm mm m km degree degrees bpm mmhg mmol unit units percent".split())
@@ -48,7 +48,7 @@ def marked_words(text: Column) -> Column:
     """words(), each with a mark before it if it is capitalised inside a sentence or after a title, with "^" if it is capitalised elsewhere."""
     bare = F.regexp_replace(F.translate(text, MARK + "^", "  "), APOSTROPHES, "")
     named = F.regexp_replace(bare, NAME_LIKE, MARK)
-    named = F.regexp_replace(named, rf"(?<![\p{{L}}\p{{N}}{MARK}])(?=\p{{Lu}}\p{{Ll}})", "^")
+    named = F.regexp_replace(named, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}{MARK}])", "^")
     return F.regexp_extract_all(F.lower(named), F.lit(rf"[{MARK}^]?{WORD}"), 0)
 
 
