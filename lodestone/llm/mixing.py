@@ -32,14 +32,15 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 BUCKET = 20_000  # documents of a bucket, on average
 
 
-def token_counter(path: str = TOKENIZER):
-    """A pandas UDF: tokens of a text by the byte-level BPE vocabulary at path; 0 for null. Whole texts are encoded, whatever their length."""
+def token_counter(spark: SparkSession, path: str = TOKENIZER):
+    """A pandas UDF: tokens of a text by the byte-level BPE vocabulary at path (on the driver, from where it is sent along; a vocabulary has a few MB); 0 for null. Whole texts are encoded, whatever their length."""
+    with open(path, "rb") as f:
+        vocabulary = spark.sparkContext.broadcast(f.read())
 
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
         encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in texts:
             yield batch.map(lambda t: len(encoding.encode_ordinary(t)) if isinstance(t, str) else 0).astype("int64")
@@ -66,7 +67,7 @@ class Mixture:
         wanted = [r["source"] for r in rows if (r["share"] or 0) > 0 and (r["repeats"] or 0) > 0]
         own = docs.select(F.col(f"`{id}`").alias("id"), key_rule(F.col(f"`{source}`")).alias("source"), F.col(f"`{text}`").alias("text"))
         own = own.filter(F.col("source").isin(wanted) & F.col("text").isNotNull() & (F.col("text") != "")) if wanted else own.filter(F.lit(False))
-        self.docs = cut(own.select("id", "source", token_counter(tokenizer)("text").alias("tokens")).filter("tokens > 0"))
+        self.docs = cut(own.select("id", "source", token_counter(spark, tokenizer)("text").alias("tokens")).filter("tokens > 0"))
         supply = {r["source"]: (r["tokens"], r["n"]) for r in self.docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}
         have = [r for r in rows if r["source"] in supply]
         whole = sum(r["share"] for r in have)
