@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from lodestone.llm import terms as T
 
 
@@ -18,14 +20,28 @@ def brute(records, max_n):
 
 def test_against_brute_force_in_small_chunks(spark, monkeypatch):
     rng = random.Random(2)
-    records = [[rng.choice("aaabcd") for _ in range(rng.randint(0, 9))] for _ in range(300)] + [None, [], ["a"] * 500, [None, "b", None, "c"]]
+    records = [[rng.choice("aaabcd") for _ in range(rng.randint(0, 9))] for _ in range(300)] + [None, [], ["a"] * 90, [None, "b", None, "c"]]
     df = spark.createDataFrame([(r, i) for i, r in enumerate(records)], "tokens array<string>, term int")
     assert {tuple(r) for r in T.ngram_counts(df, "tokens", 3).collect()} == brute(records, 3)
     monkeypatch.setattr(T, "CHUNK", 40)
     assert {tuple(r) for r in T.ngram_counts(df.coalesce(1), "tokens", 3).collect()} == brute(records, 3)
+    assert {tuple(r) for r in T.ngram_counts(df.coalesce(1), "tokens", None).collect()} == brute(records, 90)
     assert T.ngram_counts(df.limit(0), "tokens").count() == 0
 
 
+def test_suffix_array_against_sorting():
+    rng = random.Random(9)
+    for _ in range(40):
+        records = [[rng.randrange(3) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 9))]
+        code = np.array([c for r in records for c in r])
+        left = np.array([len(r) - i for r in records for i in range(len(r))])
+        order, prefix = T.suffix_array(code, left)
+        suffixes = [tuple(code[i : i + left[i]]) for i in order]
+        assert suffixes == sorted(suffixes)
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert prefix[1:].tolist() == [common(a, b) for a, b in zip(suffixes, suffixes[1:])]
+
+
 def test_spread_with_hot_term_and_record(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["hot", "x", "y", None]), rng.choice([7] * 5 + [1, 2, None]), "extra") for _ in range(2000)]
