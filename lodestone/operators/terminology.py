@@ -76,6 +76,25 @@ def quotes_found(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def cue_gaps(docs: DataFrame, cues: list[tuple[str, str]], advice: str, asserted: DataFrame) -> DataFrame:
+    """(condition, var, part, n_documents): variables whose cues (var, cue) a condition's documents hold and the condition doesn't assert (condition, var).
+
+    A text is split at the first advice marker: part is 'describes' where a cue stands before it, 'red flag' where one stands
+    only after it. Cues are a list written by hand; letter case doesn't matter.
+    """
+    at = F.locate(advice, F.col("text"))
+    own = F.lower(F.when(at > 0, F.substring("text", F.lit(1), at - 1)).otherwise(F.col("text")))
+    flags = F.lower(F.when(at > 0, F.substring("text", at, F.length("text"))).otherwise(""))
+    by_var: dict[str, list[str]] = {}
+    for var, cue in cues:
+        by_var.setdefault(var, []).append(cue)
+    held = lambda text, some: reduce(lambda x, y: x | y, (F.contains(text, F.lit(c)) for c in some))
+    part = lambda some: F.when(held(own, some), "describes").when(held(flags, some), "red flag")
+    found = F.filter(F.array(*(F.struct(F.lit(v).alias("var"), part(some).alias("part")) for v, some in by_var.items())), lambda x: x["part"].isNotNull())
+    rows = docs.filter("condition IS NOT NULL AND text IS NOT NULL").select("condition", F.explode(found).alias("x")).groupBy("condition", "x.var", "x.part").agg(F.count(F.lit(1)).alias("n_documents"))
+    return rows.join(small_or_shuffled(cut(asserted.select("condition", "var").distinct())), ["condition", "var"], "left_anti")
+
+
 def content_digest(df: DataFrame, column: str) -> DataFrame:
     """(n_rows, digest): SHA-256 over the number of rows and the sum of the rows' own hashes, so that no task holds them all; the order doesn't matter, repeats do."""
     h = F.conv(F.substring(F.sha2(F.col(column).cast("string"), 256), 1, 15), 16, 10).cast("decimal(38,0)")

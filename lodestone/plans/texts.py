@@ -31,18 +31,31 @@ PAGES = [
     (3, '<h3>Possible causes of pain</h3><ul><li>infections like chest infection, gout - for example in toes</li><li>stress or strain</li></ul><title>A  <i>title</i></title><ref-list>none of this</ref-list><table><tr><td>x</td></tr></table>'),
     (4, None),
 ]
-P = f"WITH {values_cte('pg', 'page_id, html', PAGES)}"
+#: Every document with a condition as a page: its text under a heading, with a list and a table about causes, and furniture around it.
+HEADINGS = ("Check if you have ", "Symptoms of ", "Symptoms after ")
+BEFORE = '<nav><ul><li>Home page</li></ul></nav><a href="/c/{0}/">{0} &amp; more</a><h2>'
+AFTER = "<h2>Causes of it</h2><ul><li>{1} or stress, flu - for example in spring</li><li>infections like {0}</li></ul><table><tr><th>Sign</th><th>Cause</th></tr><tr><td>itch</td><td>{0} or {1}</td></tr><tr><td>one</td></tr></table><footer><ul><li>Contact the site</li></ul></footer>"
 
 
-def pages(spark):
-    return spark.createDataFrame(PAGES, "page_id int, html string")
+def pages(spark, d):
+    t = table(spark, d, "documents").filter("text IS NOT NULL AND condition IS NOT NULL")
+    fill = lambda s: F.replace(F.replace(F.lit(s), F.lit("{0}"), F.col("condition")), F.lit("{1}"), F.coalesce("source", F.lit("")))
+    heading = F.element_at(F.array(*map(F.lit, HEADINGS)), (F.col("doc_id") % 3 + 1).cast("int"))
+    html = F.concat(fill(BEFORE), heading, F.col("condition"), F.lit("</h2>"), F.col("text"), fill(AFTER))
+    return spark.createDataFrame(PAGES, "page_id bigint, html string").unionByName(t.select((F.col("doc_id") + 1000).alias("page_id"), html.alias("html")))
+
+
+_FILL = lambda s: "replace(replace('" + s.replace("'", "''") + "', '{0}', condition), '{1}', coalesce(source, ''))"
+P = f"WITH {values_cte('hand', 'page_id, html', PAGES)}, pg AS (SELECT page_id::BIGINT AS page_id, html FROM hand UNION ALL SELECT doc_id + 1000, {_FILL(BEFORE)} || {list(HEADINGS)}[doc_id % 3 + 1] || condition || '</h2>' || text || {_FILL(AFTER)} FROM documents WHERE text IS NOT NULL AND condition IS NOT NULL)"
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def plain_sql(x: str) -> str:
+    """The entities that the tables and the pages above hold, each written out."""
     x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
-    for a, b in M.ENTITIES:
+    for a, b in ENTITIES:
         x = f"replace({x}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
 
 
 @query("html_text", f"SELECT doc_id, {plain_sql('text')} AS plain FROM documents WHERE text IS NOT NULL")
@@ -52,83 +65,102 @@ def q_html(spark, d):
 
 @query("html_links", f"{P}, l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a href=\"/c/([^/\"]+)/\">(.*?)</a>', 1)) AS slug, unnest(regexp_extract_all(html, '(?is)<a href=\"/c/([^/\"]+)/\">(.*?)</a>', 2)) AS name, unnest(range(1, 1 + len(regexp_extract_all(html, '(?is)<a href=\"/c/([^/\"]+)/\">(.*?)</a>', 1)))) AS pos FROM pg WHERE html IS NOT NULL) SELECT slug, {plain_sql('arg_min(name, page_id * 1000 + pos)')} AS name FROM l WHERE len({plain_sql('name')}) < 90 GROUP BY 1")
 def q_links(spark, d):
-    """Slugs and names of an index page; of a slug the first name stays."""
+    """Slugs and names of index pages; of a slug the first name stays."""
     link = r'(?is)<a href="/c/([^/"]+)/">(.*?)</a>'
     both = F.arrays_zip(F.regexp_extract_all("html", F.lit(link), 1).alias("slug"), F.regexp_extract_all("html", F.lit(link), 2).alias("name"))
-    l = pages(spark).select("page_id", F.posexplode(both).alias("pos", "x")).select("page_id", "pos", "x.slug", M.plain(F.col("x.name")).alias("name"))
+    l = pages(spark, d).select("page_id", F.posexplode(both).alias("pos", "x")).select("page_id", "pos", "x.slug", M.plain(F.col("x.name")).alias("name"))
     return l.filter(F.length("name") < 90).groupBy("slug").agg(F.min_by("name", F.struct("page_id", "pos")).alias("name"))
 
 
-SECTION = f"""{P}, pt AS (SELECT page_id, string_split_regex(html, '<h[23]')[2:] AS parts FROM pg WHERE html IS NOT NULL), sc AS (SELECT page_id, unnest(parts) AS x, unnest(range(1, 1 + len(parts))) AS pos, len(parts) AS n FROM pt),
-se AS (SELECT page_id, pos::INTEGER AS pos, regexp_extract(x, '^[^>]*>([^<]*)</h[23]>', 1) AS heading, substring(regexp_replace(x, '^[^>]*>[^<]*</h[23]>', ''), 1, CASE WHEN pos = n THEN 6000 ELSE len(x) END) AS body FROM sc)"""
-KEPT = f"regexp_matches(heading, '(?i)\\bsymptoms?\\b') AND NOT regexp_matches(heading, '{M.NOT_SYMPTOMS}')"
+_HEAD = "'(?is)^([^<]*)</h[23]>'"
+SECTION = f"""{P}, pt AS (SELECT page_id, string_split_regex(html, '(?is)<h[23][^>]*>')[2:] AS parts FROM pg WHERE html IS NOT NULL), sc AS (SELECT page_id, unnest(parts) AS x, unnest(range(1, 1 + len(parts))) AS pos, len(parts) AS n FROM pt),
+se AS (SELECT page_id, pos::INTEGER AS pos, CASE WHEN regexp_matches(x, {_HEAD}) THEN regexp_extract(x, {_HEAD}, 1) END AS heading, regexp_replace(x, {_HEAD}, '') AS rest, pos = n AS last FROM sc)"""
+_NOT = "other condition|similar symptom|\\bafter\\b|complication|long-?term|treat|vaccin|immunis|prevent|diagnos|\\bcauses?\\b|risk|recover|living with|when to|where to|help and support"
+KEPT = f"(regexp_matches(heading, '(?i)\\bsymptoms?\\b') OR regexp_matches(heading, '(?i)^\\s*check if (you|your child)')) AND NOT regexp_matches(heading, '(?i){_NOT}')"
+BODY = "CASE WHEN last THEN substring(rest, 1, 6000) ELSE rest END"
 
 
-def _sections(spark):
-    return pages(spark).select("page_id", F.posexplode(M.sections(F.col("html"))).alias("pos", "s")).select("page_id", (F.col("pos") + 1).alias("pos"), "s.heading", "s.body")
+def _sections(spark, d):
+    return pages(spark, d).select("page_id", F.posexplode(M.sections(F.col("html"))).alias("pos", "s")).select("page_id", (F.col("pos") + 1).alias("pos"), "s.heading", "s.body")
 
 
-def _kept():
-    return F.col("heading").rlike(r"(?i)\bsymptoms?\b") & ~F.col("heading").rlike(M.NOT_SYMPTOMS)
+@query("html_section", f"{SECTION} SELECT page_id, pos, heading, {BODY} AS body FROM se WHERE {KEPT}")
+def q_section(spark, d):
+    return _sections(spark, d).filter(M.about_symptoms(F.col("heading")))
 
 
-@query("html_section", f"{SECTION} SELECT page_id, pos, heading, body FROM se WHERE {KEPT}")
-def q_section(spark, d):
-    return _sections(spark).filter(_kept())
+_JUNK = "find out|read more|see a gp|call 999|call 111|ask for|go to|more in|back to|page last|next review|urgent advice|immediate action|non-urgent|information:|important:?$|get help|you can|this page|these are"
+_CREDIT = "http|photo library|alamy|getty|science photo|stock photo|shutterstock|\\bDR [A-Z]|/ ?SPL\\b"
 
 
-@query("html_items_clean", f"""{SECTION}, it AS (SELECT page_id, pos, unnest(list_concat(list_transform(regexp_extract_all(body, '(?is)<li[^>]*>(.*?)</li>', 1), lambda x: {plain_sql('x')}), flatten(list_transform(regexp_extract_all(body, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: list_transform(string_split({plain_sql('x')}, '.'), lambda y: trim(y)))))) AS item FROM se WHERE {KEPT})
-SELECT page_id, lower(item) AS item FROM it WHERE len(item) > 3 AND len(item) < 200 AND contains(item, ' ') AND NOT regexp_matches(item, '{M.JUNK}') AND NOT regexp_matches(item, '{M.CREDIT}') AND NOT regexp_matches(item, '{M.LEAD_IN}') GROUP BY 1, 2""")
+@query("html_items_clean", f"""{SECTION}, bo AS (SELECT page_id, {BODY} AS body FROM se WHERE {KEPT}), it AS (SELECT page_id, unnest(list_concat(list_transform(regexp_extract_all(body, '(?is)<li[^>]*>(.*?)</li>', 1), lambda x: {plain_sql('x')}), flatten(list_transform(regexp_extract_all(body, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: list_transform(string_split({plain_sql('x')}, '.'), lambda y: trim(y)))))) AS item FROM bo)
+SELECT page_id, lower(item) AS item FROM it WHERE len(item) > 3 AND len(item) < 200 AND contains(item, ' ') AND NOT regexp_matches(item, '(?i)^({_JUNK})') AND NOT regexp_matches(item, '(?i){_CREDIT}') AND NOT regexp_matches(item, '(?i)(symptoms?|signs?)\\b.*\\b(include|are|can be|may be)\\s*:?\\s*$') GROUP BY 1, 2""")
 def q_items(spark, d):
     """List items and sentences under a symptoms heading, each once whatever its case."""
-    li = F.transform(M.elements(F.col("body"), "li"), M.plain)
-    p = F.flatten(F.transform(M.elements(F.col("body"), "p"), lambda x: F.transform(F.split(M.plain(x), r"\."), lambda y: F.trim(y))))
-    return _sections(spark).filter(_kept()).select("page_id", F.explode(F.concat(li, p)).alias("i")).filter(M.is_item(F.col("i"))).select("page_id", F.lower("i").alias("item")).distinct()
+    items = pages(spark, d).select("page_id", F.explode(M.section_items(F.col("html"))).alias("i"))
+    return items.filter(M.is_item(F.col("i"))).select("page_id", F.lower("i").alias("item")).distinct()
 
 
-@query("html_main_items", f"{P}, m AS (SELECT page_id, " + "".join("regexp_replace(" for _ in M.CHROME) + "html" + "".join(f", '(?is)<{t}\\b.*?</{t}>', ' ', 'g')" for t in M.CHROME) + f" AS html FROM pg) SELECT page_id, {plain_sql('x')} AS item FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) AS x FROM m WHERE html IS NOT NULL)")
+_CHROME = ("nav", "header", "footer", "script", "style", "aside")
+
+
+@query("html_main_items", f"{P}, m AS (SELECT page_id, " + "".join("regexp_replace(" for _ in _CHROME) + "html" + "".join(f", '(?is)<{t}\\b.*?</{t}>', ' ', 'g')" for t in _CHROME) + f" AS html FROM pg) SELECT page_id, {plain_sql('x')} AS item FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) AS x FROM m WHERE html IS NOT NULL)")
 def q_main(spark, d):
-    return pages(spark).select("page_id", F.explode(M.elements(M.without_chrome(F.col("html")), "li")).alias("x")).select("page_id", M.plain(F.col("x")).alias("item"))
+    return pages(spark, d).select("page_id", F.explode(M.elements(M.without_chrome(F.col("html")), "li")).alias("x")).select("page_id", M.plain(F.col("x")).alias("item"))
 
 
-CELLS = f"{P}, tb AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<table[^>]*>(.*?)</table>', 1)) AS t FROM pg WHERE html IS NOT NULL), rw AS (SELECT page_id, unnest(regexp_extract_all(t, '(?is)<tr[^>]*>(.*?)</tr>', 1)[2:]) AS r FROM tb), ce AS (SELECT page_id, regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1) AS c FROM rw), lc AS (SELECT page_id, {plain_sql('c[len(c)]')} AS cell FROM ce WHERE len(c) >= 2)"
+CELLS = f"{SECTION}, tb AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<table[^>]*>(.*?)</table>', 1)) AS t FROM pg WHERE html IS NOT NULL), rw AS (SELECT page_id, unnest(regexp_extract_all(t, '(?is)<tr[^>]*>(.*?)</tr>', 1)[2:]) AS r FROM tb), ce AS (SELECT page_id, regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1) AS c FROM rw), lc AS (SELECT page_id, {plain_sql('c[len(c)]')} AS cell FROM ce WHERE len(c) >= 2)"
 
 
 @query("html_table_last_column", f"{CELLS} SELECT page_id, cell FROM lc")
 def q_cells(spark, d):
-    return pages(spark).select("page_id", F.explode(M.last_cells(F.col("html"))).alias("cell"))
+    return pages(spark, d).select("page_id", F.explode(M.last_cells(F.col("html"))).alias("cell"))
+
 
+_STOP = "('for example', 'smoking', 'stress', 'anxiety or stress', 'certain medicines', 'medicines', 'alcohol', 'caffeine', 'pregnancy', 'your period', 'periods', 'getting older', 'being overweight', 'dehydration')"
 
-@query("cause_split", f"""{CELLS}, al AS (SELECT * FROM lc UNION ALL SELECT page_id, {plain_sql('x')} FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) AS x FROM pg WHERE html IS NOT NULL)),
-cs AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(unnest(string_split_regex(cell, '\\s*(?:,| or | and/or )\\s*')), '(?i)\\s*-\\s*(for example|such as).*$', ''), '^[ .-]+|[ .-]+$', '', 'g'), '(?i)^.*?\\b(?:like|such as|including)\\s+', '')) AS cause FROM al)
-SELECT page_id, cause FROM cs WHERE len(cause) BETWEEN 3 AND 60 AND len(string_split(cause, ' ')) <= 6 AND lower(cause) NOT IN {M.NOT_A_CONDITION}""")
+
+@query("cause_split", f"""{CELLS}, al AS (SELECT * FROM lc UNION ALL SELECT page_id, {plain_sql('x')} FROM (SELECT page_id, unnest(regexp_extract_all(CASE WHEN last THEN substring(rest, 1, 4000) ELSE rest END, '(?is)<li[^>]*>(.*?)</li>', 1)) AS x FROM se WHERE regexp_matches(heading, '(?i)causes?'))),
+cs AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(unnest(string_split_regex(cell, '\\s*(?:,| or | and/or )\\s*')), '(?i)\\s*[-–—]\\s*(for example|such as|eg|e\\.g\\.).*$', ''), '^[ .–—-]+|[ .–—-]+$', '', 'g'), '(?i)^.*?\\b(?:like|such as|including)\\s+', '')) AS cause FROM al)
+SELECT page_id, cause FROM cs WHERE len(cause) BETWEEN 3 AND 60 AND len(string_split_regex(cause, '\\s+')) <= 6 AND lower(cause) NOT IN {_STOP}""")
 def q_causes(spark, d):
-    p = pages(spark)
-    cells = F.concat(M.last_cells(F.col("html")), F.transform(M.elements(F.col("html"), "li"), M.plain))
-    return p.select("page_id", F.explode(cells).alias("c")).select("page_id", F.explode(M.causes(F.col("c"))).alias("cause"))
+    return pages(spark, d).select("page_id", F.explode(M.page_causes(F.col("html"))).alias("cause"))
 
 
 @query("xml_text", f"{P} SELECT page_id, {plain_sql(chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1)')} AS title, {plain_sql('regexp_replace(regexp_replace(html, ' + chr(39) + '(?is)<table.*?</table>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '(?is)<ref-list.*?</ref-list>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS body FROM pg WHERE html IS NOT NULL")
 def q_xml(spark, d):
     """First element's text; the body without tables and reference lists."""
     body = F.regexp_replace(F.regexp_replace("html", "(?is)<table.*?</table>", " "), "(?is)<ref-list.*?</ref-list>", " ")
-    return pages(spark).filter("html IS NOT NULL").select("page_id", M.plain(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), M.plain(body).alias("body"))
+    return pages(spark, d).filter("html IS NOT NULL").select("page_id", M.plain(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), M.plain(body).alias("body"))
+
 
+GUIDE = "Intro\n\n[1.1] 1.1 "
 
-GUIDE = [(1, "Intro\n\n[1.1] 1.1 Offer  a test to all\nadults. END more\n\n[1.2] Nothing here."), (2, "[1.1] Another END"), (3, "none")]
 
+def _guides(spark, d):
+    """Documents as guidelines, one paragraph under [1.1] each; of some it ends early."""
+    text = F.regexp_replace("text", "\n\n+", " ")
+    end = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" END more "), text)).otherwise("")
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.concat(F.lit(GUIDE), text, end, F.lit("\n\n[1.2] Nothing here.")).alias("body"))
 
-@query("extract_block", f"WITH {values_cte('gd', 'id, body', GUIDE)} SELECT id, trim(string_split(trim(regexp_replace(substring(b, 6), '\\s+', ' ', 'g')), 'END')[1]) AS block FROM (SELECT id, list_filter(string_split(body, chr(10) || chr(10)), lambda x: starts_with(x, '[1.1]'))[1] AS b FROM gd)")
+
+@query("extract_block", """SELECT doc_id, trim(string_split(trim(regexp_replace('1.1 ' || t || CASE WHEN doc_id % 2 = 0 THEN ' END more ' || t ELSE '' END, '[\\s\\p{Z}]+', ' ', 'g')), 'END')[1]) AS block FROM (SELECT doc_id, regexp_replace(text, '\\n\\n+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL)""")
 def q_block(spark, d):
-    return spark.createDataFrame(GUIDE, "id int, body string").select("id", M.block(F.col("body"), "1.1", "END").alias("block"))
+    return _guides(spark, d).select("doc_id", M.block(F.col("body"), "1.1", "END").alias("block"))
 
 
-NUMBERED = [(1, "Start 1.1 Offer the first of the tests that this guideline names to everyone. 1.2.3 Do not offer it (again) to those who have had one in the last year. 2.1 Short one.")]
+@query("rule_template", """SELECT doc_id, 'id: "' || doc_id || '"' || chr(10) || 'text_verbatim: "' || replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"' || chr(10) AS entry FROM documents WHERE text IS NOT NULL""")
+def q_template(spark, d):
+    """An entry of a rule file for each text, quoted."""
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", M.template("id: {id}\ntext_verbatim: {text}\n", id=F.col("doc_id").cast("string"), text=F.col("text")).alias("entry"))
 
 
 @query("numbered_blocks", None)
 def q_numbered(spark, d):
-    return spark.createDataFrame(NUMBERED, "id int, body string").select("id", F.explode(M.numbered(F.col("body"))).alias("x")).select("id", "x.*")
+    """Every document as two numbered recommendations with a table of points between."""
+    t = table(spark, d, "documents").filter("text IS NOT NULL")
+    page = F.concat(F.lit("1.1 Offer "), "text", F.lit("<table><tr><td>1.5 Points</td></tr></table> 1.2.3 (Do) "), "text")
+    return t.select("doc_id", F.explode(M.numbered(page)).alias("x")).select("doc_id", "x.*")
 
 
 CUES = [("view", "looked at"), ("view", "look"), ("click", "press"), ("purchase", "offered"), ("error", "worse"), ("refund", "gone")]
@@ -148,15 +180,29 @@ def q_cues(spark, d):
     return t.groupBy("condition", "var").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+ASSERTED = ("view", "purchase")
+
+
+@query("cue_gaps", f"""WITH {values_cte('cu', 'var, cue', CUES)}, dc AS (SELECT row_number() OVER () AS rn, condition, lower(string_split(text, '{ADVICE}')[1]) AS own, lower(substring(text, len(string_split(text, '{ADVICE}')[1]) + 1)) AS advice FROM documents WHERE condition IS NOT NULL AND text IS NOT NULL),
+h AS (SELECT rn, any_value(condition) AS condition, var, bool_or(contains(own, cue)) AS o, bool_or(contains(advice, cue)) AS a FROM dc CROSS JOIN cu GROUP BY rn, var)
+SELECT h.condition, var, CASE WHEN o THEN 'describes' ELSE 'red flag' END AS part, count(*) AS n_documents FROM h LEFT JOIN conditions c ON c.slug = h.condition WHERE (o OR a) AND NOT (var IN {ASSERTED} AND coalesce(c.kind = 'disorder', false)) GROUP BY 1, 2, 3""")
+def q_gaps(spark, d):
+    """Variables that a condition's documents mention and it doesn't assert (disorders assert two of them), before the advice or only after."""
+    docs = table(spark, d, "documents").select("doc_id", "condition", "text")
+    disorders = table(spark, d, "conditions").filter("kind = 'disorder'").select(F.col("slug").alias("condition"))
+    asserted = disorders.select("condition", F.explode(F.array(*map(F.lit, ASSERTED))).alias("var"))
+    return T.cue_gaps(docs, CUES, ADVICE, asserted)
+
+
 @query("text_gate", "SELECT doc_id FROM documents WHERE contains(text, 'SNOMED')")
 def q_gate(spark, d):
     return table(spark, d, "documents").filter(F.contains("text", F.lit("SNOMED"))).select("doc_id")
 
 
-QUOTE = "qt AS (SELECT item_id * 100 + pos AS quote_id, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS quote FROM (SELECT item_id, unnest(string_split(text, '. ')) AS s, unnest(range(1, 1 + len(string_split(text, '. ')))) AS pos FROM eval_items WHERE text IS NOT NULL))"
+QUOTE = "qt AS (SELECT item_id * 100 + pos AS quote_id, trim(regexp_replace(s, '[\\s\\p{Z}]+', ' ', 'g')) AS quote FROM (SELECT item_id, unnest(string_split(text, '. ')) AS s, unnest(range(1, 1 + len(string_split(text, '. ')))) AS pos FROM eval_items WHERE text IS NOT NULL))"
 
 
-@query("verbatim_quote_check", f"WITH {QUOTE} SELECT quote_id, doc_id AS text_id FROM qt JOIN (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL) ON contains(text, quote) WHERE len(regexp_extract_all(lower(regexp_replace(quote, '[''’]', '', 'g')), '[\\p{{L}}\\p{{N}}]+')) >= 8")
+@query("verbatim_quote_check", f"WITH {QUOTE} SELECT quote_id, doc_id AS text_id FROM qt JOIN (SELECT doc_id, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL) ON contains(text, quote) WHERE quote <> ''")
 def q_quotes(spark, d):
     """Sentences of the held-out items that stand word for word in a document."""
     s = table(spark, d, "eval_items").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("pos", "quote"))
