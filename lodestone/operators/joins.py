@@ -20,16 +20,18 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BRO
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int = 50_000, most: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
     """Every row with the one row of groups that has its keys (none null).
 
-    groups holds in `size` how many rows its key has. Keys with at least `hot` rows are joined first, so that no task gets a
-    whole hot group: by broadcast where they are few, else with `salts` copies of each, over which rows are spread. All
-    other rows go by an ordinary join. Hand it groups that have been cut if there may be hot ones: they are counted.
+    groups holds in `size` how many rows its key has. All are broadcast if they are measured small. Else keys with at least
+    `hot` rows are joined first, so that no task gets a whole hot group: by broadcast where those are small, else with
+    `salts` copies of each, over which rows are spread; all other rows go by an ordinary join. Hand it groups that have been
+    cut: they are measured.
     """
+    if (whole := small_or_shuffled(groups, most)) is not groups:
+        return rows.join(whole, keys)
     is_hot = F.col(size) >= hot
     few, cold = groups.filter(is_hot), groups.filter(~is_hot)
-    if few.limit(most + 1).count() <= most:
-        few = small_or_shuffled(few, most)
-        rest = rows.join(few.select(*keys), keys, "left_anti")
-        return rows.join(few, keys).unionByName(rest.join(cold, keys))
+    if (small := small_or_shuffled(few, most)) is not few:
+        rest = rows.join(small.select(*keys), keys, "left_anti")
+        return rows.join(small, keys).unionByName(rest.join(cold, keys))
     salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(salts)).cast("int")
     copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_hot", F.lit(True))
     marked = rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], "left")
