@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.facets import facet_multiplier
+from lodestone.operators.joins import join_groups, small_or_shuffled
+from lodestone.session import cut
 
 #: Fixed values.
-MATCH, ABSENT_WEIGHT, LENGTH_ALPHA = 0.80, 0.7, 0.25
+MATCH, ABSENT_WEIGHT, LENGTH_ALPHA, MOST_QUESTIONS = 0.80, 0.7, 0.25, 12
 
 
 def idf(pairs: DataFrame, document: str, term: str) -> DataFrame:
@@ -19,23 +23,32 @@ def idf(pairs: DataFrame, document: str, term: str) -> DataFrame:
     return counts.join(n).select(term, "n_documents", (F.log((F.col("n") + 1) / (F.col("n_documents") + 1)) + 1).alias("idf"))
 
 
-def evidence(matches: DataFrame, links: DataFrame, weights: DataFrame, threshold: float = MATCH) -> DataFrame:
+def weighted(links: DataFrame, weights: DataFrame) -> DataFrame:
+    """links with the idf of their symptom_id, which the operators below take as `links`; store it, since most read it more than once."""
+    return links.join(weights.select("symptom_id", "idf"), "symptom_id")
+
+
+def evidence(matches: DataFrame, links: DataFrame, threshold: float = MATCH) -> DataFrame:
     """(query_id, condition, record_id, symptom_id, w): per patient record the strongest thing it says about a condition.
 
-    matches (query_id, record_id, symptom_id, cosine, record struct), links (condition, symptom_id, onset, duration), weights
-    (symptom_id, idf). A denial counts -0.7 times. Of equally strong ones the smallest symptom_id stays.
+    matches (query_id, record_id, symptom_id, cosine, record struct), links (condition, symptom_id, onset, duration, idf). A
+    denial counts -0.7 times. Of equally strong ones the smallest symptom_id stays. A symptom's links are one row, as many
+    as there are conditions at most, so that symptoms with very many matches are split.
     """
     m = matches.filter(F.col("cosine") >= threshold)
-    hits = m.join(links.withColumnsRenamed({"onset": "l_onset", "duration": "l_duration"}), "symptom_id").join(weights.select("symptom_id", "idf"), "symptom_id")
+    stated = links.groupBy("symptom_id").agg(F.collect_list(F.struct("condition", F.col("onset").alias("l_onset"), F.col("duration").alias("l_duration"), "idf")).alias("l"))
+    stated = cut(stated.join(m.groupBy("symptom_id").agg(F.count(F.lit(1)).alias("n_matches")), "symptom_id"))
+    hits = join_groups(m, stated, ["symptom_id"], "n_matches").select("query_id", "record_id", "symptom_id", "cosine", "record", F.explode("l").alias("l")).select("*", "l.*")
     w = F.col("idf") * F.col("cosine") * facet_multiplier(F.col("l_onset"), F.col("l_duration"), F.col("record.onset"), F.col("record.duration"))
     w = F.when(F.col("record.polarity") == "absent", -ABSENT_WEIGHT * w).otherwise(w)
     best = F.max_by(F.struct("symptom_id", w.alias("w")), F.struct(F.round(F.abs(w), 12), -F.col("symptom_id")))
     return hits.groupBy("query_id", "condition", "record_id").agg(best.alias("b")).select("query_id", "condition", "record_id", "b.symptom_id", "b.w")
 
 
-def lengths(links: DataFrame, weights: DataFrame) -> DataFrame:
-    """(condition, length): sum of the weights of all its symptoms."""
-    return links.join(weights.select("symptom_id", "idf"), "symptom_id").groupBy("condition").agg(F.sum("idf").alias("length"))
+def lengths(links: DataFrame, squares: bool = False) -> DataFrame:
+    """(condition, length): sum of the weights of all its symptoms, or the root of the sum of their squares."""
+    total = F.sqrt(F.sum(F.col("idf") * F.col("idf"))) if squares else F.sum("idf")
+    return links.groupBy("condition").agg(total.alias("length"))
 
 
 def ranked(scores: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
@@ -61,20 +74,18 @@ def evidence_lists(found: DataFrame) -> DataFrame:
 def cosine_rank_l2(matches: DataFrame, links: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
     """Dot product of sparse weight vectors over |condition|_2 ** alpha * |query|_2; the query has each symptom once, denied if any of its records denies it."""
     m = matches.filter(F.col("cosine") >= MATCH).groupBy("query_id", "symptom_id").agg(F.bool_or(F.col("record.polarity") == "absent").alias("denied"))
-    q = m.join(weights, "symptom_id").select("query_id", "symptom_id", "idf", (F.col("idf") * F.when(F.col("denied"), -ABSENT_WEIGHT).otherwise(1.0)).alias("q"))
+    q = cut(m.join(weights.select("symptom_id", "idf"), "symptom_id").select("query_id", "symptom_id", (F.col("idf") * F.when(F.col("denied"), -ABSENT_WEIGHT).otherwise(1.0)).alias("q")))
     norm_q = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("nq"))
-    pairs = links.select("condition", "symptom_id")
-    norm_c = pairs.join(weights, "symptom_id").groupBy("condition").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("nc"))
-    dot = q.join(pairs, "symptom_id").groupBy("query_id", "condition").agg(F.sum(F.col("q") * F.col("idf")).alias("dot"))
-    scored = dot.join(norm_q, "query_id").join(norm_c, "condition").withColumn("score", F.round(F.col("dot") / (F.pow("nc", F.lit(LENGTH_ALPHA)) * F.col("nq")), 6))
+    dot = q.join(links.select("condition", "symptom_id", "idf"), "symptom_id").groupBy("query_id", "condition").agg(F.sum(F.col("q") * F.col("idf")).alias("dot"))
+    scored = dot.join(norm_q, "query_id").join(lengths(links, squares=True), "condition").withColumn("score", F.round(F.col("dot") / (F.pow("length", F.lit(LENGTH_ALPHA)) * F.col("nq")), 6))
     return ranked(scored, "query_id", "score", "condition", k).select("query_id", "rank", "condition", "score")
 
 
-def seeds(links: DataFrame, weights: DataFrame, targets: DataFrame | None = None, k: int = 2) -> DataFrame:
-    """(condition, rank, symptom_id): the k commonest symptoms of each condition, or the k whose weight is nearest its target (condition, target)."""
-    s = links.select("condition", "symptom_id").join(weights.select("symptom_id", "idf"), "symptom_id")
+def seeds(links: DataFrame, targets: DataFrame | None = None, k: int = 2, rarest: bool = False) -> DataFrame:
+    """(condition, rank, symptom_id): the k commonest (or rarest) symptoms of each condition, or the k whose weight is nearest its target (condition, target)."""
+    s = links.select("condition", "symptom_id", "idf")
     if targets is None:
-        order = F.round("idf", 9)
+        order = F.round("idf", 9) * (-1 if rarest else 1)
     else:
         s = s.join(targets, "condition")
         order = F.round(F.abs(F.col("idf") - F.col("target")), 9)
@@ -82,21 +93,46 @@ def seeds(links: DataFrame, weights: DataFrame, targets: DataFrame | None = None
     return s.withColumn("o", order).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("condition", "rank", "symptom_id")
 
 
+def held_out(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(truth, condition, total, score, place): all conditions ranked for an opening of each condition's seeds (condition, symptom_id), equal ones by name."""
+    s = seeds.select(F.col("condition").alias("truth"), "symptom_id")
+    sums = s.join(links.select("condition", "symptom_id", "idf"), "symptom_id").groupBy("truth", "condition").agg(F.sum("idf").alias("total"))
+    scored = sums.join(lengths(links), "condition").withColumn("score", F.round(F.col("total") / F.pow("length", F.lit(LENGTH_ALPHA)), 6))
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("truth").orderBy(F.desc("score"), "condition")))
+
+
+def hit_rates(places: DataFrame, *by: str) -> DataFrame:
+    """(by, n, top1, top5, top10) of rows that hold the place of the truth, null where it isn't found."""
+    at = lambda k: F.round(F.avg(F.coalesce(F.col("place") <= k, F.lit(False)).cast("int")), 6).alias(f"top{k}")
+    return places.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), at(1), at(5), at(10))
+
+
+def recovered(picks: DataFrame, got: DataFrame, links: DataFrame) -> DataFrame:
+    """(n, exact, same): of picks (query_id, record_id, own), the shares that got (the same columns and symptom_id) leads back to the row itself, and to one that shares a condition with it."""
+    key = ["query_id", "record_id"]
+    exact = got.groupBy(*key).agg(F.bool_or(F.col("own") == F.col("symptom_id")).alias("exact"))
+    # a symptom's conditions are one row of at most as many as there are
+    carriers = cut(links.groupBy("symptom_id").agg(F.collect_set("condition").alias("carriers")))
+    mine = got.join(carriers.select(F.col("symptom_id").alias("own"), F.col("carriers").alias("mine")), "own").join(carriers, "symptom_id")
+    same = mine.groupBy(*key).agg(F.bool_or(F.arrays_overlap("mine", "carriers")).alias("same"))
+    z = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("int")), 6).alias(c)
+    return picks.join(exact, key, "left").join(same, key, "left").agg(F.count(F.lit(1)).alias("n"), z("exact"), z("same"))
+
+
 def entropy(p: Column) -> Column:
     return -(p * F.log2(p) + (1 - p) * F.log2(1 - p))
 
 
-def splits(candidates: DataFrame, links: DataFrame, weights: DataFrame, asked: DataFrame) -> DataFrame:
+def splits(candidates: DataFrame, links: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, symptom_id, h, idf): how evenly each symptom not asked splits the candidates (query_id, condition); none that all have.
 
     The links of one query's candidates stay with that query; nothing of other queries is compared.
     """
     n = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    held = candidates.join(links.select("condition", "symptom_id"), "condition").groupBy("query_id", "symptom_id").agg(F.count(F.lit(1)).alias("c"))
+    held = candidates.select("query_id", "condition").join(links.select("condition", "symptom_id", "idf"), "condition").groupBy("query_id", "symptom_id").agg(F.count(F.lit(1)).alias("c"), F.first("idf").alias("idf"))
     held = held.join(asked.select("query_id", "symptom_id").distinct(), ["query_id", "symptom_id"], "left_anti")
     p = F.col("c") / F.col("n")
-    part = held.join(n, "query_id").filter(F.col("c") < F.col("n")).withColumn("h", F.round(entropy(p), 9))
-    return part.join(weights.select("symptom_id", "idf"), "symptom_id").select("query_id", "symptom_id", "h", "idf")
+    return held.join(n, "query_id").filter(F.col("c") < F.col("n")).select("query_id", "symptom_id", F.round(entropy(p), 9).alias("h"), "idf")
 
 
 def best_split(options: DataFrame, rarest: bool = True) -> DataFrame:
@@ -113,18 +149,56 @@ def narrowed(scores: DataFrame, target: int) -> DataFrame:
     return scores.withColumn("keep", F.greatest(F.lit(target), n - 2)).withColumn("place", place).filter(F.col("place") <= F.col("keep")).drop("keep")
 
 
-def similar_conditions(links: DataFrame, weights: DataFrame) -> DataFrame:
+def narrow(opening: DataFrame, asked: DataFrame, links: DataFrame, norms: DataFrame, reply: Callable[[DataFrame], DataFrame], targets: tuple[int, ...] = (5, 1), most: int = MOST_QUESTIONS, squares: bool = False, rarest: bool = True) -> DataFrame:
+    """(query_id, condition, place, score, n_asked): the candidates of an opening, in the order they have after questioning.
+
+    opening: (query_id, condition, total, place); asked: (query_id, symptom_id), what the opening has said. For each target
+    in turn, at most `most` times: the symptom that splits the remaining candidates most evenly is asked, the reply is added
+    to all totals as a statement of its own (idf, or its square, times -0.7 for no; none if the reply is null), and at most
+    two candidates are dropped, whatever the reply, until `target` are left or nothing splits them. reply takes (query_id,
+    symptom_id) and adds the boolean column `reply`. Equal scores keep their order. All queries go on together; each round's
+    state, of as many rows as the opening, is cut.
+    """
+    state = cut(opening.join(norms, "condition").select("query_id", "condition", F.col("total").cast("double").alias("total"), "length", F.col("place").alias("first"), "place", F.lit(True).alias("left")))
+    score = F.round(F.col("total") / F.pow("length", F.lit(LENGTH_ALPHA)), 6)
+    asked = asked.select("query_id", "symptom_id").distinct()
+    questions = None
+    for target in targets:
+        for _ in range(most):
+            remaining = state.filter("left")
+            open_ = remaining.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > target)
+            best = best_split(splits(remaining.join(open_.select("query_id"), "query_id", "left_semi"), links, asked), rarest)
+            told = cut(reply(best.select("query_id", "symptom_id")).join(open_, "query_id").select("query_id", "symptom_id", "reply", "n"))
+            if not told.limit(1).count():
+                break
+            mine = told.select("query_id", "symptom_id")
+            asked = asked.unionByName(mine)
+            questions = mine if questions is None else questions.unionByName(mine)
+            gain = F.when(F.col("reply"), 1.0).when(~F.col("reply"), -ABSENT_WEIGHT) * (F.col("idf") * F.col("idf") if squares else F.col("idf"))
+            after = state.join(told, "query_id", "left").join(links.select("condition", "symptom_id", "idf"), ["condition", "symptom_id"], "left")
+            after = after.withColumn("total", F.col("total") + F.coalesce(gain, F.lit(0.0)))
+            place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("left"), F.desc(score), "place"))
+            after = after.withColumn("place", F.when(F.col("n").isNull(), F.col("place")).otherwise(place))
+            stays = F.col("n").isNull() | (F.col("place") <= F.greatest(F.lit(target), F.col("n") - 2))
+            state = cut(after.withColumn("left", F.col("left") & stays).select(*state.columns))
+    last = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first"))
+    out = state.withColumn("score", score).withColumn("place", last).select("query_id", "condition", "place", "score")
+    if questions is None:
+        return out.withColumn("n_asked", F.lit(0).cast("bigint"))
+    n = questions.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_asked"))
+    return out.join(n, "query_id", "left").withColumn("n_asked", F.coalesce("n_asked", F.lit(0)))
+
+
+def similar_conditions(links: DataFrame) -> DataFrame:
     """(a, b, cosine) of weight vectors for all pairs of conditions with a symptom in common.
 
     The join goes through the symptom. A symptom in c conditions gives c * c / 2 products, which partial aggregation folds
     into at most one row per pair of conditions and task; conditions are a dimension of bounded size.
     """
-    v = links.select("condition", "symptom_id").join(weights.select("symptom_id", "idf"), "symptom_id")
-    norm = v.groupBy("condition").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("n"))
+    v = links.select("condition", "symptom_id", "idf")
+    norm = cut(lengths(v, squares=True))
     a = v.select(F.col("condition").alias("a"), "symptom_id", "idf")
     b = v.select(F.col("condition").alias("b"), "symptom_id")
     dot = a.join(b, "symptom_id").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"))
-    na, nb = norm.select(F.col("condition").alias("a"), F.col("n").alias("na")), norm.select(F.col("condition").alias("b"), F.col("n").alias("nb"))
-    return dot.join(na, "a").join(nb, "b").select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))
-
-
+    side = lambda c: small_or_shuffled(norm.select(F.col("condition").alias(c), F.col("length").alias(f"n{c}")))
+    return dot.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("cosine"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from lodestone.functions.facets import DURATIONS, ONSETS
 from lodestone.functions.text import key_rule
 from lodestone.operators import retrieval as R
 from lodestone.operators.order import numbered
+from lodestone.session import cut, stored
 from lodestone.sources.tables import table
 
 FACETS = ("onset", "duration", "duration_text", "severity", "progression", "polarity")
@@ -33,6 +36,12 @@ def weights(spark: SparkSession, folder: str) -> DataFrame:
     return R.idf(links(spark, folder), "condition", "symptom_id")
 
 
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """links() with the idf of their symptom, stored once for a query that reads it several times."""
+    l = stored(links(spark, folder))
+    return stored(R.weighted(l, R.idf(l, "condition", "symptom_id")))
+
+
 LINKS = f"""lk AS (SELECT lower(trim(condition, {SPACES})) AS condition, symptom_id, {', '.join(f'first({f} ORDER BY link_id) AS {f}' for f in FACETS)}
   FROM links WHERE condition IS NOT NULL AND symptom_id IS NOT NULL GROUP BY 1, 2)"""
 IDF = """wt AS (SELECT symptom_id, count(*) AS n_documents, ln(((SELECT count(DISTINCT condition) FROM lk) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM lk GROUP BY 1)"""
@@ -97,7 +106,7 @@ def q_lists(spark, d):
     """A condition's list is as long as the vocabulary at most; the lists are the result."""
     s = table(spark, d, "symptoms").filter("canonical IS NOT NULL").select("symptom_id", "canonical")
     one = F.struct((-F.round("idf", 6)).alias("o"), "canonical", "symptom_id")
-    l = links(spark, d).join(s, "symptom_id").join(weights(spark, d), "symptom_id").groupBy("condition").agg(F.array_sort(F.collect_list(one)).alias("l"))
+    l = corpus(spark, d).join(s, "symptom_id").groupBy("condition").agg(F.array_sort(F.collect_list(one)).alias("l"))
     c = table(spark, d, "conditions").select(F.col("slug"), key_rule(F.col("slug")).alias("condition"))
     return c.join(l, "condition", "left").select(F.col("slug").alias("condition"), F.array_join(F.coalesce(F.col("l.canonical"), F.array().cast("array<string>")), " | ").alias("symptoms"))
 
@@ -132,12 +141,9 @@ def q_pivot(spark, d):
     return p.select("condition", *((F.coalesce(o, F.lit(0)) > 0).cast("int").alias(o) for o in ONSET_COLUMNS))
 
 
-def _evidence(spark, d):
-    return R.evidence(matches(spark, d), links(spark, d), weights(spark, d))
-
-
-def ranking(spark: SparkSession, d: str) -> DataFrame:
-    return R.idf_rank(_evidence(spark, d), R.lengths(links(spark, d), weights(spark, d)))
+def ranking(spark: SparkSession, d: str, l: DataFrame | None = None) -> DataFrame:
+    l = corpus(spark, d) if l is None else l
+    return R.idf_rank(R.evidence(matches(spark, d), l), R.lengths(l))
 
 
 @query("idf_rank", f"{FULL} SELECT * FROM rk")
@@ -148,7 +154,7 @@ def q_rank(spark, d):
 @query("idf_rank_evidence", f"""{FULL} SELECT query_id, condition, round(sum(w), 6) AS total,
   string_agg(symptom_id || ':' || printf('%.4f', w), ' | ' ORDER BY round(abs(w), 6) DESC, record_id) AS evidence FROM ev GROUP BY 1, 2""")
 def q_evidence(spark, d):
-    return R.evidence_lists(_evidence(spark, d))
+    return R.evidence_lists(R.evidence(matches(spark, d), corpus(spark, d)))
 
 
 @query("cosine_rank_l2", f"""{WITH}, {MATCHES}, q AS (SELECT query_id, symptom_id, idf, idf * CASE WHEN bool_or(record.polarity = 'absent') THEN -0.7::DOUBLE ELSE 1 END AS q FROM mt JOIN wt USING (symptom_id) WHERE cosine >= 0.8 GROUP BY 1, 2, 3),
@@ -156,14 +162,15 @@ nq AS (SELECT query_id, sqrt(sum(q * q)) AS nq FROM q GROUP BY 1), nc AS (SELECT
 s AS (SELECT query_id, condition, round(sum(q * idf) / (any_value(nc) ** 0.25 * any_value(nq)), 6) AS score FROM q JOIN lk USING (symptom_id) JOIN nq USING (query_id) JOIN nc USING (condition) GROUP BY 1, 2)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, condition)::INTEGER AS rank, condition, score FROM s QUALIFY rank <= 10""")
 def q_l2(spark, d):
-    return R.cosine_rank_l2(matches(spark, d), links(spark, d), weights(spark, d))
+    l = corpus(spark, d)
+    return R.cosine_rank_l2(matches(spark, d), l, l.select("symptom_id", "idf").distinct())
 
 
 @query("condition_cosine_pairs", f"""{WITH}, v AS (SELECT condition, symptom_id, idf FROM lk JOIN wt USING (symptom_id)), n AS (SELECT condition, sqrt(sum(idf * idf)) AS n FROM v GROUP BY 1),
 p AS (SELECT a.condition AS a, b.condition AS b, sum(a.idf * b.idf) AS dot FROM v a JOIN v b ON a.symptom_id = b.symptom_id AND a.condition < b.condition GROUP BY 1, 2)
 SELECT a, b, round(dot / (x.n * y.n), 6) AS cosine FROM p JOIN n x ON x.condition = a JOIN n y ON y.condition = b""")
 def q_pairs(spark, d):
-    return R.similar_conditions(links(spark, d), weights(spark, d))
+    return R.similar_conditions(corpus(spark, d))
 
 
 SEEDS = "sd AS (SELECT condition, row_number() OVER (PARTITION BY condition ORDER BY round(idf, 9), symptom_id)::INTEGER AS rank, symptom_id FROM lk JOIN wt USING (symptom_id) QUALIFY rank <= 2)"
@@ -171,16 +178,15 @@ SEEDS = "sd AS (SELECT condition, row_number() OVER (PARTITION BY condition ORDE
 
 @query("seed_commonest", f"{WITH}, {SEEDS} SELECT * FROM sd")
 def q_seeds(spark, d):
-    return R.seeds(links(spark, d), weights(spark, d))
+    return R.seeds(corpus(spark, d))
 
 
 @query("seed_matched", f"""{WITH}, tg AS (SELECT condition, avg(idf) AS target FROM lk JOIN wt USING (symptom_id) GROUP BY 1)
 SELECT condition, row_number() OVER (PARTITION BY condition ORDER BY round(abs(idf - target), 9), symptom_id)::INTEGER AS rank, symptom_id FROM lk JOIN wt USING (symptom_id) JOIN tg USING (condition) QUALIFY rank <= 2""")
 def q_seed_matched(spark, d):
     """Target: the condition's mean weight."""
-    w = weights(spark, d)
-    target = links(spark, d).join(w, "symptom_id").groupBy("condition").agg(F.avg("idf").alias("target"))
-    return R.seeds(links(spark, d), w, target)
+    l = corpus(spark, d)
+    return R.seeds(l, l.groupBy("condition").agg(F.avg("idf").alias("target")))
 
 
 @query("hits_at_k", f"""{WITH}, {SEEDS}, ln_ AS (SELECT condition, sum(idf) AS length FROM lk JOIN wt USING (symptom_id) GROUP BY 1),
@@ -190,14 +196,9 @@ ps AS (SELECT truth, min(pos) FILTER (WHERE condition = truth) AS pos FROM rk GR
 SELECT count(*) AS n, round(avg((pos <= 1)::INT), 6) AS top1, round(avg((pos <= 5)::INT), 6) AS top5, round(avg((pos <= 10)::INT), 6) AS top10 FROM ps""")
 def q_hits(spark, d):
     """Held-out retrieval: each condition seeded with two of its own symptoms; every condition is ranked."""
-    l, w = links(spark, d), weights(spark, d)
-    s = R.seeds(l, w).select(F.col("condition").alias("truth"), "symptom_id")
-    sums = s.join(l.select("condition", "symptom_id"), "symptom_id").join(w, "symptom_id").groupBy("truth", "condition").agg(F.sum("idf").alias("total"))
-    scored = sums.join(R.lengths(l, w), "condition").withColumn("score", F.round(F.col("total") / F.pow("length", F.lit(R.LENGTH_ALPHA)), 6))
-    pos = F.row_number().over(Window.partitionBy("truth").orderBy(F.desc("score"), "condition"))
-    ps = scored.withColumn("pos", pos).groupBy("truth").agg(F.min(F.when(F.col("truth") == F.col("condition"), F.col("pos"))).alias("pos"))
-    at = lambda k: F.round(F.avg((F.col("pos") <= k).cast("int")), 6).alias(f"top{k}")
-    return ps.agg(F.count(F.lit(1)).alias("n"), at(1), at(5), at(10))
+    l = corpus(spark, d)
+    places = R.held_out(l, R.seeds(l)).groupBy("truth").agg(F.min(F.when(F.col("truth") == F.col("condition"), F.col("place"))).alias("place"))
+    return R.hit_rates(places)
 
 
 @query("sample_hash", "SELECT slug FROM conditions ORDER BY md5(slug || ':0'), slug LIMIT 150")
@@ -220,8 +221,9 @@ sp AS (SELECT query_id, symptom_id, round(-(c::DOUBLE / n * log2(c::DOUBLE / n)
 
 
 def _splits(spark, d):
+    l = corpus(spark, d)
     asked = matches(spark, d).filter(F.col("cosine") >= R.MATCH)
-    return R.splits(ranking(spark, d).select("query_id", "condition"), links(spark, d), weights(spark, d), asked)
+    return R.splits(ranking(spark, d, l).select("query_id", "condition"), l, asked)
 
 
 @query("split_entropy", f"{SPLIT} SELECT query_id, symptom_id, h FROM sp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY h DESC, round(idf, 9) DESC, symptom_id) = 1")
@@ -241,14 +243,145 @@ def q_narrow(spark, d):
     return R.narrowed(ranking(spark, d).select("query_id", "condition", "score"), 5).select("query_id", "condition", "score", "place")
 
 
-@query("narrowing_final", f"""{FULL}, s2 AS (SELECT query_id, condition, sum(w) FILTER (WHERE w < 0) AS denied FROM ev GROUP BY 1, 2)
-SELECT query_id, condition, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(round(denied, 6), '-inf'::DOUBLE) DESC, rank)::INTEGER AS place FROM rk JOIN s2 USING (query_id, condition)""")
+def _rounds_sql(first: str, asked: str, truth: str, targets: tuple[int, ...] = (5, 5, 5, 1, 1), gain: str = "idf", tie: str = "round(idf, 9) DESC, ", skip: str = "symptom_id % 7 = 0") -> str:
+    """The rounds of questions, written out; at most two candidates go in each, so ten come to five in three and to one in two more. skip: what the patient doesn't know."""
+    out = [f"st0 AS ({first})", f"as0 AS ({asked})", f"tr AS ({truth})"]
+    for i, target in enumerate(targets):
+        out += [
+            f"n{i} AS (SELECT query_id, count(*) AS n FROM st{i} WHERE alive GROUP BY 1 HAVING count(*) > {target})",
+            f"c{i} AS (SELECT query_id, symptom_id, count(*) AS c FROM st{i} JOIN n{i} USING (query_id) JOIN lk USING (condition) WHERE alive GROUP BY 1, 2)",
+            f"""b{i} AS (SELECT query_id, symptom_id, n, CASE WHEN {skip} THEN NULL ELSE EXISTS (SELECT 1 FROM tr JOIN lk ON lk.condition = tr.truth WHERE tr.query_id = x.query_id AND lk.symptom_id = x.symptom_id) END AS reply FROM (
+  SELECT c{i}.query_id, symptom_id, n, round(-(c::DOUBLE / n * log2(c::DOUBLE / n) + (1 - c::DOUBLE / n) * log2(1 - c::DOUBLE / n)), 9) AS h, idf FROM c{i} JOIN n{i} USING (query_id) JOIN wt USING (symptom_id)
+  WHERE c < n AND NOT EXISTS (SELECT 1 FROM as{i} a WHERE a.query_id = c{i}.query_id AND a.symptom_id = c{i}.symptom_id)) x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY h DESC, {tie}symptom_id) = 1)""",
+            f"as{i + 1} AS (SELECT * FROM as{i} UNION ALL SELECT query_id, symptom_id FROM b{i})",
+            f"""t{i} AS (SELECT s.* REPLACE (total + coalesce(CASE WHEN reply THEN 1 WHEN NOT reply THEN -0.7::DOUBLE END * CASE WHEN l.symptom_id IS NOT NULL THEN {gain} END, 0) AS total), b.n FROM st{i} s LEFT JOIN b{i} b USING (query_id) LEFT JOIN wt USING (symptom_id) LEFT JOIN lk l ON l.condition = s.condition AND l.symptom_id = b.symptom_id)""",
+            f"u{i} AS (SELECT * REPLACE (CASE WHEN n IS NULL THEN place ELSE row_number() OVER (PARTITION BY query_id ORDER BY alive DESC, round(total / length ** 0.25, 6) DESC, place) END AS place) FROM t{i})",
+            f"st{i + 1} AS (SELECT * EXCLUDE (n) REPLACE (alive AND (n IS NULL OR place <= greatest({target}, n - 2)) AS alive) FROM u{i})",
+        ]
+    k = len(targets)
+    out.append(f"fin AS (SELECT query_id, condition, row_number() OVER (PARTITION BY query_id ORDER BY round(total / length ** 0.25, 6) DESC, first)::INTEGER AS place, round(total / length ** 0.25, 6) AS score, (SELECT count(*) FROM as{k} a WHERE a.query_id = s.query_id) - (SELECT count(*) FROM as0 a WHERE a.query_id = s.query_id) AS n_asked FROM st{k} s)")
+    return ", ".join(out)
+
+
+OPENED = "SELECT r.query_id, r.condition, (SELECT sum(w) FROM ev WHERE ev.query_id = r.query_id AND ev.condition = r.condition) AS total, length, rank AS first, rank AS place, true AS alive FROM rk r JOIN ln_ USING (condition)"
+
+
+@query("narrowing_final", f"{FULL}, {_rounds_sql(OPENED, 'SELECT DISTINCT query_id, symptom_id FROM mt WHERE cosine >= 0.8', 'SELECT query_id, arg_max(condition, CASE WHEN rank <= 3 THEN rank END) AS truth FROM rk GROUP BY 1')} SELECT * FROM fin")
 def q_final(spark, d):
-    """The ten of the opening in a final order by another score; those without one come last, in their first order."""
-    other = _evidence(spark, d).groupBy("query_id", "condition").agg(F.sum(F.when(F.col("w") < 0, F.col("w"))).alias("denied"))
-    r = ranking(spark, d).join(other, ["query_id", "condition"])
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce(F.round("denied", 6), F.lit(float("-inf")))), "rank")
-    return r.select("query_id", "condition", F.row_number().over(w).alias("place"))
+    """The ten of the opening after the questions 10 -> 5 -> 1, put to a patient who has the third of them and doesn't know about every seventh symptom."""
+    l = corpus(spark, d)
+    m = stored(matches(spark, d).filter(F.col("cosine") >= R.MATCH))
+    found = cut(R.evidence(m, l))
+    norms = cut(R.lengths(l))
+    rank = R.idf_rank(found, norms).join(found.groupBy("query_id", "condition").agg(F.sum("w").alias("total")), ["query_id", "condition"])
+    opening = cut(rank.select("query_id", "condition", "total", F.col("rank").alias("place")))
+    truth = opening.filter("place <= 3").groupBy("query_id").agg(F.max_by("condition", "place").alias("truth"))
+    return R.narrow(opening, m, l, norms, _replies(truth, l, F.col("symptom_id") % 7 == 0))
+
+
+def _replies(truth: DataFrame, l: DataFrame, unknown=None):
+    """Replies of a patient with a condition (query_id, truth): whether it has the symptom; null where `unknown` holds."""
+    has = l.select(F.col("condition").alias("truth"), "symptom_id", F.lit(True).alias("has"))
+
+    def reply(best: DataFrame) -> DataFrame:
+        told = best.join(truth, "query_id").join(has, ["truth", "symptom_id"], "left")
+        known = F.coalesce("has", F.lit(False))
+        return told.select("query_id", "symptom_id", (known if unknown is None else F.when(~unknown, known)).alias("reply"))
+
+    return reply
+
+
+_POC_SEEDS = "SELECT condition, symptom_id FROM lk JOIN wt USING (symptom_id) WHERE condition IN (SELECT condition FROM lk GROUP BY 1 HAVING count(*) >= 3) QUALIFY row_number() OVER (PARTITION BY condition ORDER BY {0}round(idf, 9), symptom_id) <= 2"
+
+
+def _poc_sql(sign: str) -> str:
+    first = """SELECT query_id, condition, total, length, place AS first, place, true AS alive FROM (SELECT sd.condition AS query_id, l.condition, sum(w.idf * w.idf) AS total, any_value(n.length) AS length, row_number() OVER (PARTITION BY sd.condition ORDER BY round(sum(w.idf * w.idf) / any_value(n.length) ** 0.25, 6) DESC, l.condition) AS place
+  FROM sd JOIN lk l USING (symptom_id) JOIN wt w USING (symptom_id) JOIN nc n ON n.condition = l.condition GROUP BY 1, 2) WHERE place <= 10"""
+    rounds = _rounds_sql(first, "SELECT condition AS query_id, symptom_id FROM sd", "SELECT DISTINCT condition AS query_id, condition AS truth FROM sd", gain="idf * idf", tie="", skip="false")
+    return f"""{WITH}, nc AS (SELECT condition, sqrt(sum(idf * idf)) AS length FROM lk JOIN wt USING (symptom_id) GROUP BY 1), sd AS ({_POC_SEEDS.format(sign)}), {rounds}
+SELECT count(*) AS n, round(avg(coalesce(place <= 1, false)::INT), 6) AS top1, round(avg(coalesce(place <= 5, false)::INT), 6) AS top5, round(avg(coalesce(place <= 10, false)::INT), 6) AS top10 FROM tr LEFT JOIN fin ON fin.query_id = tr.query_id AND fin.condition = tr.truth"""
+
+
+def _poc(spark, d, rarest: bool):
+    """Interviews of patients who open with two symptoms of their condition (of those with at least three) and answer for it; the final order is scored."""
+    l = corpus(spark, d)
+    many = l.groupBy("condition").count().filter("count >= 3").select("condition")
+    seeds = cut(R.seeds(l, rarest=rarest).join(many, "condition", "left_semi").select("condition", "symptom_id"))
+    norms = cut(R.lengths(l, squares=True))
+    said = seeds.select(F.col("condition").alias("query_id"), "symptom_id")
+    total = said.join(l.select("condition", "symptom_id", "idf"), "symptom_id").groupBy("query_id", "condition").agg(F.sum(F.col("idf") * F.col("idf")).alias("total"))
+    scored = total.join(norms, "condition").withColumn("score", F.round(F.col("total") / F.pow("length", F.lit(R.LENGTH_ALPHA)), 6))
+    opening = cut(R.ranked(scored, "query_id", "score", "condition", 10).select("query_id", "condition", "total", F.col("rank").alias("place")))
+    truth = said.select("query_id", F.col("query_id").alias("truth")).distinct()
+    final = R.narrow(opening, said, l, norms, _replies(truth, l), squares=True, rarest=False)
+    own = truth.join(final.select("query_id", F.col("condition").alias("truth"), "place"), ["query_id", "truth"], "left")
+    return R.hit_rates(own)
+
+
+@query("poc_eval", _poc_sql("-"))
+def q_poc(spark, d):
+    """Opened with the two rarest symptoms."""
+    return _poc(spark, d, rarest=True)
+
+
+@query("poc_eval_hard", _poc_sql(""))
+def q_poc_hard(spark, d):
+    """Opened with the two commonest symptoms."""
+    return _poc(spark, d, rarest=False)
+
+
+_BANK = f"""nm AS (SELECT symptom_id, trim(string_split(lower(canonical), ' in the ')[1]) AS name FROM symptoms WHERE canonical IS NOT NULL),
+bl AS (SELECT DISTINCT condition, name AS symptom_id FROM lk JOIN nm USING (symptom_id) WHERE name <> ''), bw AS (SELECT symptom_id, ln(((SELECT count(DISTINCT condition) FROM bl) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM bl GROUP BY 1),
+pl AS (SELECT condition FROM lk GROUP BY 1 HAVING count(*) >= 3 INTERSECT SELECT condition FROM bl GROUP BY 1 HAVING count(*) >= 3)"""
+
+
+def _system_sql(name: str, l: str, w: str, seeds: str) -> str:
+    return f"""SELECT '{name}' AS system, count(*) AS n, round(avg((pos <= 1)::INT), 6) AS top1, round(avg((pos <= 5)::INT), 6) AS top5, round(avg((pos <= 10)::INT), 6) AS top10 FROM (SELECT truth, min(pos) FILTER (WHERE condition = truth) AS pos FROM (
+  SELECT truth, condition, row_number() OVER (PARTITION BY truth ORDER BY score DESC, condition) AS pos FROM (SELECT sd.condition AS truth, x.condition, round(sum(y.idf) / any_value(z.length) ** 0.25, 6) AS score FROM ({seeds}) sd JOIN {l} x USING (symptom_id) JOIN {w} y USING (symptom_id) JOIN (SELECT condition, sum(idf) AS length FROM {l} JOIN {w} USING (symptom_id) GROUP BY 1) z ON z.condition = x.condition GROUP BY 1, 2)) GROUP BY 1)"""
+
+
+def _seeds_sql(l: str, w: str, order: str, more: str = "") -> str:
+    return f"SELECT condition, symptom_id, idf FROM {l} JOIN {w} USING (symptom_id) JOIN pl USING (condition) {more} QUALIFY row_number() OVER (PARTITION BY condition ORDER BY {order}, symptom_id) <= 2"
+
+
+_OWN_BANK = _seeds_sql("bl", "bw", "round(idf, 9)")
+
+
+@query("two_systems", f"""{WITH}, {_BANK}, tg AS (SELECT condition, sum(idf) / 2 AS target FROM ({_OWN_BANK}) GROUP BY 1)
+{_system_sql('bank', 'bl', 'bw', _OWN_BANK)} UNION ALL {_system_sql('own', 'lk', 'wt', _seeds_sql('lk', 'wt', 'round(idf, 9)'))} UNION ALL {_system_sql('matched', 'lk', 'wt', _seeds_sql('lk', 'wt', 'round(abs(idf - target), 9)', 'JOIN tg USING (condition)'))}""")
+def q_two(spark, d):
+    """A bank of bare phrases and the links themselves on the conditions that both know, each by its own commonest seeds, and the links by seeds as common as the bank's."""
+    l = corpus(spark, d)
+    names = table(spark, d, "symptoms").filter("canonical IS NOT NULL").select("symptom_id", F.trim(F.substring_index(F.lower("canonical"), " in the ", 1)).alias("name")).filter("name <> ''")
+    b = stored(l.select("condition", "symptom_id").join(names, "symptom_id").select("condition", F.col("name").alias("symptom_id")).distinct())
+    b = stored(R.weighted(b, R.idf(b, "condition", "symptom_id")))
+    many = lambda x: x.groupBy("condition").count().filter("count >= 3").select("condition")
+    pool = cut(many(l).intersect(many(b)))
+    own = lambda x, **kw: R.seeds(x.join(pool, "condition", "left_semi"), **kw)
+    mine = cut(own(b))
+    targets = mine.join(b, ["condition", "symptom_id"]).groupBy("condition").agg((F.sum("idf") / 2).alias("target"))
+    systems = (("bank", b, mine), ("own", l, own(l)), ("matched", l, own(l, targets=targets)))
+    places = [R.held_out(x, s).groupBy("truth").agg(F.min(F.when(F.col("truth") == F.col("condition"), F.col("place"))).alias("place")).withColumn("system", F.lit(n)) for n, x, s in systems]
+    return R.hit_rates(reduce(DataFrame.unionByName, places), "system")
+
+
+_CORE = "lower(trim(CASE WHEN coalesce(trim(record.character), '') <> '' THEN trim(record.character) || ' ' ELSE '' END || trim(record.concept) || CASE WHEN coalesce(trim(record.site), '') <> '' THEN ' in the ' || trim(record.site) ELSE '' END))"
+
+
+@query("paraphrase_recovery", f"""WITH {LINKS}, {MATCHES}, me AS (SELECT lower(trim(core_phrase)) AS phrase, min(symptom_id) AS own FROM symptoms_v2 WHERE core_phrase IS NOT NULL GROUP BY 1),
+rc AS (SELECT DISTINCT query_id, record_id, {_CORE} AS phrase FROM mt), pk AS (SELECT query_id, record_id, min(own) AS own FROM rc JOIN me USING (phrase) GROUP BY 1, 2),
+gt AS (SELECT query_id, record_id, own, symptom_id FROM pk JOIN mt USING (query_id, record_id) WHERE cosine >= 0.8),
+ex AS (SELECT query_id, record_id, bool_or(own = symptom_id) AS exact FROM gt GROUP BY 1, 2), sm AS (SELECT DISTINCT query_id, record_id FROM gt JOIN lk a ON a.symptom_id = own JOIN lk b ON b.symptom_id = gt.symptom_id AND a.condition = b.condition)
+SELECT count(*) AS n, round(avg(coalesce(exact, false)::INT), 6) AS exact, round(avg((sm.query_id IS NOT NULL)::INT), 6) AS same FROM pk LEFT JOIN ex USING (query_id, record_id) LEFT JOIN sm USING (query_id, record_id)""")
+def q_paraphrase(spark, d):
+    """Patients' records whose own phrase is a vocabulary row: how often that row is among their matches, and how often some match shares a condition with it."""
+    trimmed = lambda f: F.coalesce(F.trim(f"record.{f}"), F.lit(""))
+    phrase = F.lower(F.trim(F.concat(F.when(trimmed("character") != "", F.concat(F.trim("record.character"), F.lit(" "))).otherwise(""), F.trim("record.concept"), F.when(trimmed("site") != "", F.concat(F.lit(" in the "), F.trim("record.site"))).otherwise(""))))
+    me = table(spark, d, "symptoms_v2").filter("core_phrase IS NOT NULL").groupBy(F.lower(F.trim("core_phrase")).alias("phrase")).agg(F.min("symptom_id").alias("own"))
+    m = stored(matches(spark, d))
+    picks = stored(m.select("query_id", "record_id", phrase.alias("phrase")).join(me, "phrase").groupBy("query_id", "record_id").agg(F.min("own").alias("own")))
+    got = picks.join(m.filter(F.col("cosine") >= R.MATCH).select("query_id", "record_id", "symptom_id"), ["query_id", "record_id"])
+    return R.recovered(picks, got, stored(links(spark, d)))
 
 
 @query("percentile_report", f"""WITH {LINKS}, n AS (SELECT condition, count(*) AS n FROM lk GROUP BY 1), o AS (SELECT n, row_number() OVER (ORDER BY n, condition) - 1 AS i, count(*) OVER () AS c FROM n)
