@@ -26,13 +26,18 @@ def band_distance(a: Column, b: Column, order: list[str]) -> Column:
     return F.abs(band(a, order) - band(b, order)) / F.lit(float(len(order) - 1))
 
 
-def facet_multiplier(onset: Column, duration: Column, other_onset: Column, other_duration: Column) -> Column:
-    """What a match keeps of its weight: 1 less the mean known distance, at least the floor; 1 if no distance is known."""
-    o, d = band_distance(onset, other_onset, ONSETS), band_distance(duration, other_duration, DURATIONS)
+def place_multiplier(onset: Column, duration: Column, other_onset: Column, other_duration: Column) -> Column:
+    """What a match keeps of its weight, from places in the order: 1 less the mean known distance, at least the floor; 1 if no distance is known."""
+    o = F.abs(onset - other_onset) / F.lit(float(len(ONSETS) - 1))
+    d = F.abs(duration - other_duration) / F.lit(float(len(DURATIONS) - 1))
     known = F.when(o.isNotNull() & d.isNotNull(), (o + d) / 2).otherwise(F.coalesce(o, d))
     return F.coalesce(F.greatest(F.lit(FACET_FLOOR), 1 - known), F.lit(1.0))
 
 
+def facet_multiplier(onset: Column, duration: Column, other_onset: Column, other_duration: Column) -> Column:
+    return place_multiplier(band(onset, ONSETS), band(duration, DURATIONS), band(other_onset, ONSETS), band(other_duration, DURATIONS))
+
+
 def core_phrase(concept: Column, character: Column, site: Column) -> Column:
     """[character ]concept[ in the site]; blanks count as absent."""
     some = lambda c: F.nullif(F.trim(c), F.lit(""))

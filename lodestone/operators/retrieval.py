@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.facets import facet_multiplier
+from lodestone.functions.facets import DURATIONS, ONSETS, band, place_multiplier
 from lodestone.operators.joins import join_groups, small_or_shuffled
 from lodestone.session import cut
 
@@ -28,21 +28,38 @@ def weighted(links: DataFrame, weights: DataFrame) -> DataFrame:
     return links.join(weights.select("symptom_id", "idf"), "symptom_id")
 
 
+def _hits(matches: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, record_id, condition, symptom_id, size, denied) of every match with every link of its symptom.
+
+    A symptom's links are one row, as many as there are conditions at most, so that symptoms with very many matches are split.
+    """
+    places = lambda o, d: (band(F.col(o), ONSETS).cast("byte"), band(F.col(d), DURATIONS).cast("byte"))
+    o, d = places("record.onset", "record.duration")
+    m = matches.filter(F.col("cosine") >= threshold).select("query_id", "record_id", "symptom_id", "cosine", o.alias("o"), d.alias("d"), F.coalesce(F.col("record.polarity") == "absent", F.lit(False)).alias("denied"))
+    o, d = places("onset", "duration")
+    stated = links.groupBy("symptom_id").agg(F.collect_list(F.struct("condition", o.alias("lo"), d.alias("ld"))).alias("l"), F.first("idf").alias("idf"))
+    stated = cut(stated.join(m.groupBy("symptom_id").agg(F.count(F.lit(1)).alias("n_matches")), "symptom_id"))
+    hits = join_groups(m, stated, ["symptom_id"], "n_matches").withColumn("l", F.explode("l"))
+    kept = place_multiplier(F.col("l.lo"), F.col("l.ld"), F.col("o"), F.col("d"))
+    return hits.select("query_id", "record_id", "l.condition", "symptom_id", (F.col("idf") * F.col("cosine") * kept).alias("size"), "denied")
+
+
 def evidence(matches: DataFrame, links: DataFrame, threshold: float = MATCH) -> DataFrame:
     """(query_id, condition, record_id, symptom_id, w): per patient record the strongest thing it says about a condition.
 
     matches (query_id, record_id, symptom_id, cosine, record struct), links (condition, symptom_id, onset, duration, idf). A
-    denial counts -0.7 times. Of equally strong ones the smallest symptom_id stays. A symptom's links are one row, as many
-    as there are conditions at most, so that symptoms with very many matches are split.
+    denial counts -0.7 times. Of equally strong ones the smallest symptom_id stays.
     """
-    m = matches.filter(F.col("cosine") >= threshold)
-    stated = links.groupBy("symptom_id").agg(F.collect_list(F.struct("condition", F.col("onset").alias("l_onset"), F.col("duration").alias("l_duration"), "idf")).alias("l"))
-    stated = cut(stated.join(m.groupBy("symptom_id").agg(F.count(F.lit(1)).alias("n_matches")), "symptom_id"))
-    hits = join_groups(m, stated, ["symptom_id"], "n_matches").select("query_id", "record_id", "symptom_id", "cosine", "record", F.explode("l").alias("l")).select("*", "l.*")
-    w = F.col("idf") * F.col("cosine") * facet_multiplier(F.col("l_onset"), F.col("l_duration"), F.col("record.onset"), F.col("record.duration"))
-    w = F.when(F.col("record.polarity") == "absent", -ABSENT_WEIGHT * w).otherwise(w)
+    w = F.when(F.col("denied"), -ABSENT_WEIGHT * F.col("size")).otherwise(F.col("size"))
     best = F.max_by(F.struct("symptom_id", w.alias("w")), F.struct(F.round(F.abs(w), 12), -F.col("symptom_id")))
-    return hits.groupBy("query_id", "condition", "record_id").agg(best.alias("b")).select("query_id", "condition", "record_id", "b.symptom_id", "b.w")
+    return _hits(matches, links, threshold).groupBy("query_id", "condition", "record_id").agg(best.alias("b")).select("query_id", "condition", "record_id", "b.symptom_id", "b.w")
+
+
+def strengths(matches: DataFrame, links: DataFrame, threshold: float = MATCH) -> DataFrame:
+    """(query_id, condition, record_id, w): evidence() without its symptom, from maxima alone, which are aggregated by hash and not by sorting."""
+    said, denied = (F.coalesce(F.max(F.when(F.col("denied") == x, F.col("size"))), F.lit(0.0)) for x in (False, True))
+    w = F.when(said >= ABSENT_WEIGHT * denied, said).otherwise(-ABSENT_WEIGHT * denied)
+    return _hits(matches, links, threshold).groupBy("query_id", "condition", "record_id").agg(w.alias("w"))
 
 
 def lengths(links: DataFrame, squares: bool = False) -> DataFrame:
@@ -58,7 +75,7 @@ def ranked(scores: DataFrame, by: str, score: str, tie: str, k: int) -> DataFram
 
 
 def idf_rank(found: DataFrame, norms: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, condition, score) from evidence() and lengths(): total / length ** 0.25."""
+    """(query_id, rank, condition, score) from evidence() or strengths(), and lengths(): total / length ** 0.25."""
     total = found.groupBy("query_id", "condition").agg(F.sum("w").alias("total"))
     scored = total.join(norms, "condition").withColumn("score", F.round(F.col("total") / F.pow("length", F.lit(LENGTH_ALPHA)), 6))
     return ranked(scored, "query_id", "score", "condition", k).select("query_id", "rank", "condition", "score")

@@ -143,7 +143,7 @@ def q_pivot(spark, d):
 
 def ranking(spark: SparkSession, d: str, l: DataFrame | None = None) -> DataFrame:
     l = corpus(spark, d) if l is None else l
-    return R.idf_rank(R.evidence(matches(spark, d), l), R.lengths(l))
+    return R.idf_rank(R.strengths(matches(spark, d), l), R.lengths(l))
 
 
 @query("idf_rank", f"{FULL} SELECT * FROM rk")
@@ -271,7 +271,7 @@ def q_final(spark, d):
     """The ten of the opening after the questions 10 -> 5 -> 1, put to a patient who has the third of them and doesn't know about every seventh symptom."""
     l = corpus(spark, d)
     m = stored(matches(spark, d).filter(F.col("cosine") >= R.MATCH))
-    found = cut(R.evidence(m, l))
+    found = cut(R.strengths(m, l))
     norms = cut(R.lengths(l))
     rank = R.idf_rank(found, norms).join(found.groupBy("query_id", "condition").agg(F.sum("w").alias("total")), ["query_id", "condition"])
     opening = cut(rank.select("query_id", "condition", "total", F.col("rank").alias("place")))
