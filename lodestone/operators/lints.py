@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.interview import UNSTATED
-from lodestone.sources.knowledge import Knowledge
+from lodestone.sources.knowledge import ENUMS, Knowledge
 
 #: Fixed values.
 FORBIDDEN_HOSTS = ("internal.example",)
-MODALITIES = ("history", "examination", "point_of_care")
 URGENCY_RANK = {"routine": 0, "urgent": 1, "same_day": 2, "emergency": 3}
 PROMPT_WORDS = 15
+TWO_CONCEPTS = (" and ", " or ", " perhaps ", " any sort of ", " at all ")
+COSTS = (0, 10)
 
 
 def _rows(df: DataFrame, entity: str | Column, *rules: tuple[str, Column]) -> DataFrame:
@@ -35,13 +36,13 @@ def source_licence(kb: Knowledge) -> DataFrame:
 
 def variable_values(kb: Knowledge) -> DataFrame:
     v = F.col("values")
-    return _rows(kb.variable, "var", ("single_value", F.size(v) < 2), ("repeated_value", F.size(v) != F.size(F.array_distinct(v))), ("no_unknown", ~F.array_contains(v, "unknown")), ("illegal_modality", ~F.col("modality").isin(*MODALITIES)))
+    return _rows(kb.variable, "var", ("single_value", F.size(v) < 2), ("repeated_value", F.size(v) != F.size(F.array_distinct(v))), ("no_unknown", ~F.array_contains(v, "unknown")), ("illegal_modality", ~F.col("modality").isin(*ENUMS["variable", "modality"])))
 
 
 def prompt_wording(kb: Knowledge) -> DataFrame:
     p = F.col("prompt")
-    joined = reduce(Column.__or__, (F.lower(p).contains(w) for w in (" and ", " or ")))
-    return _rows(kb.variable, "var", ("no_question_mark", ~F.trim(p).endswith("?")), ("too_long", F.size(F.split(F.trim(p), r"\s+")) > PROMPT_WORDS), ("compound", joined))
+    joined = reduce(Column.__or__, (F.concat(F.lit(" "), F.lower(p), F.lit(" ")).contains(w) for w in TWO_CONCEPTS))
+    return _rows(kb.variable, "var", ("no_question_mark", ~p.endswith("?")), ("too_long", F.size(F.split(F.trim(p), r"\s+")) > PROMPT_WORDS), ("compound", joined))
 
 
 def feature_expect(kb: Knowledge) -> DataFrame:
@@ -52,6 +53,24 @@ def pool_size(kb: Knowledge) -> DataFrame:
     return _rows(kb.complaint, "slug", ("too_small", F.size("pool") < 2), ("repeated", F.size("pool") != F.size(F.array_distinct("pool"))))
 
 
+def illegal_values(kb: Knowledge) -> DataFrame:
+    """Values outside what a field may be: enums, the range of a cost, fewer than one match asked for."""
+    tables = {"source": (kb.source, "source_id"), "variable": (kb.variable, "var"), "condition": (kb.condition, "slug"), "rule": (kb.rule, "id"), "clause": (kb.clauses(), "id")}
+    out = []
+    for (name, field), values in ENUMS.items():
+        df, key = tables[name]
+        out.append(_rows(df, key, (f"illegal_{field}", ~F.col(field).isin(*values))))
+    out.append(_rows(kb.variable, "var", ("illegal_cost", ~F.col("cost").between(*COSTS))))
+    out.append(_rows(kb.rule, "id", ("illegal_min_matches", F.col("min_matches") < 1)))
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
+def faults(kb: Knowledge) -> DataFrame:
+    """What keeps a knowledge base from being loaded: (entity, finding) of all checks of single entries."""
+    checks = (illegal_values, source_licence, variable_values, prompt_wording, feature_expect, pool_size, rule_unsatisfiable)
+    return reduce(DataFrame.unionByName, (c(kb) for c in checks)).distinct()
+
+
 def machine_origin(kb: Knowledge) -> DataFrame:
     return _rows(kb.condition, "slug", ("machine_candidate", F.col("origin") == "machine_candidate"))
 
@@ -98,7 +117,7 @@ def rule_unsatisfiable(kb: Knowledge) -> DataFrame:
     points = F.aggregate("any_of", F.lit(0.0), lambda s, c: s + F.coalesce(c["points"], F.lit(0.0)))
     scored = F.col("min_score").isNotNull()
     has_points = F.exists("any_of", lambda c: c["points"].isNotNull())
-    return _rows(kb.rule, "id", ("no_predicate", (F.size("all_of") == 0) & (F.size("any_of") == 0)), ("score_unreachable", scored & (points < F.col("min_score"))), ("points_without_score", ~scored & has_points), ("too_many_matches", ~scored & (F.size("any_of") > 0) & (F.col("min_matches") > F.size("any_of"))))
+    return _rows(kb.rule, "id", ("no_predicate", (F.size("all_of") == 0) & (F.size("any_of") == 0)), ("score_unreachable", scored & (points < F.col("min_score"))), ("points_without_score", ~scored & has_points), ("too_many_matches", F.col("min_matches") > F.greatest(F.size("any_of"), F.lit(1))))
 
 
 def signatures(kb: Knowledge) -> DataFrame:

@@ -11,7 +11,7 @@ from lodestone.sources.tables import table
 
 FAULTY = {
     "source": [*KB["source"], ("s3", "guideline", "No licence", "https://internal.example/x", None), ("s4", "published", "No url", None, "open")],
-    "variable": [*KB["variable"], ("compound", "Is it red and sore?", "history", "discriminating", 0, ["yes", "no", "unknown"], 8), ("rambling", "Tell me in one two three four five six seven eight nine ten eleven twelve words", "investigation", "discriminating", 0, ["yes", "yes", "unknown"], 9), ("lone", "Only one?", "history", "discriminating", 0, ["yes"], 10), ("same", "Is it the same?", "history", "discriminating", 0, ["yes", "no", "unknown"], 11)],
+    "variable": [*KB["variable"], ("compound", "Is it red and sore?", "history", "discriminating", 0, ["yes", "no", "unknown"], 8), ("rambling", "Tell me in one two three four five six seven eight nine ten eleven twelve words", "investigation", "discriminating", 0, ["yes", "yes", "unknown"], 9), ("vague", "Is it perhaps there at all?", "history", "discriminating", 11, ["yes", "no", "unknown"], 12), ("lone", "Only one? ", "history", "discriminating", 0, ["yes"], 10), ("same", "Is it the same?", "history", "discriminating", 0, ["yes", "no", "unknown"], 11)],
     "condition": [*KB["condition"], ("twin-a", "Twin a", ["gone"], "routine", "machine_candidate", []), ("twin-b", "Twin b", ["odd"], "emergency", "human", []), ("part", "Part", ["odd"], "same_day", "human", [])],
     "feature": [*KB["feature"], ("twin-a", "view", ["low", "mid"], 1.0, "s1"), ("twin-a", "click", ["low"], 1.0, "s9"), ("twin-b", "view", ["mid", "low"], 1.0, "s1"), ("twin-b", "click", ["low"], 1.0, "s1"), ("part", "click", ["low"], 1.0, "s1"), ("tester", "ghost", ["low"], 1.0, "s1"), ("bot", "refund", [], 1.0, "s1"), ("buyer", "refund", ["maybe", "unknown"], 1.0, "s1")],
     "complaint": [*KB["complaint"], ("tiny", "Tiny", ["bot"]), ("twins", "Twins", ["twin-a", "twin-b", "twin-b", "nobody"])],
@@ -32,9 +32,11 @@ def findings(entity: str, source: str, **rules: str) -> str:
 
 lint("lint_source_licence", L.source_licence, findings("source_id", "kb_source", no_url="type <> 'estimate' AND coalesce(trim(url), '') = ''", no_licence="type <> 'estimate' AND coalesce(trim(licence), '') = ''", forbidden_host="contains(url, 'internal.example')"))
 lint("lint_variable_values", L.variable_values, findings("var", "kb_variable", single_value="len(vals) < 2", repeated_value="len(vals) <> len(list_distinct(vals))", no_unknown="NOT list_contains(vals, 'unknown')", illegal_modality="modality NOT IN ('history', 'examination', 'point_of_care')"))
-lint("lint_prompt_wording", L.prompt_wording, findings("var", "kb_variable", no_question_mark="NOT ends_with(trim(prompt), '?')", too_long="len(string_split_regex(trim(prompt), '\\s+')) > 15", compound="contains(lower(prompt), ' and ') OR contains(lower(prompt), ' or ')"))
+lint("lint_prompt_wording", L.prompt_wording, findings("var", "kb_variable", no_question_mark="NOT ends_with(prompt, '?')", too_long="len(string_split_regex(trim(prompt), '\\s+')) > 15", compound="regexp_matches(' ' || lower(prompt) || ' ', ' (and|or|perhaps|any sort of|at all) ')"))
 lint("lint_feature_expect", L.feature_expect, findings("condition || '.' || var", "kb_feature", empty="len(expect) = 0", expects_unknown="list_contains(expect, 'unknown')"))
 lint("lint_pool_size", L.pool_size, findings("slug", "kb_complaint", too_small="len(pool) < 2", repeated="len(pool) <> len(list_distinct(pool))"))
+ILLEGAL = [("source", "source_id", "type", ("published", "guideline", "estimate")), ("variable", "var", "modality", ("history", "examination", "point_of_care")), ("variable", "var", "role", ("discriminating", "disposition")), ("condition", "slug", "urgency", ("routine", "urgent", "same_day", "emergency")), ("condition", "slug", "origin", ("human", "machine_candidate")), ("rule", "id", "urgency", ("routine", "urgent", "same_day", "emergency")), ("clause", "id", "op", ("==", "!=", ">=", "<=", ">", "<", "in"))]
+lint("lint_illegal_values", L.illegal_values, " UNION ".join(f"SELECT {k} AS entity, 'illegal_{f}' AS finding FROM kb_{t} WHERE {f} NOT IN {v}" for t, k, f, v in ILLEGAL) + " UNION SELECT var, 'illegal_cost' FROM kb_variable WHERE cost NOT BETWEEN 0 AND 10 UNION SELECT id, 'illegal_min_matches' FROM kb_rule WHERE min_matches < 1")
 lint("lint_machine_origin", L.machine_origin, findings("slug", "kb_condition", machine_candidate="origin = 'machine_candidate'"))
 lint("lint_undeclared_var", L.undeclared_var, "SELECT condition || '.' || var AS entity, 'undeclared_variable' AS finding FROM kb_feature WHERE var NOT IN (SELECT var FROM kb_variable)")
 lint("lint_illegal_expect", L.illegal_expect, "SELECT condition || '.' || var AS entity, e AS finding FROM (SELECT condition, var, unnest(list_distinct(expect)) AS e FROM kb_feature) JOIN kb_variable USING (var) WHERE NOT list_contains(vals, e)")
@@ -45,7 +47,7 @@ lint("lint_pool_refs", L.pool_refs, "SELECT complaint AS entity, 'condition ' ||
 lint("lint_unpooled", L.unpooled, "SELECT slug AS entity, 'in no pool' AS finding FROM kb_condition WHERE slug NOT IN (SELECT condition FROM kb_pool)")
 lint("lint_emergency_no_red_flag", lambda kb: L.no_red_flag(kb, "emergency"), "SELECT slug AS entity, urgency AS finding FROM kb_condition WHERE urgency = 'emergency' AND len(red_flags) = 0")
 lint("lint_urgent_no_red_flag", lambda kb: L.no_red_flag(kb, "emergency", "same_day"), "SELECT slug AS entity, urgency AS finding FROM kb_condition WHERE urgency IN ('emergency', 'same_day') AND len(red_flags) = 0")
-lint("lint_rule_unsatisfiable", L.rule_unsatisfiable, "SELECT r.id AS entity, unnest(list_filter([CASE WHEN n_all = 0 AND n_any = 0 THEN 'no_predicate' END, CASE WHEN min_score IS NOT NULL AND coalesce(p, 0) < min_score THEN 'score_unreachable' END, CASE WHEN min_score IS NULL AND coalesce(np, 0) > 0 THEN 'points_without_score' END, CASE WHEN min_score IS NULL AND n_any > 0 AND min_matches > n_any THEN 'too_many_matches' END], lambda x: x IS NOT NULL)) AS finding FROM kb_rule r LEFT JOIN (SELECT id, sum(points) AS p, count(points) AS np FROM kb_clause WHERE grp = 'any_of' GROUP BY 1) c USING (id)")
+lint("lint_rule_unsatisfiable", L.rule_unsatisfiable, "SELECT r.id AS entity, unnest(list_filter([CASE WHEN n_all = 0 AND n_any = 0 THEN 'no_predicate' END, CASE WHEN min_score IS NOT NULL AND coalesce(p, 0) < min_score THEN 'score_unreachable' END, CASE WHEN min_score IS NULL AND coalesce(np, 0) > 0 THEN 'points_without_score' END, CASE WHEN min_matches > greatest(n_any, 1) THEN 'too_many_matches' END], lambda x: x IS NOT NULL)) AS finding FROM kb_rule r LEFT JOIN (SELECT id, sum(points) AS p, count(points) AS np FROM kb_clause WHERE grp = 'any_of' GROUP BY 1) c USING (id)")
 PAIRS = "pr AS (SELECT x.condition AS a, y.condition AS b, count(*) AS common FROM sg x JOIN sg y USING (var, sig) WHERE x.condition <> y.condition GROUP BY 1, 2), nn AS (SELECT condition, count(*) AS n FROM sg GROUP BY 1)"
 lint("lint_identical", lambda kb: L.signature_pairs(kb).filter("relation = 'identical'").drop("relation"), f", {PAIRS} SELECT a, b FROM pr JOIN nn p ON p.condition = a JOIN nn q ON q.condition = b WHERE common = p.n AND p.n = q.n AND a < b")
 lint("lint_subset", lambda kb: L.signature_pairs(kb).filter("relation = 'subset'").drop("relation"), f", {PAIRS} SELECT a, b FROM pr JOIN nn p ON p.condition = a JOIN nn q ON q.condition = b WHERE common = p.n AND p.n < q.n")

@@ -10,7 +10,7 @@ from lodestone.functions import facets, markup, names
 from lodestone.operators import graph, terminology, vectors
 from lodestone.operators.joins import join_groups
 from lodestone.operators.order import numbered
-from lodestone.sources import files, knowledge, providers
+from lodestone.sources import files, providers
 from lodestone.streaming.answers import latest_answers, to_memory
 
 
@@ -102,16 +102,6 @@ def test_tsv_yaml_and_release(spark, tmp_path):
     assert len(paths) == 1 and files.read_relationships(spark, paths).first()["sourceId"] == "b"
 
 
-def test_knowledge_loader(spark, tmp_path):
-    pytest.importorskip("yaml")
-    (tmp_path / "a.yaml").write_text("complaints:\n- {slug: c, name: C, pool: [x, y]}\n")
-    kb, digest = knowledge.load(spark, tmp_path)
-    assert kb.pool().count() == 2 and len(digest) == 16
-    (tmp_path / "b.yaml").write_text("complaints:\n- {slug: c, name: C2, pool: [x, y]}\n")
-    with pytest.raises(ValueError, match="another file"):
-        knowledge.load(spark, tmp_path)
-
-
 def test_providers_fill_only_misses(spark):
     t = lambda *x: spark.createDataFrame([(v,) for v in x], "text string")
     got = providers.embed(t("a b", "c", "c", None), t("c")).collect()
