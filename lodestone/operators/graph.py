@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from lodestone.session import cut
 
 
+MOST_PARTS = 8  # rounds kept apart before they are written as one
+
+
 def edges_of(relationships: DataFrame, is_a: str) -> DataFrame:
     """Distinct (child, parent) of active is-a rows of a release table (active, sourceId, destinationId, typeId)."""
     return relationships.filter((F.col("active") == "1") & (F.col("typeId") == is_a)).select(F.col("sourceId").alias("child"), F.col("destinationId").alias("parent")).distinct()
@@ -25,15 +29,19 @@ def ancestors(edges: DataFrame, starts: DataFrame | None = None, depth: int | No
     first = e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"))
     if starts is not None:
         first = first.join(starts.select("node").distinct(), "node", "left_semi")
-    known = cut(first.withColumn("depth", F.lit(1)))
-    new = known
+    new = cut(first.withColumn("depth", F.lit(1)))
+    rounds = [new]
     for step in count(2) if depth is None else range(2, depth + 1):
         found = new.join(e.withColumnRenamed("child", "ancestor"), "ancestor").select("node", F.col("parent").alias("ancestor")).distinct()
-        new = cut(found.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(step)))
+        for known in rounds:  # each round is written once; what is known is the union of them
+            found = found.join(known, ["node", "ancestor"], "left_anti")
+        new = cut(found.withColumn("depth", F.lit(step)))
         if not new.limit(1).count():
             break
-        known = cut(known.unionByName(new))
-    return known
+        rounds.append(new)
+        if len(rounds) > MOST_PARTS:
+            rounds = [cut(reduce(DataFrame.unionByName, rounds))]
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -35,6 +35,12 @@ def match_terms(kb: Knowledge, answers: DataFrame) -> DataFrame:
     return t.select("session", "condition", "var", hit.alias("matched"), F.when(hit, F.col("weight")).otherwise(-F.col("weight")).alias("w"))
 
 
+def match_lists(terms: DataFrame) -> DataFrame:
+    """(session, condition, matched, mismatched) of match_terms(): the variables that speak for and against, by name; a condition has a handful."""
+    names = lambda x: F.array_sort(F.collect_list(F.when(F.col("matched") == x, F.col("var"))))
+    return terms.groupBy("session", "condition").agg(names(True).alias("matched"), names(False).alias("mismatched"))
+
+
 def _finish(df: DataFrame) -> DataFrame:
     normalised = F.when(F.col("weights") > 0, F.col("total") / F.col("weights")).otherwise(0.0)
     out = df.withColumn("normalised", F.round(normalised, 9))
@@ -138,13 +144,14 @@ def outstanding(kb: Knowledge, scored: DataFrame) -> DataFrame:
 
 
 def views(kb: Knowledge, answers: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One row per session (session, complaint, asked): leader, stop, question (only while ongoing), burden, n_outstanding, provisional, rules."""
-    ranked = rank(scores(kb, answers, sessions))
+    """One row per session (session, complaint, asked): leader, leaders (the first three), stop, question (only while ongoing), burden, n_outstanding, provisional, rules."""
+    ranked = cut(rank(scores(kb, answers, sessions)))  # read by the leaders, the question and the emergencies
     at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
     top = ranked.filter(F.col("rank") <= 2).groupBy("session").agg(at(1, "condition").alias("leader"), F.bool_or((F.col("rank") == 1) & F.col("insufficient")).alias("weak"), at(1, "normalised").alias("n1"), at(1, "confidence").alias("c1"), at(2, "confidence").alias("c2"), at(1, "evidence").alias("e1"))
+    leaders = ranked.filter(F.col("rank") <= 3).groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "condition"))), lambda x: x["condition"]).alias("leaders"))
     fired = rules_fired(kb, answers, sessions).join(F.broadcast(kb.rule.select("id", "urgency")), "id").groupBy("session").agg(F.bool_or(F.col("urgency") == "emergency").alias("grave"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("rules"))
     out = outstanding(kb, ranked).groupBy("session").agg(F.count(F.lit(1)).alias("n_outstanding"))
-    j = reduce(lambda a, b: a.join(b, "session", "left"), (top, fired, next_question(kb, ranked, answers, sessions), burden(kb, answers), out), sessions)
+    j = reduce(lambda a, b: a.join(b, "session", "left"), (top, leaders, fired, next_question(kb, ranked, answers, sessions), burden(kb, answers), out), sessions)
     grave = F.coalesce("grave", F.lit(False))
     leads = (F.col("c1") - F.col("c2") >= LEAD_MARGIN) & (F.col("e1") >= EVIDENCE_FLOOR) & (F.col("c1") > 0)
     stop = F.when(grave, "emergency_escalation")
@@ -153,7 +160,7 @@ def views(kb: Knowledge, answers: DataFrame, sessions: DataFrame) -> DataFrame:
     stop = stop.when(F.coalesce(leads, F.lit(False)), "clear_leader").otherwise("ongoing")
     j = j.withColumn("stop", stop).withColumn("n_outstanding", F.coalesce("n_outstanding", F.lit(0)))
     provisional = (F.col("stop") == "emergency_escalation") & (F.col("weak") | (F.col("n_outstanding") > 1))
-    return j.select("session", "complaint", "asked", "leader", "stop", F.when(F.col("stop") == "ongoing", F.col("question")).alias("question"), F.coalesce("burden", F.lit(0)).alias("burden"), "n_outstanding", provisional.alias("provisional"), F.coalesce("rules", F.lit("")).alias("rules"))
+    return j.select("session", "complaint", "asked", "leader", "leaders", "stop", F.when(F.col("stop") == "ongoing", F.col("question")).alias("question"), F.coalesce("burden", F.lit(0)).alias("burden"), "n_outstanding", provisional.alias("provisional"), F.coalesce("rules", F.lit("")).alias("rules"))
 
 
 def flips(kb: Knowledge, answers: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -198,6 +205,32 @@ def simulate(kb: Knowledge, truths: DataFrame, sessions: DataFrame) -> DataFrame
     return done
 
 
+def evaluated(kb: Knowledge, done: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row on interviews that have ended, done being views(), against cases (session, truth, expect_insufficient).
+
+    n, top1 and top3 are of the cases that expect a condition; n_insufficient and insufficient_ok of the others, which should
+    end without enough information; median, p90 (nearest rank) and mean burden are of all; n_grave and caught of emergencies,
+    caught if among the first three or escalated.
+    """
+    grave = F.broadcast(kb.condition.filter("urgency = 'emergency'").select(F.col("slug").alias("truth"), F.lit(True).alias("grave")))
+    r = cut(done.join(cases, "session").join(grave, "truth", "left"))
+    scored = ~F.coalesce("expect_insufficient", F.lit(False))
+    hit = lambda k: F.coalesce(F.array_contains(F.slice("leaders", 1, k), F.col("truth")), F.lit(False))
+    rate = lambda x: F.round(F.avg(F.when(scored, x.cast("int"))), 6)
+    caught = scored & F.col("grave").isNotNull() & (hit(3) | (F.col("stop") == "emergency_escalation"))
+    n = r.count()
+    counts = r.groupBy("asked").agg(F.count(F.lit(1)).alias("c"))  # at most MAX_QUESTIONS + 1 rows
+    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("asked")))
+    p90 = upto.filter(F.col("upto") > int(round(0.9 * (n - 1))) if n else F.lit(False)).agg(F.min("asked").alias("p90"))
+    sums = r.agg(
+        F.count_if(scored).alias("n"), rate(hit(1)).alias("top1"), rate(hit(3)).alias("top3"),
+        F.count_if(~scored).alias("n_insufficient"), F.count_if(~scored & (F.col("stop") == "insufficient_information")).alias("insufficient_ok"),
+        F.median("asked").alias("median_asked"), F.round(F.avg("burden"), 6).alias("mean_burden"),
+        F.count_if(scored & F.col("grave").isNotNull()).alias("n_grave"), F.count_if(caught).alias("caught"),
+    )
+    return sums.join(F.broadcast(p90))  # one row each
+
+
 def latest(log: DataFrame) -> DataFrame:
     """(session, var, value): the last answer to each variable of a log (session, seq, var, value)."""
     return log.groupBy("session", "var").agg(F.max_by("value", "seq").alias("value"))

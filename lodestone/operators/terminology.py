@@ -16,12 +16,21 @@ from lodestone.session import cut
 ANCHOR = 8  # most words of a quote that are looked up before it is compared whole
 
 
-def term_index(labels: DataFrame) -> DataFrame:
-    """(term, n, id): normal forms of (id, label) with the number of ids they name, and the id where it is one."""
+def term_index(labels: DataFrame, under: DataFrame | None = None) -> DataFrame:
+    """(term, n, id): normal forms of (id, label) with the number of ids they name, and the id where it is one; of the ids below a root (column id) where those are given."""
+    if under is not None:
+        labels = labels.join(under.select("id").distinct(), "id", "left_semi")
     t = labels.select(norm(F.col("label")).alias("term"), "id").filter("term <> ''").distinct()
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).select("term", "n", F.when(F.col("n") == 1, F.col("id")).alias("id"))
 
 
+def code_map(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, target): of each wanted id the first (by ord) active target with a point, blanks dropped, of a release's map (active, referencedComponentId, mapTarget, ord)."""
+    target = F.trim("mapTarget")
+    good = rows.filter((F.col("active") == "1") & F.contains(target, F.lit("."))).select(F.col("referencedComponentId").alias("id"), target.alias("label"), "ord")
+    return first_label(good, wanted).withColumnRenamed("label", "target")
+
+
 def term_match(names: DataFrame, index: DataFrame) -> DataFrame:
     """(name, id, variant, ambiguous): each distinct name's first variant that names one id; ambiguous if only others match."""
     tried = names.select("name").filter("name IS NOT NULL").distinct().select("name", F.posexplode(variants(F.col("name"))).alias("pos", "term"))
@@ -95,9 +104,13 @@ def cue_gaps(docs: DataFrame, cues: list[tuple[str, str]], advice: str, asserted
     return rows.join(small_or_shuffled(cut(asserted.select("condition", "var").distinct())), ["condition", "var"], "left_anti")
 
 
-def content_digest(df: DataFrame, column: str) -> DataFrame:
-    """(n_rows, digest): SHA-256 over the number of rows and the sum of the rows' own hashes, so that no task holds them all; the order doesn't matter, repeats do."""
-    h = F.conv(F.substring(F.sha2(F.col(column).cast("string"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+def content_digest(df: DataFrame, column: str, key: str) -> DataFrame:
+    """(n_rows, digest): SHA-256 over the number of rows and the sum of the rows' own hashes, so that no task holds them all.
+
+    A row's hash is over its key and its text, so that texts that change places give another digest; the order in which
+    rows come doesn't matter, since the key is what pairs a text with its place. Rows with a null text don't count.
+    """
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col(column).cast("string")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     s = df.filter(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).alias("s"))
     return s.select("n_rows", F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), F.col("s").cast("string")), 256).alias("digest"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as G
+from lodestone.operators import terminology as T
 from lodestone.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -103,3 +104,14 @@ def q_missing(spark, d):
     """Nations of the first region are taken out of the nodes, so that edges to them are orphans."""
     nodes = table(spark, d, "nation").filter("n_regionkey <> 0").select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("node"))
     return G.missing_parents(edges(spark, d).filter(F.col("parent").startswith("N")), nodes)
+
+
+_NORM = "trim(regexp_replace(regexp_replace(replace(regexp_replace(lower(name), '\\s*\\([^)]*\\)', ' ', 'g'), '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("term_index_rooted", f"{A}, lb AS (SELECT 'N' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'S' || s_suppkey, s_name FROM supplier), ix AS (SELECT DISTINCT {_NORM} AS term, id FROM lb WHERE id IN (SELECT node FROM a WHERE ancestor = 'R1')) SELECT term, count(*) AS n, CASE WHEN count(*) = 1 THEN min(id) END AS id FROM ix WHERE term <> '' GROUP BY 1")
+def q_rooted(spark, d):
+    """Names of the nations and suppliers below one region."""
+    label = lambda t, p, k, n: table(spark, d, t).select(F.concat(F.lit(p), F.col(k)).alias("id"), F.col(n).alias("label"))
+    under = G.descendants(edges(spark, d), spark.createDataFrame([("R1",)], "node string")).select(F.col("descendant").alias("id"))
+    return T.term_index(label("nation", "N", "n_nationkey", "n_name").unionByName(label("supplier", "S", "s_suppkey", "s_name")), under)

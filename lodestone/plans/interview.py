@@ -169,6 +169,12 @@ def q_terms(spark, d):
     return I.match_terms(kb, a)
 
 
+@query("signed_lists", f"{FULL} SELECT session, condition, coalesce(string_agg(var, ',' ORDER BY var) FILTER (WHERE matched), '') AS matched, coalesce(string_agg(var, ',' ORDER BY var) FILTER (WHERE NOT matched), '') AS mismatched FROM tm GROUP BY 1, 2")
+def q_signed_lists(spark, d):
+    kb, a, _ = state(spark, d)
+    return I.match_lists(I.match_terms(kb, a)).select("session", "condition", *(F.array_join(c, ",").alias(c) for c in ("matched", "mismatched")))
+
+
 @query("signed_score", f"{FULL} SELECT session, condition, total, weights, evidence, normalised, confidence FROM sc")
 def q_score(spark, d):
     return I.scores(*state(spark, d)).select("session", "condition", "total", "weights", "evidence", "normalised", "confidence")
@@ -236,7 +242,7 @@ def q_stop(spark, d):
 
 @query("session_view", f"{VIEW} SELECT session, complaint, asked, leader, stop, CASE WHEN stop = 'ongoing' THEN q END AS question, burden, n_outstanding, stop = 'emergency_escalation' AND (weak OR n_outstanding > 1) AS provisional, rules FROM st")
 def q_view(spark, d):
-    return I.views(*state(spark, d))
+    return I.views(*state(spark, d)).drop("leaders")
 
 
 @query("clause_eval", f"{FULL} SELECT session, id, grp, pos::INTEGER AS pos, holds FROM cl")
@@ -261,31 +267,51 @@ def q_sim(spark, d):
     return I.simulate(kb, a.select("session", "var", "value"), s.select("session", "complaint"))
 
 
-CASES = f"tr AS (SELECT session, CASE WHEN bool_or(var = 'purchase' AND value = 'high') THEN 'fraudster' WHEN bool_or(var = 'error' AND value = 'high') THEN 'victim' ELSE 'newcomer' END AS truth FROM ans GROUP BY 1)"
+CASES = """tr AS (SELECT session, CASE WHEN bool_or(var = 'purchase' AND value = 'high') THEN 'fraudster' WHEN bool_or(var = 'error' AND value = 'high') THEN 'victim' ELSE 'newcomer' END AS truth,
+  count(*) FILTER (WHERE value <> 'unknown') < 3 AS expect_insufficient, bool_or(value = 'unknown') AS adversarial FROM ans GROUP BY 1)"""
+
+
+def _cases(answers):
+    """Vignettes: sessions with a truth read off their answers; those with under three answers should end without enough evidence, those with an unknown one are adversarial."""
+    has = lambda v: F.bool_or((F.col("var") == v) & (F.col("value") == "high"))
+    truth = F.when(has("purchase"), "fraudster").when(has("error"), "victim").otherwise("newcomer")
+    return answers.groupBy("session").agg(truth.alias("truth"), (F.count_if(F.col("value") != "unknown") < 3).alias("expect_insufficient"), F.bool_or(F.col("value") == "unknown").alias("adversarial"))
 
 
 def _eval(spark, d):
-    """Vignettes: sessions with a truth read off their answers."""
     kb, a, s = state(spark, d)
-    has = lambda v: F.bool_or((F.col("var") == v) & (F.col("value") == "high"))
-    truth = a.groupBy("session").agg(F.when(has("purchase"), "fraudster").when(has("error"), "victim").otherwise("newcomer").alias("truth"))
-    pos = I.rank(I.scores(kb, a, s)).join(truth, "session").groupBy("session", "truth").agg(F.min(F.when(F.col("condition") == F.col("truth"), F.col("rank"))).alias("pos"), F.bool_and("insufficient").alias("nothing"))
+    pos = I.rank(I.scores(kb, a, s)).join(_cases(a), "session").groupBy("session", "truth", "expect_insufficient", "adversarial").agg(F.min(F.when(F.col("condition") == F.col("truth"), F.col("rank"))).alias("pos"), F.bool_and("insufficient").alias("nothing"))
     grave = I.rules_fired(kb, a, s).join(F.broadcast(kb.rule.filter("urgency = 'emergency'").select("id")), "id").select("session", F.lit(True).alias("escalated")).distinct()
     return kb, pos.join(grave, "session", "left")
 
 
-EVAL = f"{FULL}, {CASES}, ps AS (SELECT session, truth, min(rank) FILTER (WHERE condition = truth) AS pos, bool_and(insufficient) AS nothing FROM rk JOIN tr USING (session) GROUP BY 1, 2), eg AS (SELECT DISTINCT session FROM fr JOIN kb_rule USING (id) WHERE fires AND urgency = 'emergency')"
+EVAL = f"{FULL}, {CASES}, ps AS (SELECT session, truth, expect_insufficient, adversarial, min(rank) FILTER (WHERE condition = truth) AS pos, bool_and(insufficient) AS nothing FROM rk JOIN tr USING (session) GROUP BY 1, 2, 3, 4), eg AS (SELECT DISTINCT session FROM fr JOIN kb_rule USING (id) WHERE fires AND urgency = 'emergency')"
 
 
-@query("vignette_eval", f"{EVAL} SELECT truth, count(*) AS n, round(avg(coalesce(pos <= 1, false)::INT), 6) AS top1, round(avg(coalesce(pos <= 3, false)::INT), 6) AS top3, count(*) FILTER (WHERE nothing) AS n_insufficient FROM ps GROUP BY 1")
+@query("vignette_eval", f"""{EVAL} SELECT truth, count(*) FILTER (WHERE NOT expect_insufficient) AS n, round(avg(coalesce(pos <= 1, false)::INT) FILTER (WHERE NOT expect_insufficient), 6) AS top1, round(avg(coalesce(pos <= 3, false)::INT) FILTER (WHERE NOT expect_insufficient), 6) AS top3,
+  count(*) FILTER (WHERE NOT expect_insufficient AND adversarial) AS n_adversarial, round(avg(coalesce(pos <= 3, false)::INT) FILTER (WHERE NOT expect_insufficient AND adversarial), 6) AS adversarial_top3,
+  count(*) FILTER (WHERE expect_insufficient) AS n_insufficient, count(*) FILTER (WHERE expect_insufficient AND nothing) AS insufficient_ok FROM ps GROUP BY 1""")
 def q_eval(spark, d):
+    """Cases that expect no result are checked apart and don't count as scored."""
     _, e = _eval(spark, d)
-    at = lambda k: F.round(F.avg(F.coalesce(F.col("pos") <= k, F.lit(False)).cast("int")), 6).alias(f"top{k}")
-    return e.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), at(1), at(3), F.count_if("nothing").alias("n_insufficient"))
+    scored, hard = ~F.col("expect_insufficient"), ~F.col("expect_insufficient") & F.col("adversarial")
+    at = lambda k, some: F.round(F.avg(F.when(some, F.coalesce(F.col("pos") <= k, F.lit(False)).cast("int"))), 6)
+    return e.groupBy("truth").agg(
+        F.count_if(scored).alias("n"), at(1, scored).alias("top1"), at(3, scored).alias("top3"), F.count_if(hard).alias("n_adversarial"), at(3, hard).alias("adversarial_top3"),
+        F.count_if("expect_insufficient").alias("n_insufficient"), F.count_if(F.col("expect_insufficient") & F.col("nothing")).alias("insufficient_ok"),
+    )
+
+
+@query("interactive_eval", None)
+def q_interactive(spark, d):
+    """The interviews of interactive_sim against the same cases: accuracy, numbers of questions, burden and recall of emergencies."""
+    kb, a, s = state(spark, d)
+    done = I.simulate(kb, a.select("session", "var", "value"), s.select("session", "complaint"))
+    return I.evaluated(kb, done, _cases(a).drop("adversarial"))
 
 
-@query("red_flag_recall", f"{EVAL} SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(pos <= 3, false) OR eg.session IS NOT NULL) AS caught FROM ps JOIN kb_condition c ON c.slug = ps.truth AND c.urgency = 'emergency' LEFT JOIN eg USING (session)")
+@query("red_flag_recall", f"{EVAL} SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(pos <= 3, false) OR eg.session IS NOT NULL) AS caught FROM ps JOIN kb_condition c ON c.slug = ps.truth AND c.urgency = 'emergency' AND NOT ps.expect_insufficient LEFT JOIN eg USING (session)")
 def q_recall(spark, d):
     kb, e = _eval(spark, d)
-    g = e.join(F.broadcast(kb.condition.filter("urgency = 'emergency'").select(F.col("slug").alias("truth"))), "truth")
+    g = e.filter(~F.col("expect_insufficient")).join(F.broadcast(kb.condition.filter("urgency = 'emergency'").select(F.col("slug").alias("truth"))), "truth")
     return g.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("pos") <= 3, F.lit(False)) | F.col("escalated").isNotNull()).alias("caught"))

@@ -302,8 +302,13 @@ DEFAULTS = {"onset": "unspecified", "duration": "unspecified", "severity": "unsp
 def _records(spark, d):
     r = F.from_json("json", ", ".join(f"`{f}` string" for f in FIELDS) + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
     t = table(spark, d, "raw_records").filter("json IS NOT NULL").select("raw_id", r.alias("r")).filter("r._bad IS NULL AND r IS NOT NULL")
-    tidy = lambda f: F.coalesce(F.nullif(F.trim(F.lower(f"r.{f}")) if f in ("concept", "character", "site") else F.trim(f"r.{f}"), F.lit("")), F.lit(DEFAULTS.get(f, "")))
-    return t.select("raw_id", *(tidy(f).alias(f) for f in FIELDS))
+    return t.select("raw_id", *(tidy_record(f).alias(f) for f in FIELDS))
+
+
+def tidy_record(f: str):
+    """A field of the record `r`, trimmed, the nouns in lower case, with its default where it is null or blank."""
+    v = F.trim(F.lower(f"r.{f}")) if f in ("concept", "character", "site") else F.trim(f"r.{f}")
+    return F.coalesce(F.nullif(v, F.lit("")), F.lit(DEFAULTS.get(f, "")))
 
 
 def _record_sql(f: str) -> str:
@@ -320,6 +325,19 @@ def q_defaults(spark, d):
     return _records(spark, d)
 
 
+_ID_RECORDS = f"rc AS (SELECT raw_id AS id, {', '.join(map(_record_sql, FIELDS))} FROM (SELECT raw_id, CASE WHEN json_valid(json) THEN json END AS json FROM raw_records) WHERE json IS NOT NULL)"
+
+
+@query("record_arrays", f"WITH {_ID_RECORDS} SELECT * FROM rc")
+def q_arrays(spark, d):
+    """Records with ids out of a reply {"records": [...]}; here each valid object is put into one with its raw_id."""
+    ok = table(spark, d, "raw_records").filter(F.get_json_object("json", "$").isNotNull() & F.col("json").startswith("{"))
+    reply = ok.select(F.concat(F.lit('{"records": [{"id": '), F.col("raw_id").cast("string"), F.when(F.length(F.trim(F.substring("json", 2, 1_000_000))) > 1, ", ").otherwise(""), F.substring("json", 2, 1_000_000), F.lit("]}")).alias("json"))
+    item = ", ".join(f"`{f}`: string" for f in FIELDS)
+    r = reply.select(F.explode(F.from_json("json", f"records array<struct<id: bigint, {item}>>")["records"]).alias("r")).filter("r.id IS NOT NULL")
+    return r.select("r.id", *(tidy_record(f).alias(f) for f in FIELDS))
+
+
 def _faults_sql() -> str:
     out = [(f, f"{f} NOT IN {tuple([*o, 'unspecified'])}") for f, o in (("onset", FA.ONSETS), ("duration", FA.DURATIONS), ("severity", FA.SEVERITIES), ("progression", FA.PROGRESSIONS))]
     out.append(("polarity", f"polarity NOT IN {tuple(FA.POLARITIES)}"))
@@ -341,9 +359,9 @@ def q_core(spark, d):
     return _records(spark, d).filter("concept <> ''").select("raw_id", FA.core_phrase(F.col("concept"), F.col("character"), F.col("site")).alias("phrase"))
 
 
-@query("content_digest", "SELECT count(*) AS n_rows, sha256(count(*) || ':' || coalesce(sum(('0x' || substring(sha256(core_phrase), 1, 15))::BIGINT::HUGEINT), 0)) AS digest FROM symptoms_v2 WHERE core_phrase IS NOT NULL")
+@query("content_digest", "SELECT count(*) AS n_rows, sha256(count(*) || ':' || coalesce(sum(('0x' || substring(sha256(symptom_id || ':' || core_phrase), 1, 15))::BIGINT::HUGEINT), 0)) AS digest FROM symptoms_v2 WHERE core_phrase IS NOT NULL")
 def q_digest(spark, d):
-    return T.content_digest(table(spark, d, "symptoms_v2"), "core_phrase")
+    return T.content_digest(table(spark, d, "symptoms_v2"), "core_phrase", "symptom_id")
 
 
 @query("cache_miss_antijoin", "SELECT DISTINCT sha256('m:64:' || core_phrase) AS key, core_phrase AS text FROM symptoms_v2 WHERE core_phrase IS NOT NULL AND core_phrase NOT IN (SELECT phrase FROM symptom_vectors WHERE phrase IS NOT NULL)")

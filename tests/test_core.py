@@ -10,7 +10,7 @@ from lodestone.functions import facets, markup, names
 from lodestone.operators import graph, terminology, vectors
 from lodestone.operators.joins import join_groups
 from lodestone.operators.order import numbered
-from lodestone.sources import files, providers
+from lodestone.sources import files, index, providers
 from lodestone.streaming.answers import latest_answers, to_memory
 
 
@@ -83,9 +83,36 @@ def test_term_match_prefers_the_first_unambiguous(spark):
     assert got == {"Kidney stones": ("1", False), "cold": (None, True), "Cold (common cold)": ("4", False), "gout": (None, False)}
 
 
-def test_digest_depends_on_content_not_order(spark):
-    d = lambda v: terminology.content_digest(spark.createDataFrame([(x,) for x in v], "t string"), "t").first()["digest"]
-    assert d(["alpha", "beta"]) == d(["beta", "alpha"]) != d(["alpha", "gamma"]) and d(["a"]) != d(["a", "a"])
+def test_digest_depends_on_content_and_place(spark):
+    d = lambda v: terminology.content_digest(spark.createDataFrame(list(enumerate(v)), "id int, t string"), "t", "id").first()["digest"]
+    assert d(["alpha", "beta"]) != d(["beta", "alpha"]) != d(["alpha", "gamma"]) and d(["a"]) != d(["a", "a"])
+    rows = spark.createDataFrame([(1, "b"), (0, "a"), (2, None)], "id int, t string")
+    assert terminology.content_digest(rows, "t", "id").first() == terminology.content_digest(rows.orderBy("id"), "t", "id").first()
+
+
+def test_index_refuses_another_vocabulary(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "alpha", [1.0, 0.0]), (1, "beta", [0.9, 0.1]), (2, "gamma", [0.0, 2.0]), (3, "delta", None)], "id int, phrase string, vec array<double>")
+    index.save(rows, str(tmp_path / "ix"))
+    got = index.load(spark, str(tmp_path / "ix"), rows.select("id", "phrase"))
+    assert [r["other"] for r in vectors.top_k(got.filter("id = 0"), got, 2).orderBy("rank").collect()] == [1, 2]
+    for other in (rows.filter("id < 2"), rows.withColumn("phrase", F.when(F.col("id") == 0, "beta").when(F.col("id") == 1, "alpha").otherwise(F.col("phrase")))):
+        with pytest.raises(index.StaleIndex):
+            index.load(spark, str(tmp_path / "ix"), other)
+
+
+def test_code_map_and_index_under_a_root(spark):
+    rows = spark.createDataFrame([("1", "a", "X1", 0), ("1", "a", " X1.2 ", 1), ("1", "a", "X1.3", 2), ("0", "b", "Y1.1", 3), ("1", "c", "Z1.1", 4), ("1", "b", None, 5)], "active string, referencedComponentId string, mapTarget string, ord long")
+    wanted = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert [tuple(r) for r in terminology.code_map(rows, wanted).collect()] == [("a", "X1.2")]
+    labels = spark.createDataFrame([("1", "Cold"), ("2", "cold"), ("3", "Flu")], "id string, label string")
+    assert {tuple(r) for r in terminology.term_index(labels, labels.filter("id <> '2'")).collect()} == {("cold", 1, "1"), ("flu", 1, "3")}
+
+
+def test_gaps_by_part(spark):
+    docs = spark.createDataFrame([("a", "It LOOKS red. Urgent advice: if gone"), ("a", "gone, looked. Urgent advice: look"), ("b", "press"), (None, "press"), ("b", None)], "condition string, text string")
+    asserted = spark.createDataFrame([("b", "click")], "condition string, var string")
+    got = terminology.cue_gaps(docs, [("view", "looks"), ("view", "look"), ("refund", "gone"), ("click", "press")], "Urgent advice", asserted)
+    assert {tuple(r) for r in got.collect()} == {("a", "view", "describes", 2), ("a", "refund", "red flag", 1), ("a", "refund", "describes", 1)}
 
 
 def test_tsv_yaml_and_release(spark, tmp_path):
@@ -98,8 +125,9 @@ def test_tsv_yaml_and_release(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
         z.writestr("x/Snapshot/Terminology/sct2_Relationship_a.txt", "id\teffectiveTime\tactive\tmoduleId\tsourceId\tdestinationId\trelationshipGroup\ttypeId\tc\tm\n1\t2\t1\t3\tb\ta\t0\t116\t4\t5\n")
         z.writestr("x/Full/sct2_Relationship_b.txt", "no")
-    paths = files.unpack(str(tmp_path / "r.zip"), str(tmp_path / "out"), "sct2_Relationship")
+    paths = files.unpack(spark, str(tmp_path / "r.zip"), "sct2_Relationship")
     assert len(paths) == 1 and files.read_relationships(spark, paths).first()["sourceId"] == "b"
+    assert files.read_release(spark, str(tmp_path / "r.zip"), "sct2_Relationship").select("sourceId", "ord").collect() == [("b", 0)]
 
 
 def test_providers_fill_only_misses(spark):
@@ -108,6 +136,39 @@ def test_providers_fill_only_misses(spark):
     assert [r["text"] for r in got] == ["a b"] and len(got[0]["vec"]) == 64
 
 
+def test_providers_try_again_and_remember(spark, tmp_path):
+    waited, calls = [], []
+
+    def flaky(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise providers.Busy
+        return x
+
+    assert providers.patient(flaky, wait=waited.append)("q") == "q" and waited == [1.0, 2.0]
+    with pytest.raises(providers.Busy):
+        providers.patient(lambda: (_ for _ in ()).throw(providers.Busy()), tries=2, wait=waited.append)()
+    t = lambda *x: spark.createDataFrame([(v,) for v in x], "text string")
+    said = lambda p: p.upper() + '"'
+    schema, path = "key string, text string, reply string", str(tmp_path / "cache")
+    for words in (("a", "b", "a"), ("b", "c")):
+        got = providers.remembered(lambda cached, w=words: providers.ask(t(*w), cached, said), path, spark, schema)
+    assert sorted(r["text"] for r in got.collect()) == ["a", "b", "c"]
+    q = {r["text"]: r["reply"] for r in providers.questions(t("itch", "itch"), t("x").limit(0), lambda p: f'"Is there {p[-4:]}?" ').collect()}
+    assert q == {"itch": "Is there itch?"}
+    lines = providers.phrases(t("free text"), t("x").limit(0), lambda p: "Sore arm \n\n a rash")
+    assert [(r["pos"], r["phrase"]) for r in lines.orderBy("pos").collect()] == [(0, "sore arm"), (1, "a rash")]
+
+
+def test_clusters_are_named_merged_and_relinked(spark):
+    clusters = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)], "id int, seed int")
+    phrases = spark.createDataFrame([(1, "cough"), (2, "coughing"), (3, "a cough"), (4, "page 4"), (5, "rash")], "id int, phrase string")
+    names = providers.label_clusters(clusters, phrases, lambda p: None if "page" in p else " Dry  Cough" if "cough" in p else "Rash")
+    assert {tuple(r) for r in names.collect()} == {(1, "dry cough"), (3, "dry cough"), (4, None), (5, "rash")}
+    links = spark.createDataFrame([("x", 1), ("x", 3), ("y", 2), ("y", 4), ("z", 5)], "condition string, id int")
+    assert {tuple(r) for r in providers.relink(clusters, names, links).collect()} == {("x", "dry cough"), ("y", "dry cough"), ("z", "rash")}
+
+
 def test_answers_as_a_stream(spark, tmp_path):
     rows = [(1, 2, "v", "new"), (1, 1, "v", "old"), (2, 1, "v", "x")]
     spark.createDataFrame(rows, "session int, seq int, var string, value string").write.parquet(str(tmp_path / "in"))
