@@ -1,14 +1,17 @@
 """Problem 8: personal information in free text, by bootstrapped contextual extraction.
 
-1. One pass over the texts finds candidates by shape alone: codes and numbers, capitalised name spans, addresses that end in
-   a postcode. Each gives an edge between a lexical pattern (the words before it) and an instance (the format of a number,
-   the words of a name); edges are summed before they leave a task.
-2. Seeds (numbers written as telephone numbers or national insurance numbers, names after a title) make the patterns they
-   stand in trusted, as far as most of what a pattern holds is trusted; trusted patterns make the instances trusted that
-   stand mostly in such patterns, and so on for ROUNDS rounds, in Spark, over the sums.
-3. A second pass extracts every occurrence: instances whose format is trusted, names in trusted patterns or made of trusted
-   words, addresses built of the street kinds and towns that the first pass learned, those that their shape tells from house
-   number to postcode, and e-mail addresses.
+1. One pass over the texts finds candidates by shape alone: e-mail addresses however their signs are written, codes and
+   numbers, capitalised name spans, house numbers with capitalised words. Each gives an edge between a lexical pattern (the
+   words before it; for a town the kind of street before it) and an instance (the sign an e-mail address is written with,
+   the format of a number, the words of a name, the kind of street, the town); edges are summed before they leave a task.
+2. Seeds (e-mail addresses with an @ or a dot in brackets, numbers written as telephone numbers or national insurance numbers, names after a title,
+   addresses that end in a postcode) make the patterns they stand in trusted, as far as most of what a pattern holds is
+   trusted; trusted patterns make the instances trusted that stand mostly in such patterns, and so on for ROUNDS rounds, in
+   Spark, over the sums. Titles are patterns trusted from the start, until the sums tell that most of what follows one is
+   no name.
+3. A second pass extracts every occurrence of what is trusted: e-mail addresses by their sign, numbers by their format, names
+   in trusted patterns or made of trusted words, addresses built of trusted street kinds and towns; and addresses that their
+   shape tells from house number to postcode.
 
 Whole texts are read in both passes. What was learned is broadcast for the second pass as far as a list has at most LEXICON
 entries; of a longer list the commonest are, and the texts' own words, patterns and formats are joined to the rest of it, so
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import ChainMap, Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,14 +48,31 @@ _NAME_WORD = r"[^\W\d_a-z][^\W\d_]*(?:['’-][^\W\d_]+)*"
 NAME_SPAN = rf"(?<![\w'’-])(?:[A-Z]\.\s?)*{_NAME_WORD}(?:[^\S\n]+[A-Z]\.)*(?:,?[^\S\n]+{_NAME_WORD})+(?![\w])|(?<![\w'’-])(?:[A-Z]\.[^\S\n]?)+{_NAME_WORD}(?![\w])"
 TITLE = rf"(?<![\w'’-])(?:{'|'.join(TITLES)})(?:\.?[^\S\n]+)(?=\S)"
 STRICT_ADDRESS = rf"(?<![\w-])\d{{1,4}}[A-Z]?\s((?:[A-Z][\w'’.-]*\s){{1,3}}?)([A-Z][a-z]+)(?:,?\s(?:Apt|Flat|Unit)\s\d+[A-Z]?)?(?:,\s|\n)([A-Z][\w-]+(?:\s[A-Z][\w-]+)?),?\s{POSTCODE}(?!\w)"
+LOOSE_ADDRESS = r"(?<![\w-])\d{1,4}[A-Z]?\s(?:[A-Z][\w'’.-]*\s){1,3}?([A-Z][a-z]+)(?:(?:,\s|\n)([A-Z][\w-]+(?:\s[A-Z][\w-]+)?))?(?=[,.;\n]|$)"
 STREET_LIKE = re.compile(rf"\d[A-Z]?(?: [A-Z][\w'’.-]*){{2,4}}(?:, [A-Z][\w-]+(?: [A-Z][\w-]+)?)?|(?i:\d[a-z]?(?: [\w'’.-]+){{2,4}},\s[\w-]+(?: [\w-]+)?,?\s{POSTCODE})")
 
 
+_BEFORE = re.compile(r"[^\W_]+|@")
+
+
 def before(text: str, start: int) -> str:
     """The up to two words before a place, lower case, on its own line."""
-    line = text[max(0, start - 48) : start].rsplit("\n", 1)[-1]
-    line = line[line.rfind(">") + 1 :]
-    return " ".join(re.findall(r"[^\W_]+|@", line.lower())[-2:])
+    span = 48
+    while True:  # back to the line's or a tag's end, or until two words lie whole in what is looked at
+        at = max(0, start - span)
+        line = text[at:start].rsplit("\n", 1)[-1]
+        whole = len(line) < start - at or at == 0
+        if (tag := line.rfind(">")) >= 0:
+            line, whole = line[tag + 1 :], True
+        found = _BEFORE.findall(line.lower())
+        if whole or len(found) > 2:
+            return " ".join(found[-2:])
+        span *= 4
+
+
+def email_sign(address: str) -> str:
+    """What an e-mail address has in place of its @."""
+    return re.search(r"@|[\[(]at[\])]", address).group()
 
 
 def formats(code: str) -> tuple[str, str]:
@@ -86,23 +107,33 @@ def seed_kind(code: str) -> str | None:
 
 def _edges(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(family, pattern, instance, broad, seed, n) of a task's texts."""
-    emails, codes, names, titles, strict = (re.compile(p) for p in (EMAIL, CODES, NAME_SPAN, TITLE, STRICT_ADDRESS))
+    emails, codes, names, titles, strict, loose = (re.compile(p) for p in (EMAIL, CODES, NAME_SPAN, TITLE, STRICT_ADDRESS, LOOSE_ADDRESS))
+    titled = re.compile(rf"(?:[A-Z]\.[^\S\n]?)*{_NAME_WORD}(?:[^\S\n]+[A-Z]\.)*(?:,?[^\S\n]+{_NAME_WORD})?")
+    small = re.compile(r"(?i)\b(" + "|".join(TITLES) + r")\b")
     title = re.compile(rf"(?:{'|'.join(TITLES)})$", re.I)
     for batch in batches:
         n: Counter = Counter()
         for text in batch["text"]:
+            for m in emails.finditer(text):
+                n["email", before(text, m.start()), (sign := email_sign(m.group())), "", "email" if sign == "@" or "dot" in re.findall(r"[\[(](\w+)[\])]", m.group()) else None] += 1
             free = emails.sub(lambda m: " " * len(m.group()), text)
             for start, _, code in codes_in(free, codes):
                 exact, broad = formats(code)
                 n["code", before(text, start), exact, broad, seed_kind(code)] += 1
             # how often a word stands anywhere, but for what looks like a street's name
             n.update(("word", "", w, "", None) for w in re.findall(r"[^\W\d_][\w'’-]+", STREET_LIKE.sub(" ", free).lower()))
+            whole = set()
             for m in strict.finditer(free):
-                n["street", "", m.group(2).lower(), m.group(1).strip().lower(), None] += 1
-                n["town", "", " ".join(m.group(3).lower().split()), "", None] += 1
-            for m in titles.finditer(re.sub(r"(?i)\b(" + "|".join(TITLES) + r")\b", lambda x: x.group().lower(), free)):
-                rest = free[m.end() : m.end() + 60]
-                got = re.match(rf"(?:[A-Z]\.[^\S\n]?)*{_NAME_WORD}(?:[^\S\n]+[A-Z]\.)*(?:,?[^\S\n]+{_NAME_WORD})?", rest)
+                whole.add(m.start())
+                n["street", before(text, m.start()), m.group(2).lower(), "", "address"] += 1
+                n["town", m.group(2).lower(), " ".join(m.group(3).lower().split()), "", "address"] += 1
+            for m in loose.finditer(free):
+                if m.start() not in whole:
+                    n["street", before(text, m.start()), m.group(1).lower(), "", None] += 1
+                    if m.group(2):
+                        n["town", m.group(1).lower(), " ".join(m.group(2).lower().split()), "", None] += 1
+            for m in titles.finditer(small.sub(lambda x: x.group().lower(), free)):
+                got = titled.match(free, m.end())
                 if got:
                     for w in re.findall(r"[^\W\d_][\w'’-]+", got.group()):
                         n["name", before(text, m.end()), w.lower(), "", "name" if "," not in got.group() else None] += 1
@@ -121,19 +152,22 @@ def _edges(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 EDGES = "family string, pattern string, instance string, broad string, seed string, n bigint"
-#: Least part of a pattern's occurrences that must be trusted, by family (an identity number has many formats, of which a
-#: seed is one); least part of an instance's occurrences in trusted patterns, and least number of such patterns.
-PATTERN_AT, INSTANCE_AT, PATTERNS = {"code": 0.1, "name": 0.5}, 0.4, {"code": 3, "name": 1}
+#: By family: least part of a pattern's occurrences that must be trusted (an identity number has many formats, of which a
+#: seed is one); least number of trusted patterns that an instance stands in; least number of times that a seed must occur.
+PATTERN_AT = {"code": 0.1, "name": 0.5, "email": 0.5, "street": 0.5, "town": 0.5}
+PATTERNS = {"code": 3, "name": 1, "email": 1, "street": 1, "town": 1}
+SEEDED = {"code": 3, "name": 3, "email": 1, "street": 3, "town": 3}
+#: Least part of an instance's occurrences in trusted patterns; times a title must be followed by something before it can lose its trust.
+INSTANCE_AT, TITLE_SEEN = 0.4, 10
 #: A name's word is a seed if so much of it follows a title.
 SEED_AT = 0.03
 
 
 def learn(texts: DataFrame) -> dict[str, DataFrame]:
-    """patterns (family, pattern, kind, precision, support), instances (family, instance, kind, share, n), places (family, instance, n), usual: words that are no names (instance, n)."""
+    """patterns (family, pattern, kind, precision, support), instances (family, instance, kind, n), usual: words that are no names (instance, n), untitled: titles that mostly stand before no name (pattern, n)."""
     found = texts.select("text").mapInPandas(_edges, EDGES).groupBy("family", "pattern", "instance", "broad", "seed").agg(F.sum("n").alias("n"))
     found = cut(found)
-    places = found.filter(F.col("family").isin("street", "town")).groupBy("family", "instance").agg(F.sum("n").alias("n")).filter("n >= 3")
-    graph = found.filter(F.col("family").isin("code", "name"))
+    graph = found.filter("family <> 'word'")
     last = F.concat(F.lit("* "), F.element_at(F.split("pattern", " "), -1)).alias("last")  # the pattern's last word alone is a pattern too
     exact = cut(graph.groupBy("family", "pattern", last, "instance").agg(F.sum("n").alias("n")))
     broad = graph.filter("family = 'code' AND broad <> instance").groupBy("family", "pattern", last, F.col("broad").alias("instance")).agg(F.sum("n").alias("n"))
@@ -143,14 +177,14 @@ def learn(texts: DataFrame) -> dict[str, DataFrame]:
     totals = cut(totals.select("family", "instance", F.greatest("total", F.coalesce("every", F.lit(0))).alias("total")))
     exact = cut(exact.drop("last").unionByName(exact.select("family", F.col("last").alias("pattern"), "instance", "n")))
     of_pattern = exact.groupBy("family", "pattern").agg(F.sum("n").alias("all"))
-    by_family = lambda of: F.when(F.col("family") == "code", of["code"]).otherwise(of["name"])
+    by_family = lambda of: reduce(lambda c, x: c.when(F.col("family") == x[0], x[1]), of.items(), F)
     seeds = graph.filter(F.col("seed").isNotNull()).groupBy("family", "instance", F.col("seed").alias("kind")).agg(F.sum("n").alias("seeded"))
-    seeds = seeds.join(totals, ["family", "instance"]).filter((F.col("seeded") >= 3) & (F.col("seeded") >= SEED_AT * F.col("total"))).select("family", "instance", "kind")
+    seeds = seeds.join(totals, ["family", "instance"]).filter((F.col("seeded") >= by_family(SEEDED)) & (F.col("seeded") >= SEED_AT * F.col("total"))).select("family", "instance", "kind")
     trusted, patterns = cut(seeds.dropDuplicates(["family", "instance"])), None
     for _ in range(ROUNDS):
         good = exact.join(trusted, ["family", "instance"]).groupBy("family", "pattern", "kind").agg(F.sum("n").alias("good"), F.count(F.lit(1)).alias("support"))
         scored = good.join(of_pattern, ["family", "pattern"]).withColumn("precision", F.col("good") / F.col("all"))
-        scored = scored.filter((F.col("precision") >= by_family(PATTERN_AT)) & (F.col("good") >= 3))
+        scored = scored.filter((F.col("precision") >= by_family(PATTERN_AT)) & (F.col("good") >= by_family(SEEDED)))
         # a pattern of two kinds is one of the kind that it mostly holds
         patterns = cut(scored.groupBy("family", "pattern").agg(F.max_by(F.struct("kind", "precision", "support"), "good").alias("x")).select("family", "pattern", "x.*"))
         two, one = patterns.select("family", "pattern", "kind"), patterns.select("family", F.col("pattern").alias("last"), F.col("kind").alias("kind1"))
@@ -161,7 +195,9 @@ def learn(texts: DataFrame) -> dict[str, DataFrame]:
         best = sure.groupBy("family", "instance").agg(F.max_by("kind", "share").alias("kind"))
         trusted = cut(seeds.join(best, ["family", "instance"], "left_anti").unionByName(best.select("family", "instance", "kind")))
     usual = every.withColumnRenamed("every", "n").filter("n >= 5").join(trusted, ["family", "instance"], "left_anti")
-    return {"usual": usual, "patterns": patterns, "instances": trusted.join(totals.withColumnRenamed("total", "n"), ["family", "instance"]), "places": places}
+    titled = of_pattern.filter((F.col("family") == "name") & F.col("pattern").isin([f"* {t}" for t in TITLES]) & (F.col("all") >= TITLE_SEEN))
+    untitled = titled.join(patterns, ["family", "pattern"], "left_anti").select(F.substring("pattern", 3, 40).alias("pattern"), F.col("all").alias("n"))
+    return {"usual": usual, "patterns": patterns, "instances": trusted.join(totals.withColumnRenamed("total", "n"), ["family", "instance"]), "untitled": untitled}
 
 
 def _most(df: DataFrame, by: str, most: int = LEXICON) -> tuple[list, DataFrame | None]:
@@ -182,8 +218,10 @@ LISTS = {
     "word": ("instances", "family = 'name'", "instance", "n"),
     "code": ("instances", "family = 'code'", "instance", "n"),
     "usual": ("usual", "true", "instance", "n"),
-    "street": ("places", "family = 'street'", "instance", "n"),
-    "town": ("places", "family = 'town'", "instance", "n"),
+    "street": ("instances", "family = 'street'", "instance", "n"),
+    "town": ("instances", "family = 'town'", "instance", "n"),
+    "email": ("instances", "family = 'email'", "instance", "n"),
+    "untitled": ("untitled", "true", "pattern", "n"),
 }
 
 
@@ -270,11 +308,13 @@ class Finder:
         town = r"[^\W\d_][\w'’-]*(?:[^\S\n]+[^\W\d_][\w'’-]*){0,2}"  # not learned: a postcode closes the address
         self.address = re.compile(rf"(?<![\w-])(?:{street}(?:{gap}{town}{gap}{POSTCODE}(?!\w)|(?:{gap}(?:{towns})(?!\w))?(?:{gap}{POSTCODE}(?!\w))?)|{german})", re.I)
         self.strict = re.compile(rf"(?:(?<![\w-])(?i:{units})\.?\s+\d+[A-Za-z]?{gap})?{STRICT_ADDRESS}")
-        self.title = re.compile(rf"(?<![\w'’-])(?:{'|'.join(TITLES)})\.?[^\S\n]+(?=\S)", re.I)
+        self.signs = lists["email"]
+        titles = [t for t in TITLES if t not in lists["untitled"]]  # fixed and few, so that these lists never are longer than what is broadcast
+        self.title = re.compile(rf"(?<![\w'’-])(?:{'|'.join(titles) or '(?!)'})\.?[^\S\n]+(?=\S)", re.I)
         self.word = _WORD
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        taken: list[tuple[int, int, str]] = [(m.start(), m.end(), "email") for m in self.email.finditer(text)]
+        taken: list[tuple[int, int, str]] = [(m.start(), m.end(), "email") for m in self.email.finditer(text) if email_sign(m.group()) in self.signs]
 
         def free(a: int, b: int) -> bool:
             return all(b <= x or a >= y for x, y, _ in taken)

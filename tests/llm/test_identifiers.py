@@ -51,9 +51,9 @@ def test_lists_beyond_the_broadcast_are_whole(spark, found):
     many = spark.range(I.LEXICON + 1).select(F.concat(F.lit("zz"), F.col("id").cast("string")).alias("key"), F.lit(10**6).cast("bigint").alias("n"))
     more = {
         "patterns": many.select(F.lit("name").alias("family"), F.col("key").alias("pattern"), F.lit("name").alias("kind"), F.lit(1.0).alias("precision"), F.col("n").alias("support")),
-        "instances": many.select(F.explode(F.array(F.lit("name"), F.lit("code"))).alias("family"), F.col("key").alias("instance"), F.lit("name").alias("kind"), "n"),
+        "instances": many.select(F.explode(F.array(*map(F.lit, ("name", "code", "street", "town")))).alias("family"), F.col("key").alias("instance"), F.lit("name").alias("kind"), "n"),
         "usual": many.select(F.col("key").alias("instance"), "n"),
-        "places": many.select(F.explode(F.array(F.lit("street"), F.lit("town"))).alias("family"), F.col("key").alias("instance"), "n"),
+        "untitled": many.limit(0).select(F.col("key").alias("pattern"), "n"),
     }
     y = I.Identifiers(x.all, "id")
     y.tables = {k: v.select(*more[k].columns).unionByName(more[k]) for k, v in x.tables.items()}
@@ -79,3 +79,18 @@ def test_names_after_a_title_are_whole(spark, found):
         "Next of kin is Osmund de Fenwold.": ["Osmund de Fenwold"], "brown phlegm": [], "Dr Brown and Dr Ng": ["Brown", "Ng"],
     }
     assert {t: [t[a:b] for a, b, kind in finder.spans(t) if kind == "name"] for t in want} == want
+
+
+def test_signs_kinds_and_titles_come_from_the_graph(spark):
+    texts = [f"Write to jane.{i}@mail.test soon." for i in range(3)] + [f"Write to tom{i}[at]mail.test soon." for i in range(2)] + ["Set x[at]y.test now"]
+    texts += [f"Lives at {i} Marl Street, Tolmoor, ZZ{i} 3QX." for i in range(1, 5)] + ["Lives at 7 Old Mill Drift, Tolmoor.", "Lives at 9 New Mill Drift, Wexby."]
+    texts += [f"Sister Thing{i} came" for i in range(30)] + [f"Thing{i} is a thing{i}, thing{i} as thing{i} are, thing{i}" for i in range(30) for _ in range(40)]
+    x = I.Identifiers(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    got = {(r["kind"], r["value"]) for r in x.found().collect()}
+    assert {("email", "tom1[at]mail.test"), ("email", "jane.2@mail.test"), ("address", "7 Old Mill Drift, Tolmoor"), ("address", "3 Marl Street, Tolmoor, ZZ3 3QX")} <= got
+    alone = I.Identifiers(spark.createDataFrame([(1, "Set x[at]y.test now"), (2, "Lives at 7 Old Mill Drift, Tolmoor.")], "doc_id int, text string"))
+    assert alone.found().count() == 0
+
+
+def test_context_of_any_length():
+    assert I.before("call " + " " * 500 + "0", 505) == "call" and I.before("one two, " + "-" * 400 + "x", 409) == "one two" and I.before("a" * 300 + " b x", 303) == "a" * 300 + " b"
