@@ -70,6 +70,11 @@ def before(text: str, start: int) -> str:
         span *= 4
 
 
+def may_mail(text: str) -> bool:
+    """Whether a text holds any sign that EMAIL asks for."""
+    return "@" in text or "at)" in text or "at]" in text
+
+
 def email_sign(address: str) -> str:
     """What an e-mail address has in place of its @."""
     return re.search(r"@|[\[(]at[\])]", address).group()
@@ -107,21 +112,22 @@ def seed_kind(code: str) -> str | None:
 
 def _edges(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(family, pattern, instance, broad, seed, n) of a task's texts."""
-    emails, codes, names, titles, strict, loose = (re.compile(p) for p in (EMAIL, CODES, NAME_SPAN, TITLE, STRICT_ADDRESS, LOOSE_ADDRESS))
+    emails, codes, names, strict, loose = (re.compile(p) for p in (EMAIL, CODES, NAME_SPAN, STRICT_ADDRESS, LOOSE_ADDRESS))
+    titles, words = re.compile(TITLE, re.I), re.compile(r"[^\W\d_][\w'’-]+")
     titled = re.compile(rf"(?:[A-Z]\.[^\S\n]?)*{_NAME_WORD}(?:[^\S\n]+[A-Z]\.)*(?:,?[^\S\n]+{_NAME_WORD})?")
-    small = re.compile(r"(?i)\b(" + "|".join(TITLES) + r")\b")
     title = re.compile(rf"(?:{'|'.join(TITLES)})$", re.I)
     for batch in batches:
         n: Counter = Counter()
+        every: Counter = Counter()
         for text in batch["text"]:
-            for m in emails.finditer(text):
+            for m in emails.finditer(text) if may_mail(text) else ():
                 n["email", before(text, m.start()), (sign := email_sign(m.group())), "", "email" if sign == "@" or "dot" in re.findall(r"[\[(](\w+)[\])]", m.group()) else None] += 1
-            free = emails.sub(lambda m: " " * len(m.group()), text)
+            free = emails.sub(lambda m: " " * len(m.group()), text) if may_mail(text) else text
             for start, _, code in codes_in(free, codes):
                 exact, broad = formats(code)
                 n["code", before(text, start), exact, broad, seed_kind(code)] += 1
             # how often a word stands anywhere, but for what looks like a street's name
-            n.update(("word", "", w, "", None) for w in re.findall(r"[^\W\d_][\w'’-]+", STREET_LIKE.sub(" ", free).lower()))
+            every.update(words.findall(STREET_LIKE.sub(" ", free).lower()))
             whole = set()
             for m in strict.finditer(free):
                 whole.add(m.start())
@@ -132,7 +138,7 @@ def _edges(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     n["street", before(text, m.start()), m.group(1).lower(), "", None] += 1
                     if m.group(2):
                         n["town", m.group(1).lower(), " ".join(m.group(2).lower().split()), "", None] += 1
-            for m in titles.finditer(small.sub(lambda x: x.group().lower(), free)):
+            for m in titles.finditer(free):
                 got = titled.match(free, m.end())
                 if got:
                     for w in re.findall(r"[^\W\d_][\w'’-]+", got.group()):
@@ -148,7 +154,8 @@ def _edges(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     left = before(text, m.start() + comma + 1)
                     for w in re.findall(r"[^\W\d_][\w'’-]+", m.group()[comma:]):
                         n["name", left, w.lower(), "", None] += 1
-        yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["family", "pattern", "instance", "broad", "seed", "n"]).astype({"n": "int64"})
+        rows = [(*k, v) for k, v in n.items()] + [("word", "", w, "", None, v) for w, v in every.items()]
+        yield pd.DataFrame(rows, columns=["family", "pattern", "instance", "broad", "seed", "n"]).astype({"n": "int64"})
 
 
 EDGES = "family string, pattern string, instance string, broad string, seed string, n bigint"
@@ -306,15 +313,17 @@ class Finder:
         street = rf"(?:(?:{units})\.?\s+\d+[a-z]?{gap})?\d{{1,4}}[a-z]?[^\S\n]+(?:(?:st\.|[\w'’-]+)[^\S\n]+){{1,3}}?(?:{kinds})(?!\w)(?:{gap}(?:{units})\.?\s+\d+[a-z]?(?!\w))?"
         german = rf"[^\W\d_]+(?:{'|'.join(GERMAN_STREETS)})\.?[^\S\n]+\d{{1,4}}[a-z]?(?!\w)(?:{gap}\d{{5}}[^\S\n]+[^\W\d_]+)"
         town = r"[^\W\d_][\w'’-]*(?:[^\S\n]+[^\W\d_][\w'’-]*){0,2}"  # not learned: a postcode closes the address
-        self.address = re.compile(rf"(?<![\w-])(?:{street}(?:{gap}{town}{gap}{POSTCODE}(?!\w)|(?:{gap}(?:{towns})(?!\w))?(?:{gap}{POSTCODE}(?!\w))?)|{german})", re.I)
+        self.address = re.compile(rf"(?<![\w-])(?:{street}(?:{gap}{town}{gap}{POSTCODE}(?!\w)|(?:{gap}(?:{towns})(?!\w))?(?:{gap}{POSTCODE}(?!\w))?))", re.I)
+        self.german, self.five = re.compile(rf"(?<![\w-]){german}", re.I), re.compile(r"\d{5}")
         self.strict = re.compile(rf"(?:(?<![\w-])(?i:{units})\.?\s+\d+[A-Za-z]?{gap})?{STRICT_ADDRESS}")
         self.signs = lists["email"]
         titles = [t for t in TITLES if t not in lists["untitled"]]  # fixed and few, so that these lists never are longer than what is broadcast
         self.title = re.compile(rf"(?<![\w'’-])(?:{'|'.join(titles) or '(?!)'})\.?[^\S\n]+(?=\S)", re.I)
         self.word = _WORD
+        self.begins: dict[str, tuple] = {}  # by word, whether a name may begin with it: known, initial; empty if not
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        taken: list[tuple[int, int, str]] = [(m.start(), m.end(), "email") for m in self.email.finditer(text) if email_sign(m.group()) in self.signs]
+        taken: list[tuple[int, int, str]] = [(m.start(), m.end(), "email") for m in (self.email.finditer(text) if may_mail(text) else ()) if email_sign(m.group()) in self.signs]
 
         def free(a: int, b: int) -> bool:
             return all(b <= x or a >= y for x, y, _ in taken)
@@ -338,7 +347,7 @@ class Finder:
     def _addresses(self, text: str, free) -> list[tuple[int, int]]:
         """Addresses of learned kinds, and those that their shape alone tells, whatever was learned; where two overlap, all that they hold."""
         out: list[tuple[int, int]] = []
-        for a, b in sorted(m.span() for r in (self.address, self.strict) for m in r.finditer(text) if free(*m.span())):
+        for a, b in sorted(m.span() for r in (self.address, self.strict, *([self.german] if self.five.search(text) else [])) for m in r.finditer(text) if free(*m.span())):
             if out and a < out[-1][1] and free(out[-1][0], max(b, out[-1][1])):
                 out[-1] = out[-1][0], max(b, out[-1][1])
             elif not out or a >= out[-1][1]:
@@ -400,15 +409,17 @@ class Finder:
             got = self._name_at(text, m.end(), True, m.group().strip())
             if got:
                 yield got
-        places = [m.start() for m in self.word.finditer(text)]
-        for at in places:
-            if at < seen:
-                continue
-            w = self.word.match(text, at).group()
-            first = self._known(w.rstrip("."))
-            initial = len(w) == 2 and w[0].isupper() and w[1] == "."
-            if not (first or initial or w[0].isupper()):
+        for m in self.word.finditer(text):
+            w = m.group()
+            kind = self.begins.get(w)
+            if kind is None:
+                initial = len(w) == 2 and w[0].isupper() and w[1] == "."
+                first = self._known(w.rstrip("."))
+                kind = self.begins[w] = (first, initial) if first or initial or w[0].isupper() else ()
+            at = m.start()
+            if not kind or at < seen:
                 continue
+            first, initial = kind
             left = before(text, at)
             announced = left in self.patterns or "* " + left.rpartition(" ")[2] in self.patterns
             if not announced and not first and not initial:
@@ -428,6 +439,7 @@ def _finder(shared, redact: bool):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(shared.value)
         for batch in batches:
+            finder.begins.clear()
             rows = []
             for id, text, more in zip(batch["id"], batch["text"], batch["more"] if "more" in batch else [None] * len(batch)):
                 spans = (Finder(shared.value, () if more is None else more, text) if "more" in batch else finder).spans(text)
