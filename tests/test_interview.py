@@ -66,3 +66,14 @@ def test_nothing_known_ends_without_a_leader(spark, kb):
     a, s = given(spark, none={v[0]: "unknown" for v in KB["variable"]})
     v = I.views(kb, a, s).first()
     assert v["stop"] == "insufficient_information" and v["question"] is None and v["rules"] == ""
+
+
+def test_evaluation_of_ended_interviews(spark, kb):
+    done = [(1, ["bot", "buyer", "victim"], "clear_leader", 3, 2), (2, ["buyer", "bot", "fraudster"], "question_cap_reached", 10, 9), (3, ["bot", "buyer", "tester"], "emergency_escalation", 1, 0), (4, ["bot", "buyer", "tester"], "clear_leader", 4, 1), (5, ["bot"], "insufficient_information", 7, 3), (6, ["bot"], "clear_leader", 2, 3)]
+    cases = [(1, "bot", False), (2, "fraudster", False), (3, "victim", False), (4, "victim", None), (5, None, True), (6, None, True)]
+    d = spark.createDataFrame(done, "session int, leaders array<string>, stop string, asked long, burden long")
+    got = I.evaluated(kb, d, spark.createDataFrame(cases, "session int, truth string, expect_insufficient boolean")).collect()
+    want = {"n": 4, "top1": 0.25, "top3": 0.5, "n_insufficient": 2, "insufficient_ok": 1, "median_asked": 3.5, "mean_burden": 3.0, "n_grave": 3, "caught": 2, "p90": 7}
+    assert [{k: r[k] for k in want} for r in got] == [want]
+    none = I.evaluated(kb, d.limit(0), spark.createDataFrame([], "session int, truth string, expect_insufficient boolean")).collect()
+    assert [(r["n"], r["p90"]) for r in none] == [(0, None)]
