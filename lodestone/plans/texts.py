@@ -219,7 +219,28 @@ def q_norm(spark, d):
     return a.filter("name IS NOT NULL").distinct().select("name", N.norm(F.col("name")).alias("norm"))
 
 
-@query("term_variants", None)
+def _variants_sql(names: str) -> str:
+    """CTEs up to va (name, pos, variant): the forms of each distinct name, with lists of its own."""
+    tidy = lambda l: f"list_filter({l}, lambda x, i: x IS NOT NULL AND x <> '' AND list_position({l}, x) = i)"
+    n = lambda x: NORM.format(x)
+    words = lambda x: f"len(string_split_regex(trim({x}), '\\s+'))"
+    qualifier = "'\\s+(in adults?|in children( and young people)?|in babies|in men|in women|in pregnancy|in over \\d+s|in under \\d+s)$'"
+    plurals = (("oses", "osis"), ("ses", "sis"), ("ae", "a"), ("ies", "y"), ("i", "us"), ("es", ""), ("s", ""))
+    plural = "[" + ", ".join(f"CASE WHEN ends_with(x, '{e}') AND len(x) - {len(e)} >= 3 THEN " + n(f"(left(x, len(x) - {len(e)}) || '{r}')") + " END" for e, r in plurals) + "]"
+    said = (("^(.*?) cancer$", "malignant neoplasm of \\1"), ("^(.*?) cancer$", "malignant tumor of \\1"), ("^broken (.*)$", "fracture of \\1"), ("^(.*?) stones?$", "calculus of \\1"), ("^(.*?) injur(?:y|ies)$", "injury of \\1"), ("^dislocated (.*)$", "dislocation of \\1"))
+    rewrite = "[" + ", ".join(f"CASE WHEN regexp_matches(x, '{a}') THEN " + n(f"regexp_replace(x, '{a}', '{b}')") + " END" for a, b in said) + "]"
+    bracket = f"list_filter(regexp_extract_all(body, '\\(([^)]+)\\)', 1), lambda x: {words('x')} <= 6 AND (x <> upper(x) OR NOT regexp_matches(x, '[A-Za-z]')))"
+    halves = f"list_filter(string_split_regex(body, '\\s+and\\s+'), lambda x: {words('x')} >= 2)"
+    return f"""nm AS ({names}), n1 AS (SELECT name, CASE WHEN contains(name, ', see ') THEN substring(name, instr(name, ', see ') + 6) ELSE name END AS body, CASE WHEN contains(name, ', see ') THEN string_split(name, ', see ')[1] END AS head FROM nm),
+n2 AS (SELECT name, list_concat([{n('body')}, CASE WHEN head IS NOT NULL THEN {n('head')} END], list_transform({bracket}, lambda x: {n('x')}), [{n(f"regexp_replace({n('body')}, {qualifier}, '')")}], list_transform({halves}, lambda x: {n('x')})) AS l FROM n1),
+n3 AS (SELECT name, {tidy('l')} AS l FROM n2), n4 AS (SELECT name, list_concat(l, flatten(list_transform(l, lambda x: {plural}))) AS l FROM n3), n5 AS (SELECT name, {tidy('l')} AS l FROM n4),
+n6 AS (SELECT name, list_concat(l, flatten(list_transform(l, lambda x: {rewrite}))) AS l FROM n5), n7 AS (SELECT name, {tidy('l')} AS l FROM n6), va AS (SELECT name, (unnest(range(len(l))))::INTEGER AS pos, unnest(l) AS variant FROM n7)"""
+
+
+_NAMES = "SELECT DISTINCT cause_name AS name FROM presentation_causes WHERE cause_name IS NOT NULL"
+
+
+@query("term_variants", f"WITH {_variants_sql(_NAMES)} SELECT name, pos, variant FROM va")
 def q_variants(spark, d):
     a = table(spark, d, "presentation_causes").select(F.col("cause_name").alias("name")).filter("name IS NOT NULL").distinct()
     return a.select("name", F.posexplode(N.variants(F.col("name"))).alias("pos", "variant"))
@@ -245,12 +266,16 @@ def q_exact(spark, d):
     return names.withColumn("term", N.norm(F.col("name"))).join(ix, "term").select("name", "id")
 
 
-@query("term_match", None)
+MATCHED = f"""WITH {LABELS}, {_variants_sql(_NAMES)}, hi AS (SELECT name, pos, variant, n, id FROM va JOIN ix ON ix.term = variant), be AS (SELECT name, arg_min(id, pos) AS id, arg_min(variant, pos) AS variant FROM hi WHERE n = 1 GROUP BY 1),
+ma AS (SELECT nm.name, be.id, be.variant, be.name IS NULL AND nm.name IN (SELECT name FROM hi) AS ambiguous FROM nm LEFT JOIN be USING (name))"""
+
+
+@query("term_match", f"{MATCHED} SELECT * FROM ma")
 def q_match(spark, d):
     return T.term_match(table(spark, d, "presentation_causes").select(F.col("cause_name").alias("name")), T.term_index(_labels(spark, d)))
 
 
-@query("term_match_fallback", None)
+@query("term_match_fallback", f"{MATCHED}, bk AS (SELECT {NORM.format('name')} AS term, min(snomed) AS backup FROM conditions WHERE snomed IS NOT NULL GROUP BY 1) SELECT name, coalesce(id, backup) AS id, CASE WHEN id IS NOT NULL THEN 'term' WHEN backup IS NOT NULL THEN 'backup' END AS origin FROM ma LEFT JOIN bk ON bk.term = {NORM.format('ma.name')}")
 def q_fallback(spark, d):
     """Names of conditions are the backup for those the terms don't know."""
     backup = table(spark, d, "conditions").filter("snomed IS NOT NULL").groupBy(N.norm(F.col("name")).alias("term")).agg(F.min("snomed").alias("id"))
