@@ -207,18 +207,6 @@ def learn(texts: DataFrame) -> dict[str, DataFrame]:
     return {"usual": usual, "patterns": patterns, "instances": trusted.join(totals.withColumnRenamed("total", "n"), ["family", "instance"]), "untitled": untitled}
 
 
-def _most(df: DataFrame, by: str, most: int = LEXICON) -> tuple[list, DataFrame | None]:
-    """The rows of df whose count is above the least one that leaves at most so many rows, collected; and the other rows, None if there are none."""
-    sizes = df.groupBy(F.floor(F.log2(by)).alias("b")).count().orderBy(F.desc("b")).collect()
-    kept, least = 0, 0
-    for r in sizes:
-        kept += r["count"]
-        if kept > most:
-            least = 2 ** (r["b"] + 1)
-            break
-    return df.filter(F.col(by) >= least).collect(), df.filter(F.col(by) < least) if least else None
-
-
 #: What the second pass looks up: a list's name, its rows among what was learned, and the columns of key and count.
 LISTS = {
     "pattern": ("patterns", "family = 'name' AND pattern <> ''", "pattern", "support"),
@@ -235,16 +223,24 @@ LISTS = {
 class Learned:
     """What the second pass needs: key to kind of every list, and which lists are longer (their rest is `more`: list, key, kind; None if all are whole)."""
 
-    def __init__(self, tables: dict[str, DataFrame]):
-        self.lists, self.long, self.more = {}, frozenset(), None
+    def __init__(self, tables: dict[str, DataFrame], most: int = LEXICON):
+        parts = []
         for name, (at, rows, key, by) in LISTS.items():
             kind = F.col("kind") if at in ("patterns", "instances") else F.lit("")
-            df = tables[at].filter(rows).select(F.lit(name).alias("list"), F.col(key).alias("key"), kind.alias("kind"), F.col(by).alias("n"))
-            kept, rest = _most(df, "n")
-            self.lists[name] = {r["key"]: r["kind"] for r in kept}
-            if rest is not None:
-                self.long |= {name}
-                self.more = rest.drop("n") if self.more is None else self.more.unionByName(rest.drop("n"))
+            parts.append(tables[at].filter(rows).select(F.lit(name).alias("list"), F.col(key).alias("key"), kind.alias("kind"), F.col(by).alias("n")))
+        every = cut(reduce(DataFrame.unionByName, parts).withColumn("b", F.floor(F.log2("n")).cast("int")))
+        # of a list its rows above the least count that leaves at most `most`; sizes has a few dozen rows for each list
+        least, kept = dict.fromkeys(LISTS, 0), dict.fromkeys(LISTS, 0)
+        for r in every.groupBy("list", "b").count().orderBy(F.desc("b")).collect():
+            kept[r["list"]] += r["count"]
+            if kept[r["list"]] > most:
+                least[r["list"]] = max(least[r["list"]], r["b"] + 1)
+        self.long = frozenset(x for x, b in least.items() if b)
+        shown = F.col("b") >= F.element_at(F.create_map(*(F.lit(v) for kv in least.items() for v in kv)), F.col("list"))
+        self.lists: dict[str, dict[str, str]] = {x: {} for x in LISTS}
+        for r in every.filter(shown).select("list", "key", "kind").collect():
+            self.lists[r["list"]][r["key"]] = r["kind"]
+        self.more = every.filter(~shown).select("list", "key", "kind") if self.long else None
 
     def __getstate__(self):
         return self.__dict__ | {"more": None}
