@@ -201,6 +201,20 @@ def q_hits(spark, d):
     return R.hit_rates(places)
 
 
+MOST_SYMPTOMS = 20
+
+
+@query("incidence_matrix", f"{WITH}, tp AS (SELECT symptom_id, row_number() OVER (ORDER BY n_documents DESC, symptom_id) AS pos FROM wt QUALIFY pos <= {MOST_SYMPTOMS}) SELECT condition, " + ", ".join(f"max(CASE WHEN pos = {i} THEN 1 ELSE 0 END)::INTEGER AS s{i}" for i in range(1, MOST_SYMPTOMS + 1)) + " FROM lk LEFT JOIN tp USING (symptom_id) GROUP BY 1")
+def q_matrix(spark, d):
+    """Conditions by the commonest symptoms, 1 where it has the symptom: the export of a matrix that is kept as pairs."""
+    l = stored(links(spark, d))
+    top = R.idf(l, "condition", "symptom_id").orderBy(F.desc("n_documents"), "symptom_id").limit(MOST_SYMPTOMS)
+    named = top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n_documents"), "symptom_id"))).select("symptom_id", "pos")  # MOST_SYMPTOMS rows
+    places = list(range(1, MOST_SYMPTOMS + 1))
+    p = l.join(F.broadcast(named), "symptom_id", "left").groupBy("condition").pivot("pos", places).agg(F.count(F.lit(1)))
+    return p.select("condition", *((F.coalesce(str(i), F.lit(0)) > 0).cast("int").alias(f"s{i}") for i in places))
+
+
 @query("sample_hash", "SELECT slug FROM conditions ORDER BY md5(slug || ':0'), slug LIMIT 150")
 def q_sample(spark, d):
     """A seeded sample of 150 conditions without replacement: the order is that of a hash of key and seed."""

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.operators import vectors as V
+from lodestone.session import cut
+from lodestone.sources import providers
 from lodestone.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -83,3 +85,13 @@ def q_density(spark, d):
 @query("greedy_cluster", None)
 def q_cluster(spark, d):
     return V.greedy_clusters(_rows(spark, d))
+
+
+@query("cluster_relink", None)
+def q_relink(spark, d):
+    """Clusters named by a stub (the name of their first member), clusters of one name merged, links rebuilt on the names."""
+    r = _rows(spark, d)
+    clusters = cut(V.greedy_clusters(r))
+    t = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("Kind "), F.col("label").cast("string")).alias("phrase"), F.concat(F.lit("c"), (F.col("label") % 7).cast("string")).alias("condition"))
+    names = providers.label_clusters(clusters, t.select("id", "phrase"), lambda members: members.split("\n")[0])
+    return providers.relink(clusters, names, t.select("condition", "id"))
