@@ -207,7 +207,7 @@ def learn(texts: DataFrame) -> dict[str, DataFrame]:
     return {"usual": usual, "patterns": patterns, "instances": trusted.join(totals.withColumnRenamed("total", "n"), ["family", "instance"]), "untitled": untitled}
 
 
-#: What the second pass looks up: a list's name, its rows among what was learned, and the columns of key and count.
+#: What the second pass looks up: a list's name, its table and rows among what was learned, and the columns of key and count, the same for all lists of a table.
 LISTS = {
     "pattern": ("patterns", "family = 'name' AND pattern <> ''", "pattern", "support"),
     "word": ("instances", "family = 'name'", "instance", "n"),
@@ -225,9 +225,12 @@ class Learned:
 
     def __init__(self, tables: dict[str, DataFrame], most: int = LEXICON):
         parts = []
-        for name, (at, rows, key, by) in LISTS.items():
+        for at in dict.fromkeys(x[0] for x in LISTS.values()):  # each table once, whatever the number of its lists
+            own = {name: x for name, x in LISTS.items() if x[0] == at}
+            _, _, key, by = next(iter(own.values()))
+            name = reduce(lambda c, x: c.when(F.expr(x[1][1]), x[0]), own.items(), F)
             kind = F.col("kind") if at in ("patterns", "instances") else F.lit("")
-            parts.append(tables[at].filter(rows).select(F.lit(name).alias("list"), F.col(key).alias("key"), kind.alias("kind"), F.col(by).alias("n")))
+            parts.append(tables[at].select(name.alias("list"), F.col(key).alias("key"), kind.alias("kind"), F.col(by).alias("n")).filter("list IS NOT NULL"))
         every = cut(reduce(DataFrame.unionByName, parts).withColumn("b", F.floor(F.log2("n")).cast("int")))
         # of a list its rows above the least count that leaves at most `most`; sizes has a few dozen rows for each list
         least, kept = dict.fromkeys(LISTS, 0), dict.fromkeys(LISTS, 0)
