@@ -183,26 +183,29 @@ def learn(texts: DataFrame) -> dict[str, DataFrame]:
     totals = edges.groupBy("family", "instance").agg(F.sum("n").alias("total")).join(every, ["family", "instance"], "left")
     totals = cut(totals.select("family", "instance", F.greatest("total", F.coalesce("every", F.lit(0))).alias("total")))
     exact = cut(exact.drop("last").unionByName(exact.select("family", F.col("last").alias("pattern"), "instance", "n")))
-    of_pattern = exact.groupBy("family", "pattern").agg(F.sum("n").alias("all"))
+    # what doesn't change from round to round is put beside the edges once
+    exact = cut(exact.join(exact.groupBy("family", "pattern").agg(F.sum("n").alias("all")), ["family", "pattern"]))
+    edges = cut(edges.join(totals, ["family", "instance"]))
     by_family = lambda of: reduce(lambda c, x: c.when(F.col("family") == x[0], x[1]), of.items(), F)
     seeds = graph.filter(F.col("seed").isNotNull()).groupBy("family", "instance", F.col("seed").alias("kind")).agg(F.sum("n").alias("seeded"))
     seeds = seeds.join(totals, ["family", "instance"]).filter((F.col("seeded") >= by_family(SEEDED)) & (F.col("seeded") >= SEED_AT * F.col("total"))).select("family", "instance", "kind")
+    seeds = cut(seeds)
     trusted, patterns = cut(seeds.dropDuplicates(["family", "instance"])), None
     for _ in range(ROUNDS):
-        good = exact.join(trusted, ["family", "instance"]).groupBy("family", "pattern", "kind").agg(F.sum("n").alias("good"), F.count(F.lit(1)).alias("support"))
-        scored = good.join(of_pattern, ["family", "pattern"]).withColumn("precision", F.col("good") / F.col("all"))
+        good = exact.join(trusted, ["family", "instance"]).groupBy("family", "pattern", "kind").agg(F.sum("n").alias("good"), F.count(F.lit(1)).alias("support"), F.first("all").alias("all"))
+        scored = good.withColumn("precision", F.col("good") / F.col("all"))
         scored = scored.filter((F.col("precision") >= by_family(PATTERN_AT)) & (F.col("good") >= by_family(SEEDED)))
         # a pattern of two kinds is one of the kind that it mostly holds
         patterns = cut(scored.groupBy("family", "pattern").agg(F.max_by(F.struct("kind", "precision", "support"), "good").alias("x")).select("family", "pattern", "x.*"))
         two, one = patterns.select("family", "pattern", "kind"), patterns.select("family", F.col("pattern").alias("last"), F.col("kind").alias("kind1"))
         held = edges.join(two, ["family", "pattern"], "left").join(one, ["family", "last"], "left").withColumn("kind", F.coalesce("kind", "kind1"))
-        held = held.filter(F.col("kind").isNotNull()).groupBy("family", "instance", "kind").agg(F.sum("n").alias("held"), F.countDistinct("last").alias("patterns"))
-        share = held.join(totals, ["family", "instance"]).withColumn("share", F.col("held") / F.col("total"))
+        held = held.filter(F.col("kind").isNotNull()).groupBy("family", "instance", "kind").agg(F.sum("n").alias("held"), F.countDistinct("last").alias("patterns"), F.first("total").alias("total"))
+        share = held.withColumn("share", F.col("held") / F.col("total"))
         sure = share.filter((F.col("share") >= INSTANCE_AT) & (F.col("patterns") >= by_family(PATTERNS)))
         best = sure.groupBy("family", "instance").agg(F.max_by("kind", "share").alias("kind"))
         trusted = cut(seeds.join(best, ["family", "instance"], "left_anti").unionByName(best.select("family", "instance", "kind")))
     usual = every.withColumnRenamed("every", "n").filter("n >= 5").join(trusted, ["family", "instance"], "left_anti")
-    titled = of_pattern.filter((F.col("family") == "name") & F.col("pattern").isin([f"* {t}" for t in TITLES]) & (F.col("all") >= TITLE_SEEN))
+    titled = exact.select("family", "pattern", "all").distinct().filter((F.col("family") == "name") & F.col("pattern").isin([f"* {t}" for t in TITLES]) & (F.col("all") >= TITLE_SEEN))
     untitled = titled.join(patterns, ["family", "pattern"], "left_anti").select(F.substring("pattern", 3, 40).alias("pattern"), F.col("all").alias("n"))
     return {"usual": usual, "patterns": patterns, "instances": trusted.join(totals.withColumnRenamed("total", "n"), ["family", "instance"]), "untitled": untitled}
 
