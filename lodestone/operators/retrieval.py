@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil, log
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.facets import DURATIONS, ONSETS, band, place_multiplier
 from lodestone.operators.joins import join_groups, small_or_shuffled
-from lodestone.session import cut
+from lodestone.session import cut, stored
 
 #: Fixed values.
 MATCH, ABSENT_WEIGHT, LENGTH_ALPHA, MOST_QUESTIONS = 0.80, 0.7, 0.25, 12
+#: Links of a block and queries of a chunk that one task of best_questions() holds.
+BLOCK, CHUNK = 1_000_000, 100_000
 
 
 def idf(pairs: DataFrame, document: str, term: str) -> DataFrame:
@@ -74,11 +79,16 @@ def ranked(scores: DataFrame, by: str, score: str, tie: str, k: int) -> DataFram
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def idf_rank(found: DataFrame, norms: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, condition, score) from evidence() or strengths(), and lengths(): total / length ** 0.25."""
+def best_totals(found: DataFrame, norms: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, condition, score, total) from evidence() or strengths(), and lengths(): total / length ** 0.25."""
     total = found.groupBy("query_id", "condition").agg(F.sum("w").alias("total"))
     scored = total.join(norms, "condition").withColumn("score", F.round(F.col("total") / F.pow("length", F.lit(LENGTH_ALPHA)), 6))
-    return ranked(scored, "query_id", "score", "condition", k).select("query_id", "rank", "condition", "score")
+    return ranked(scored, "query_id", "score", "condition", k).select("query_id", "rank", "condition", "score", "total")
+
+
+def idf_rank(found: DataFrame, norms: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, condition, score) of best_totals()."""
+    return best_totals(found, norms, k).drop("total")
 
 
 def evidence_lists(found: DataFrame) -> DataFrame:
@@ -158,6 +168,89 @@ def best_split(options: DataFrame, rarest: bool = True) -> DataFrame:
     return options.groupBy("query_id").agg(F.max_by(F.struct("symptom_id", "h"), order).alias("b")).select("query_id", "b.symptom_id", "b.h")
 
 
+def question_blocks(links: DataFrame) -> tuple[DataFrame, int]:
+    """links by blocks of symptoms, and the number of blocks: a row per block and condition with its symptoms, and one per block, without condition, with all its symptoms and their idf."""
+    n = max(1, ceil(links.count() / BLOCK))
+    l = links.select(F.pmod(F.xxhash64("symptom_id"), F.lit(n)).cast("int").alias("block"), "condition", "symptom_id", "idf")
+    ids = F.array_sort(F.collect_list("symptom_id")).alias("ids")
+    held = l.groupBy("block", "condition").agg(ids).withColumn("idf", F.lit(None).cast("array<double>")).withColumn("rounded", F.col("idf"))
+    one = l.groupBy("block", "symptom_id").agg(F.first("idf").alias("idf"))
+    own = one.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("symptom_id", "idf", F.round("idf", 9).alias("rounded")))).alias("l"))
+    own = own.select("block", F.lit(None).cast("string").alias("condition"), F.col("l.symptom_id").alias("ids"), F.col("l.idf").alias("idf"), F.col("l.rounded").alias("rounded"))
+    return stored(held.unionByName(own)), n
+
+
+def _ask(rarest: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """For a chunk of queries and a block of symptoms: each query's best split in the block, and which of its conditions have that symptom."""
+
+    def run(queries: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(links):
+            whole = links[links["condition"].isna()].iloc[0]
+            ids, idf = np.asarray(whole["ids"]), np.asarray(whole["idf"])
+            order = np.lexsort((ids, -np.asarray(whole["rounded"]))) if rarest else np.arange(len(ids))  # the first of equal ones is the best
+            place = np.empty(len(ids), np.int64)
+            place[order] = np.arange(len(ids))
+            held = {c: place[np.searchsorted(ids, x)] for c, x in zip(links["condition"], links["ids"]) if c is not None}
+            levels: dict[int, list[list[int]]] = {}
+            count = np.zeros(len(ids), np.uint16)
+            for query, left, dropped, asked in zip(*(queries[c] for c in ("query_id", "left", "dropped", "asked"))):
+                n = len(left)
+                if n not in levels:
+                    levels[n] = _levels(n)
+                mine = [held[c] for c in left if c in held]
+                for x in mine:
+                    count[x] += 1
+                at = np.searchsorted(ids, asked := np.asarray(asked, ids.dtype))
+                at, asked = at[at < len(ids)], asked[at < len(ids)]
+                count[place[at[ids[at] == asked]]] = 0
+                for ks in levels[n]:
+                    hit = count == ks[0]
+                    for k in ks[1:]:
+                        hit |= count == k
+                    if hit[best := int(hit.argmax())]:
+                        i = order[best]
+                        out.append((query, ids[i], int(count[best]), n, idf[i], [c for c in (*left, *dropped) if c in held and (held[c] == best).any()]))
+                        break
+                for x in mine:
+                    count[x] = 0
+        return pd.DataFrame(out, columns=["query_id", "symptom_id", "c", "n", "idf", "holders"])
+
+    return run
+
+
+def _levels(n: int) -> list[list[int]]:
+    """Numbers of candidates from 1 to n - 1, the most even split first; equal ones together."""
+    by: dict[float, list[int]] = {}
+    for k in range(1, n):
+        p = k / n
+        by.setdefault(round(-(p * log(p) + (1 - p) * log(1 - p)) / log(2), 9), []).append(k)
+    return [by[h] for h in sorted(by, reverse=True)]
+
+
+def best_questions(candidates: DataFrame, blocks: tuple[DataFrame, int], asked: DataFrame, rarest: bool = True) -> DataFrame:
+    """(query_id, symptom_id, h, idf, holders): best_split(splits(candidates, links, asked)), with the conditions of the query that have the symptom.
+
+    candidates: (query_id, condition, left), of which those with `left` are split; blocks: question_blocks(links). No row is
+    made for a link of a candidate: a task counts, query by query, in how many candidates' lists each symptom of its block
+    stands. Queries, of a handful of conditions each, go to every block, and a block to every chunk of queries.
+    """
+    links, n_blocks = blocks
+    mine = candidates.groupBy("query_id").agg(*(F.collect_list(F.when(F.col("left") == x, F.col("condition"))).alias(c) for x, c in ((True, "left"), (False, "dropped"))))
+    said = asked.groupBy("query_id").agg(F.collect_set("symptom_id").alias("asked"))
+    id_type = links.schema["ids"].dataType.elementType.simpleString()
+    q = cut(mine.join(said, "query_id", "left").withColumn("asked", F.coalesce("asked", F.array().cast(f"array<{id_type}>"))))
+    # as many chunks as keep some two dozen tasks busy, or as bound them
+    n = max(ceil((rows := q.count()) / CHUNK), min(ceil(24 / n_blocks), ceil(rows / 1000)), 1)
+    spread = lambda df, c, k: df.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    q = spread(q.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")), "block", n_blocks)
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, symptom_id {id_type}, c int, n int, idf double, holders array<string>"
+    found = q.groupBy("block", "chunk").cogroup(spread(links, "chunk", n).groupBy("block", "chunk")).applyInPandas(_ask(rarest), schema)
+    found = found.withColumn("h", F.round(entropy(F.col("c") / F.col("n")), 9))
+    order = F.struct("h", *([F.round("idf", 9).alias("o")] if rarest else []), (-F.col("symptom_id")).alias("id"))
+    return found.groupBy("query_id").agg(F.max_by(F.struct("symptom_id", "h", "idf", "holders"), order).alias("b")).select("query_id", "b.*")
+
+
 def narrowed(scores: DataFrame, target: int) -> DataFrame:
     """The candidates that stay after one question: max(target, n - 2) of each query by score (missing last), ties by condition."""
     w = Window.partitionBy("query_id")
@@ -178,21 +271,21 @@ def narrow(opening: DataFrame, asked: DataFrame, links: DataFrame, norms: DataFr
     """
     state = cut(opening.join(norms, "condition").select("query_id", "condition", F.col("total").cast("double").alias("total"), "length", F.col("place").alias("first"), "place", F.lit(True).alias("left")))
     score = F.round(F.col("total") / F.pow("length", F.lit(LENGTH_ALPHA)), 6)
-    asked = asked.select("query_id", "symptom_id").distinct()
+    asked = cut(asked.select("query_id", "symptom_id").distinct())
+    blocks = question_blocks(links)
     questions = None
     for target in targets:
         for _ in range(most):
-            remaining = state.filter("left")
-            open_ = remaining.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > target)
-            best = best_split(splits(remaining.join(open_.select("query_id"), "query_id", "left_semi"), links, asked), rarest)
-            told = cut(reply(best.select("query_id", "symptom_id")).join(open_, "query_id").select("query_id", "symptom_id", "reply", "n"))
+            open_ = state.filter("left").groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > target)
+            best = cut(best_questions(state.join(open_, "query_id").select("query_id", "condition", "left"), blocks, asked, rarest))
+            told = cut(reply(best.select("query_id", "symptom_id")).select("query_id", "reply").join(best, "query_id").join(open_, "query_id").select("query_id", "symptom_id", "reply", "n", "idf", "holders"))
             if not told.limit(1).count():
                 break
             mine = told.select("query_id", "symptom_id")
             asked = asked.unionByName(mine)
             questions = mine if questions is None else questions.unionByName(mine)
-            gain = F.when(F.col("reply"), 1.0).when(~F.col("reply"), -ABSENT_WEIGHT) * (F.col("idf") * F.col("idf") if squares else F.col("idf"))
-            after = state.join(told, "query_id", "left").join(links.select("condition", "symptom_id", "idf"), ["condition", "symptom_id"], "left")
+            gain = F.when(F.col("reply"), 1.0).when(~F.col("reply"), -ABSENT_WEIGHT) * F.when(F.array_contains("holders", F.col("condition")), F.col("idf") * F.col("idf") if squares else F.col("idf"))
+            after = state.join(told, "query_id", "left")
             after = after.withColumn("total", F.col("total") + F.coalesce(gain, F.lit(0.0)))
             place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("left"), F.desc(score), "place"))
             after = after.withColumn("place", F.when(F.col("n").isNull(), F.col("place")).otherwise(place))

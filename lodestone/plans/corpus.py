@@ -16,19 +16,25 @@ from lodestone.session import cut, stored
 from lodestone.sources.tables import table
 
 FACETS = ("onset", "duration", "duration_text", "severity", "progression", "polarity")
+#: What ranking reads of a link and of a patient's record.
+PLACED, SAID = ("onset", "duration"), ("onset", "duration", "polarity")
 SPACES = "chr(9)||chr(10)||chr(13)||' '||chr(160)"
 
 
-def links(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per (condition, symptom_id), with the facets of its smallest link_id. Counted before the shuffle, whatever the condition's size."""
-    t = table(spark, folder, "links").select("link_id", key_rule(F.col("condition")).alias("condition"), "symptom_id", *FACETS)
-    first = F.min_by(F.struct(*FACETS), F.col("link_id")).alias("f")
-    return t.filter("condition IS NOT NULL AND symptom_id IS NOT NULL").groupBy("condition", "symptom_id").agg(first).select("condition", "symptom_id", "f.*")
+def links(spark: SparkSession, folder: str, facets: tuple[str, ...] = FACETS) -> DataFrame:
+    """One row per (condition, symptom_id), with those facets of its smallest link_id. Counted before the shuffle, whatever the condition's size."""
+    t = table(spark, folder, "links").select("link_id", key_rule(F.col("condition")).alias("condition"), "symptom_id", *facets).filter("condition IS NOT NULL AND symptom_id IS NOT NULL")
+    if not facets:
+        return t.select("condition", "symptom_id").distinct()
+    first = F.min_by(F.struct(*facets), F.col("link_id")).alias("f")
+    return t.groupBy("condition", "symptom_id").agg(first).select("condition", "symptom_id", "f.*")
 
 
-def matches(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per (query_id, record_id, symptom_id) with a cosine."""
+def matches(spark: SparkSession, folder: str, fields: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (query_id, record_id, symptom_id) with a cosine; record has only those fields, if any are named."""
     t = table(spark, folder, "symptom_matches").filter("cosine IS NOT NULL AND query_id IS NOT NULL AND record_id IS NOT NULL AND symptom_id IS NOT NULL")
+    if fields:
+        t = t.withColumn("record", F.struct(*(f"record.{f}" for f in fields)))
     return t.groupBy("query_id", "record_id", "symptom_id").agg(F.max_by(F.struct("cosine", "record"), "cosine").alias("x")).select("query_id", "record_id", "symptom_id", "x.*")
 
 
@@ -36,9 +42,9 @@ def weights(spark: SparkSession, folder: str) -> DataFrame:
     return R.idf(links(spark, folder), "condition", "symptom_id")
 
 
-def corpus(spark: SparkSession, folder: str) -> DataFrame:
+def corpus(spark: SparkSession, folder: str, facets: tuple[str, ...] = ()) -> DataFrame:
     """links() with the idf of their symptom, stored once for a query that reads it several times."""
-    l = stored(links(spark, folder))
+    l = stored(links(spark, folder, facets))
     return stored(R.weighted(l, R.idf(l, "condition", "symptom_id")))
 
 
@@ -142,8 +148,8 @@ def q_pivot(spark, d):
 
 
 def ranking(spark: SparkSession, d: str, l: DataFrame | None = None) -> DataFrame:
-    l = corpus(spark, d) if l is None else l
-    return R.idf_rank(R.strengths(matches(spark, d), l), R.lengths(l))
+    l = corpus(spark, d, PLACED) if l is None else l
+    return R.idf_rank(R.strengths(matches(spark, d, SAID), l), R.lengths(l))
 
 
 @query("idf_rank", f"{FULL} SELECT * FROM rk")
@@ -154,7 +160,7 @@ def q_rank(spark, d):
 @query("idf_rank_evidence", f"""{FULL} SELECT query_id, condition, round(sum(w), 6) AS total,
   string_agg(symptom_id || ':' || printf('%.4f', w), ' | ' ORDER BY round(abs(w), 6) DESC, record_id) AS evidence FROM ev GROUP BY 1, 2""")
 def q_evidence(spark, d):
-    return R.evidence_lists(R.evidence(matches(spark, d), corpus(spark, d)))
+    return R.evidence_lists(R.evidence(matches(spark, d, SAID), corpus(spark, d, PLACED)))
 
 
 @query("cosine_rank_l2", f"""{WITH}, {MATCHES}, q AS (SELECT query_id, symptom_id, idf, idf * CASE WHEN bool_or(record.polarity = 'absent') THEN -0.7::DOUBLE ELSE 1 END AS q FROM mt JOIN wt USING (symptom_id) WHERE cosine >= 0.8 GROUP BY 1, 2, 3),
@@ -234,21 +240,22 @@ sp AS (SELECT query_id, symptom_id, round(-(c::DOUBLE / n * log2(c::DOUBLE / n)
   WHERE c < n AND NOT EXISTS (SELECT 1 FROM mt m WHERE m.query_id = h.query_id AND m.symptom_id = h.symptom_id AND m.cosine >= 0.8))"""
 
 
-def _splits(spark, d):
-    l = corpus(spark, d)
-    asked = matches(spark, d).filter(F.col("cosine") >= R.MATCH)
-    return R.splits(ranking(spark, d, l).select("query_id", "condition"), l, asked)
+def _next(spark, d, rarest: bool):
+    l = corpus(spark, d, PLACED)
+    m = stored(matches(spark, d, SAID).filter(F.col("cosine") >= R.MATCH))
+    ten = R.idf_rank(R.strengths(m, l), R.lengths(l)).select("query_id", "condition", F.lit(True).alias("left"))
+    return R.best_questions(ten, R.question_blocks(l), m, rarest).select("query_id", "symptom_id", "h")
 
 
 @query("split_entropy", f"{SPLIT} SELECT query_id, symptom_id, h FROM sp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY h DESC, round(idf, 9) DESC, symptom_id) = 1")
 def q_split(spark, d):
     """The next question of each query over its ten candidates; ties to the rarer symptom."""
-    return R.best_split(_splits(spark, d))
+    return _next(spark, d, rarest=True)
 
 
 @query("split_entropy_poc", f"{SPLIT} SELECT query_id, symptom_id, h FROM sp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY h DESC, symptom_id) = 1")
 def q_split_poc(spark, d):
-    return R.best_split(_splits(spark, d), rarest=False)
+    return _next(spark, d, rarest=False)
 
 
 @query("narrowing_step", f"{FULL}, n AS (SELECT query_id, count(*) AS n FROM rk GROUP BY 1) SELECT query_id, condition, score, rank AS place FROM rk JOIN n USING (query_id) WHERE rank <= greatest(5, n - 2)")
@@ -283,12 +290,10 @@ OPENED = "SELECT r.query_id, r.condition, (SELECT sum(w) FROM ev WHERE ev.query_
 @query("narrowing_final", f"{FULL}, {_rounds_sql(OPENED, 'SELECT DISTINCT query_id, symptom_id FROM mt WHERE cosine >= 0.8', 'SELECT query_id, arg_max(condition, CASE WHEN rank <= 3 THEN rank END) AS truth FROM rk GROUP BY 1')} SELECT * FROM fin")
 def q_final(spark, d):
     """The ten of the opening after the questions 10 -> 5 -> 1, put to a patient who has the third of them and doesn't know about every seventh symptom."""
-    l = corpus(spark, d)
-    m = stored(matches(spark, d).filter(F.col("cosine") >= R.MATCH))
-    found = cut(R.strengths(m, l))
+    l = corpus(spark, d, PLACED)
+    m = stored(matches(spark, d, SAID).filter(F.col("cosine") >= R.MATCH))
     norms = cut(R.lengths(l))
-    rank = R.idf_rank(found, norms).join(found.groupBy("query_id", "condition").agg(F.sum("w").alias("total")), ["query_id", "condition"])
-    opening = cut(rank.select("query_id", "condition", "total", F.col("rank").alias("place")))
+    opening = cut(R.best_totals(R.strengths(m, l), norms).select("query_id", "condition", "total", F.col("rank").alias("place")))
     truth = opening.filter("place <= 3").groupBy("query_id").agg(F.max_by("condition", "place").alias("truth"))
     return R.narrow(opening, m, l, norms, _replies(truth, l, F.col("symptom_id") % 7 == 0))
 

@@ -93,3 +93,22 @@ def test_a_denial_demotes_only_who_lists_it(spark):
     before, after = score(first), score(both)
     assert before["a"] == before["b"] == after["b"] > after["a"]
     assert {(r["condition"], r["record_id"]): r["w"] for r in R.evidence(both, links).collect()} == {(r["condition"], r["record_id"]): r["w"] for r in R.strengths(both, links).collect()}
+
+
+@pytest.mark.parametrize("rarest", [True, False])
+def test_questions_by_blocks_equal_splits(spark, monkeypatch, rarest):
+    monkeypatch.setattr(R, "BLOCK", 25)
+    monkeypatch.setattr(R, "CHUNK", 4)
+    rng = random.Random(5)
+    l = table(spark, {f"c{i:02}": rng.sample(range(40), rng.randint(2, 20)) for i in range(15)}, {s: rng.choice([1.0, 2.5, 4.0]) for s in range(40)})
+    c = spark.createDataFrame([(f"q{q}", f"c{i:02}", rng.random() < 0.8) for q in range(12) for i in rng.sample(range(17), 10)], "query_id string, condition string, left boolean")
+    a = spark.createDataFrame([(f"q{q}", s) for q in range(0, 12, 2) for s in [*rng.sample(range(40), 9), 99]], "query_id string, symptom_id int")
+    got = R.best_questions(c, R.question_blocks(l), a, rarest).collect()
+    # a candidate without links counts as one that has no symptom
+    want = R.best_split(R.splits(c.filter("left"), l, a), rarest).collect()
+    assert R.question_blocks(l)[1] > 3 and {(r["query_id"], r["symptom_id"], r["h"]) for r in got} == {tuple(r) for r in want} and len(got) == 12
+    has = {(r["condition"], r["symptom_id"]) for r in l.collect()}
+    mine = {}
+    for r in c.collect():
+        mine.setdefault(r["query_id"], []).append(r["condition"])
+    assert all(sorted(r["holders"]) == sorted(x for x in mine[r["query_id"]] if (x, r["symptom_id"]) in has) for r in got)
