@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions.facets import DURATIONS, ONSETS, band, place_multiplier
 from lodestone.operators.joins import join_groups, small_or_shuffled
+from lodestone.operators.order import numbered
 from lodestone.session import cut, stored
 
 #: Fixed values.
@@ -98,14 +99,23 @@ def evidence_lists(found: DataFrame) -> DataFrame:
     return lists.select("query_id", "condition", "total", F.array_join(F.col("l.s"), " | ").alias("evidence"))
 
 
-def cosine_rank_l2(matches: DataFrame, links: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:
-    """Dot product of sparse weight vectors over |condition|_2 ** alpha * |query|_2; the query has each symptom once, denied if any of its records denies it."""
-    m = matches.filter(F.col("cosine") >= MATCH).groupBy("query_id", "symptom_id").agg(F.bool_or(F.col("record.polarity") == "absent").alias("denied"))
-    q = cut(m.join(weights.select("symptom_id", "idf"), "symptom_id").select("query_id", "symptom_id", (F.col("idf") * F.when(F.col("denied"), -ABSENT_WEIGHT).otherwise(1.0)).alias("q")))
-    norm_q = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("nq"))
-    dot = q.join(links.select("condition", "symptom_id", "idf"), "symptom_id").groupBy("query_id", "condition").agg(F.sum(F.col("q") * F.col("idf")).alias("dot"))
-    scored = dot.join(norm_q, "query_id").join(lengths(links, squares=True), "condition").withColumn("score", F.round(F.col("dot") / (F.pow("length", F.lit(LENGTH_ALPHA)) * F.col("nq")), 6))
-    return ranked(scored, "query_id", "score", "condition", k).select("query_id", "rank", "condition", "score")
+def cosine_rank_l2(matches: DataFrame, links: DataFrame, k: int = 10) -> DataFrame:
+    """Dot product of sparse weight vectors over |condition|_2 ** alpha * |query|_2; the query has each symptom once, denied if any of its records denies it.
+
+    A symptom's conditions go to a query's task as one list of numbers, and become rows only there; place 0 of a list stands for the query's own norm.
+    """
+    m = stored(matches.filter(F.col("cosine") >= MATCH).groupBy("query_id", "symptom_id").agg(F.bool_or(F.col("record.polarity") == "absent").alias("denied")))
+    norms = stored(numbered(lengths(links, squares=True), "condition", "code").withColumn("code", (F.col("code") + 1).cast("int")))
+    stated = links.join(small_or_shuffled(norms.select("condition", "code")), "condition").groupBy("symptom_id").agg(F.array_sort(F.collect_list("code")).alias("l"), F.first("idf").alias("idf"))
+    stated = stored(stated.join(m.groupBy("symptom_id").agg(F.count(F.lit(1)).alias("n_matches")), "symptom_id"))
+    q = F.col("idf") * F.when(F.col("denied"), -ABSENT_WEIGHT).otherwise(1.0)
+    said = join_groups(m, stated, ["symptom_id"], "n_matches").select("query_id", q.alias("q"), "idf", "l").repartition("query_id")
+    each = said.select("query_id", "q", "idf", F.explode(F.concat(F.array(F.lit(0)), "l")).alias("code"))
+    dot = each.groupBy("query_id", "code").agg(F.sum(F.col("q") * F.when(F.col("code") == 0, F.col("q")).otherwise(F.col("idf"))).alias("dot"))
+    dot = dot.withColumn("nq", F.sqrt(F.max(F.when(F.col("code") == 0, F.col("dot"))).over(Window.partitionBy("query_id")))).filter("code > 0")
+    scored = dot.join(small_or_shuffled(norms.select("code", "length")), "code").withColumn("score", F.round(F.col("dot") / (F.pow("length", F.lit(LENGTH_ALPHA)) * F.col("nq")), 6))
+    best = ranked(scored.select("query_id", "code", "score"), "query_id", "score", "code", k)  # numbers are in the order of names
+    return best.join(small_or_shuffled(norms.select("code", "condition")), "code").select("query_id", "rank", "condition", "score")
 
 
 def seeds(links: DataFrame, targets: DataFrame | None = None, k: int = 2, rarest: bool = False) -> DataFrame:

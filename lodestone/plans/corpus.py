@@ -168,8 +168,7 @@ nq AS (SELECT query_id, sqrt(sum(q * q)) AS nq FROM q GROUP BY 1), nc AS (SELECT
 s AS (SELECT query_id, condition, round(sum(q * idf) / (any_value(nc) ** 0.25 * any_value(nq)), 6) AS score FROM q JOIN lk USING (symptom_id) JOIN nq USING (query_id) JOIN nc USING (condition) GROUP BY 1, 2)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, condition)::INTEGER AS rank, condition, score FROM s QUALIFY rank <= 10""")
 def q_l2(spark, d):
-    l = corpus(spark, d)
-    return R.cosine_rank_l2(matches(spark, d), l, l.select("symptom_id", "idf").distinct())
+    return R.cosine_rank_l2(matches(spark, d, ("polarity",)), corpus(spark, d))
 
 
 @query("condition_cosine_pairs", f"""{WITH}, v AS (SELECT condition, symptom_id, idf FROM lk JOIN wt USING (symptom_id)), n AS (SELECT condition, sqrt(sum(idf * idf)) AS n FROM v GROUP BY 1),

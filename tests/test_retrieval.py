@@ -112,3 +112,19 @@ def test_questions_by_blocks_equal_splits(spark, monkeypatch, rarest):
     for r in c.collect():
         mine.setdefault(r["query_id"], []).append(r["condition"])
     assert all(sorted(r["holders"]) == sorted(x for x in mine[r["query_id"]] if (x, r["symptom_id"]) in has) for r in got)
+
+
+def test_cosine_ranking_equals_a_loop(spark):
+    """Also that no row per query and condition is moved: the last shuffle before the ranking is by query alone."""
+    links, idf = {"b": [1, 2, 3], "a": [1, 2, 3], "c": [3, 4], "d": [5]}, {1: 1.0, 2: 2.0, 3: 1.5, 4: 3.0, 5: 2.5}
+    said = [("p", 1, "present"), ("p", 1, "absent"), ("p", 4, "present"), ("q", 2, None), ("q", 99, "present"), ("r", 99, "present")]
+    m = spark.createDataFrame([(q, s, 0.9, (p,)) for q, s, p in said] + [("q", 5, 0.5, ("present",))], "query_id string, symptom_id int, cosine double, record struct<polarity: string>")
+    want = set()
+    for q, own in {"p": {1: -0.7, 4: 3.0}, "q": {2: 2.0}}.items():
+        norm = math.sqrt(sum(x * x for x in own.values()))
+        scores = {c: round(sum(own.get(s, 0) * idf[s] for s in ss) / (math.sqrt(sum(idf[s] ** 2 for s in ss)) ** 0.25 * norm), 6) for c, ss in links.items() if own.keys() & set(ss)}
+        want |= {(q, i + 1, c, scores[c]) for i, c in enumerate(sorted(scores, key=lambda c: (-scores[c], c))[:2])}
+    out = R.cosine_rank_l2(m, table(spark, links, idf), k=2)
+    assert {tuple(r) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not [x for x in plan.split("\n") if "hashpartitioning(query_id" in x and "code" in x]
