@@ -45,7 +45,8 @@ def _hits(matches: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
     o, d = places("onset", "duration")
     stated = links.groupBy("symptom_id").agg(F.collect_list(F.struct("condition", o.alias("lo"), d.alias("ld"))).alias("l"), F.first("idf").alias("idf"))
     stated = cut(stated.join(m.groupBy("symptom_id").agg(F.count(F.lit(1)).alias("n_matches")), "symptom_id"))
-    hits = join_groups(m, stated, ["symptom_id"], "n_matches").withColumn("l", F.explode("l"))
+    # whole lists are moved, to their query; they become rows only there
+    hits = join_groups(m, stated, ["symptom_id"], "n_matches").repartition("query_id").withColumn("l", F.explode("l"))
     kept = place_multiplier(F.col("l.lo"), F.col("l.ld"), F.col("o"), F.col("d"))
     return hits.select("query_id", "record_id", "l.condition", "symptom_id", (F.col("idf") * F.col("cosine") * kept).alias("size"), "denied")
 
@@ -83,7 +84,7 @@ def ranked(scores: DataFrame, by: str, score: str, tie: str, k: int) -> DataFram
 def best_totals(found: DataFrame, norms: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, condition, score, total) from evidence() or strengths(), and lengths(): total / length ** 0.25."""
     total = found.groupBy("query_id", "condition").agg(F.sum("w").alias("total"))
-    scored = total.join(norms, "condition").withColumn("score", F.round(F.col("total") / F.pow("length", F.lit(LENGTH_ALPHA)), 6))
+    scored = total.join(small_or_shuffled(cut(norms)), "condition").withColumn("score", F.round(F.col("total") / F.pow("length", F.lit(LENGTH_ALPHA)), 6))
     return ranked(scored, "query_id", "score", "condition", k).select("query_id", "rank", "condition", "score", "total")
 
 
