@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lodestone.functions.facets import DURATIONS, ONSETS
 from lodestone.functions.text import key_rule
 from lodestone.operators import retrieval as R
+from lodestone.operators.joins import shuffled_if_large
 from lodestone.operators.order import numbered
 from lodestone.session import cut, stored
 from lodestone.sources.tables import table
@@ -44,8 +45,8 @@ def weights(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpus(spark: SparkSession, folder: str, facets: tuple[str, ...] = ()) -> DataFrame:
     """links() with the idf of their symptom, stored once for a query that reads it several times."""
-    l = stored(links(spark, folder, facets))
-    return stored(R.weighted(l, R.idf(l, "condition", "symptom_id")))
+    l = shuffled_if_large(stored(links(spark, folder, facets)))
+    return shuffled_if_large(stored(R.weighted(l, R.idf(l, "condition", "symptom_id"))))
 
 
 LINKS = f"""lk AS (SELECT lower(trim(condition, {SPACES})) AS condition, symptom_id, {', '.join(f'first({f} ORDER BY link_id) AS {f}' for f in FACETS)}
