@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from lodestone.functions.facets import DURATIONS, ONSETS
 from lodestone.functions.text import key_rule
 from lodestone.operators import retrieval as R
-from lodestone.operators.joins import shuffled_if_large
+from lodestone.operators.joins import shuffled_if_large, small_or_shuffled
 from lodestone.operators.order import numbered
 from lodestone.session import cut, stored
 from lodestone.sources.tables import table
@@ -328,7 +328,7 @@ def _poc(spark, d, rarest: bool):
     seeds = cut(R.seeds(l, rarest=rarest).join(many, "condition", "left_semi").select("condition", "symptom_id"))
     norms = cut(R.lengths(l, squares=True))
     said = seeds.select(F.col("condition").alias("query_id"), "symptom_id")
-    total = said.join(l.select("condition", "symptom_id", "idf"), "symptom_id").groupBy("query_id", "condition").agg(F.sum(F.col("idf") * F.col("idf")).alias("total"))
+    total = small_or_shuffled(said).join(l.select("condition", "symptom_id", "idf"), "symptom_id").groupBy("query_id", "condition").agg(F.sum(F.col("idf") * F.col("idf")).alias("total"))
     scored = total.join(norms, "condition").withColumn("score", F.round(F.col("total") / F.pow("length", F.lit(R.LENGTH_ALPHA)), 6))
     opening = cut(R.ranked(scored, "query_id", "score", "condition", 10).select("query_id", "condition", "total", F.col("rank").alias("place")))
     truth = said.select("query_id", F.col("query_id").alias("truth")).distinct()

@@ -35,3 +35,16 @@ def broadcast_scans(df):
 
 def test_pairs_of_conditions(spark, folder):
     assert not broadcast_scans(C.q_pairs(spark, folder))
+
+
+@pytest.mark.parametrize("interview", [C.q_poc, C.q_poc_hard])
+def test_replies_of_interviews(spark, folder, monkeypatch, interview):
+    seen = []
+
+    def narrow(opening, said, l, norms, reply, **kw):
+        seen.append(reply(said))
+        return opening
+
+    monkeypatch.setattr(C.R, "narrow", narrow)
+    interview(spark, folder)
+    assert len(seen) == 1 and not broadcast_scans(seen[0])
