@@ -133,9 +133,9 @@ def seeds(links: DataFrame, targets: DataFrame | None = None, k: int = 2, rarest
 
 def held_out(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(truth, condition, total, score, place): all conditions ranked for an opening of each condition's seeds (condition, symptom_id), equal ones by name."""
-    s = seeds.select(F.col("condition").alias("truth"), "symptom_id")
+    s = small_or_shuffled(cut(seeds.select(F.col("condition").alias("truth"), "symptom_id")))
     sums = s.join(links.select("condition", "symptom_id", "idf"), "symptom_id").groupBy("truth", "condition").agg(F.sum("idf").alias("total"))
-    scored = sums.join(lengths(links), "condition").withColumn("score", F.round(F.col("total") / F.pow("length", F.lit(LENGTH_ALPHA)), 6))
+    scored = sums.join(small_or_shuffled(cut(lengths(links))), "condition").withColumn("score", F.round(F.col("total") / F.pow("length", F.lit(LENGTH_ALPHA)), 6))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("truth").orderBy(F.desc("score"), "condition")))
 
 

@@ -366,17 +366,22 @@ def _seeds_sql(l: str, w: str, order: str, more: str = "") -> str:
 _OWN_BANK = _seeds_sql("bl", "bw", "round(idf, 9)")
 
 
+def bare_name(canonical):
+    """A phrase without its place; outer blanks of any kind go, as in SQL (tabs and ends of lines stay)."""
+    return F.regexp_replace(F.substring_index(F.lower(canonical), " in the ", 1), r"^\p{Zs}+|\p{Zs}+$", "")
+
+
 @query("two_systems", f"""{WITH}, {_BANK}, tg AS (SELECT condition, sum(idf) / 2 AS target FROM ({_OWN_BANK}) GROUP BY 1)
 {_system_sql('bank', 'bl', 'bw', _OWN_BANK)} UNION ALL {_system_sql('own', 'lk', 'wt', _seeds_sql('lk', 'wt', 'round(idf, 9)'))} UNION ALL {_system_sql('matched', 'lk', 'wt', _seeds_sql('lk', 'wt', 'round(abs(idf - target), 9)', 'JOIN tg USING (condition)'))}""")
 def q_two(spark, d):
     """A bank of bare phrases and the links themselves on the conditions that both know, each by its own commonest seeds, and the links by seeds as common as the bank's."""
     l = corpus(spark, d)
-    names = table(spark, d, "symptoms").filter("canonical IS NOT NULL").select("symptom_id", F.trim(F.substring_index(F.lower("canonical"), " in the ", 1)).alias("name")).filter("name <> ''")
-    b = stored(l.select("condition", "symptom_id").join(names, "symptom_id").select("condition", F.col("name").alias("symptom_id")).distinct())
-    b = stored(R.weighted(b, R.idf(b, "condition", "symptom_id")))
+    names = table(spark, d, "symptoms").filter("canonical IS NOT NULL").select("symptom_id", bare_name(F.col("canonical")).alias("name")).filter("name <> ''")
+    b = shuffled_if_large(stored(l.select("condition", "symptom_id").join(names, "symptom_id").select("condition", F.col("name").alias("symptom_id")).distinct()))
+    b = shuffled_if_large(stored(R.weighted(b, R.idf(b, "condition", "symptom_id"))))
     many = lambda x: x.groupBy("condition").count().filter("count >= 3").select("condition")
     pool = cut(many(l).intersect(many(b)))
-    own = lambda x, **kw: R.seeds(x.join(pool, "condition", "left_semi"), **kw)
+    own = lambda x, **kw: R.seeds(x.join(small_or_shuffled(pool), "condition", "left_semi"), **kw)
     mine = cut(own(b))
     targets = mine.join(b, ["condition", "symptom_id"]).groupBy("condition").agg((F.sum("idf") / 2).alias("target"))
     systems = (("bank", b, mine), ("own", l, own(l)), ("matched", l, own(l, targets=targets)))

@@ -48,3 +48,13 @@ def test_replies_of_interviews(spark, folder, monkeypatch, interview):
     monkeypatch.setattr(C.R, "narrow", narrow)
     interview(spark, folder)
     assert len(seen) == 1 and not broadcast_scans(seen[0])
+
+
+def test_two_systems(spark, folder):
+    assert not broadcast_scans(C.q_two(spark, folder))
+
+
+def test_bare_names_have_no_outer_blanks(spark):
+    rows = [("Dull ache in the arm", "dull ache"), (" Cough\u00a0", "cough"), ("\u3000Itch\u00a0 in the ear", "itch"), ("\ncold", "\ncold")]
+    got = spark.createDataFrame(rows, "canonical string, name string").select(C.bare_name(F.col("canonical")).alias("a"), "name").collect()
+    assert [r["a"] for r in got] == [r["name"] for r in got]
