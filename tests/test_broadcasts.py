@@ -37,6 +37,10 @@ def test_pairs_of_conditions(spark, folder):
     assert not broadcast_scans(C.q_pairs(spark, folder))
 
 
+def test_lists_of_symptoms(spark, folder):
+    assert not broadcast_scans(C.q_lists(spark, folder))
+
+
 @pytest.mark.parametrize("interview", [C.q_poc, C.q_poc_hard])
 def test_replies_of_interviews(spark, folder, monkeypatch, interview):
     seen = []
