@@ -41,6 +41,21 @@ def test_lists_of_symptoms(spark, folder):
     assert not broadcast_scans(C.q_lists(spark, folder))
 
 
+@pytest.mark.parametrize("query", [C.q_lists, C.q_poc_hard])
+def test_what_is_stored_on_the_way(spark, folder, monkeypatch, query):
+    made, found, store = [], [], C.stored
+
+    def stored(df):
+        found.extend(x for x in broadcast_scans(df) if "symptom_id" in x)  # conditions alone are read for their number, one row
+        made.append(df)
+        return store(df)
+
+    monkeypatch.setattr(C, "stored", stored)
+    monkeypatch.setattr(C.R, "narrow", lambda opening, *rest, **kw: opening.withColumn("score", F.lit(0.0)))
+    query(spark, folder)
+    assert len(made) == 2 and not found
+
+
 @pytest.mark.parametrize("interview", [C.q_poc, C.q_poc_hard])
 def test_replies_of_interviews(spark, folder, monkeypatch, interview):
     seen = []
